@@ -98,9 +98,9 @@ def overlap_count(blocks: DataFrame, others: DataFrame, keys: Sequence[str], blo
     o = renamed(others.select(*keys, *other_span), "o_", keys)
     hits = interval_join(blocks.select(*keys, *block_id, *span), o, keys, span,
                          ("o_" + other_span[0], "o_" + other_span[1]), width)
-    counted = hits.groupBy(*keys, *block_id).agg(F.count("*").alias("overlaps"))
+    counted = hits.groupBy(*keys, *block_id).agg(F.count("*").alias("n_overlaps"))
     return (blocks.join(counted, [*keys, *block_id], "left")
-            .withColumn("overlaps", F.coalesce("overlaps", F.lit(0).cast("bigint"))))
+            .withColumn("n_overlaps", F.coalesce("n_overlaps", F.lit(0).cast("bigint"))))
 
 
 def started_in(df: DataFrame, ranges: DataFrame, at: Column, keys: Sequence[str],

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cuespan.plans import align_queries  # noqa: F401
+from cuespan.plans import align_queries, block_queries  # noqa: F401
 from cuespan.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
