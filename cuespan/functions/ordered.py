@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuespan.session import spread
+
 CHUNK_ROWS = 4096
 
 
@@ -192,7 +194,7 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             if done:
                 yield frame(done)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def _fields(schema: str) -> list[str]:

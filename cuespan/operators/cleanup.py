@@ -18,6 +18,7 @@ from cuespan.functions.ordered import adjacent_islands, fold_sorted, interval_is
 from cuespan.functions.similarity import alike, similar, similarity
 from cuespan.operators import filters
 from cuespan.operators.intervals import interval_join, renamed
+from cuespan.session import spread
 
 CHUNK_FRAMES = 14_400
 
@@ -166,7 +167,7 @@ def repeat_clusters(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video
     near = near.where(F.col("b_at") > F.col("a_at"))
     la, lb = F.length("a_norm"), F.length("b_norm")
     near = near.where(2 * F.least(la, lb) >= K.REPEAT_SIM * (la + lb))
-    pairs = near.where(similar(F.col("a_norm"), F.col("b_norm"), K.REPEAT_SIM))
+    pairs = spread(near).where(similar(F.col("a_norm"), F.col("b_norm"), K.REPEAT_SIM))
     # six seconds of frames bound the members of one anchor
     members = pairs.groupBy(*keys, "a_at", "a_secs").agg(
         F.array_sort(F.collect_list("b_at")).alias("others"), F.collect_list("b_secs").alias("other_secs"))
@@ -208,7 +209,7 @@ def fragments_absent_nearby(fragments: DataFrame, main: DataFrame, fps: float,
                     (F.col("end_f") + 1).alias("m_to"))
     near = interval_join(f.where("f_norm <> ''"), m.where("m_norm <> ''"), keys,
                          ("f_from", "f_to"), ("m_from", "m_to"), 480)
-    found = near.where(similar(F.col("f_norm"), F.col("m_norm"), K.FRAGMENT_SIM)).select(*keys, "block_no").distinct()
+    found = spread(near).where(similar(F.col("f_norm"), F.col("m_norm"), K.FRAGMENT_SIM)).select(*keys, "block_no").distinct()
     return fragments.join(found, [*keys, "block_no"], "left_anti")
 
 
@@ -270,19 +271,23 @@ def consensus_pick(readings: DataFrame, keys: Sequence[str]) -> DataFrame:
     earlier reading; the confidence is the best one of that text.
     """
     keys = list(keys)
-    usable = readings.where(F.col("text") != "")
-    a = usable.select(*keys, F.col("pos").alias("a_pos"), F.col("text").alias("a_text"))
-    b = usable.select(*keys, F.col("pos").alias("b_pos"), F.col("text").alias("b_text"), "conf")
-    scored = a.join(b, keys).withColumn("r", similarity("a_text", "b_text"))
+    # variants often agree; each distinct text of a segment is compared once
+    texts = readings.where(F.col("text") != "").groupBy(*keys, "text").agg(
+        F.collect_list("pos").alias("places"), F.max("conf").alias("conf"))
+    a = texts.select(*keys, F.col("text").alias("a_text"), F.array_min("places").alias("a_pos"), "conf")
+    b = texts.select(*keys, F.col("text").alias("b_text"), F.col("places").alias("b_places"))
+    same = F.col("a_text") == F.col("b_text")
+    pairs = a.join(b, keys)
+    scored = (pairs.where(same).withColumn("r", F.lit(1.0))
+              .unionByName(spread(pairs.where(~same)).withColumn("r", similarity("a_text", "b_text"))))
     # a segment has one reading per variant; add in that order, so sums repeat
-    votes = scored.groupBy(*keys, "a_pos", "a_text").agg(
-        F.array_sort(F.collect_list(F.struct("b_pos", "r"))).alias("v"),
-        F.max(F.when(F.col("a_text") == F.col("b_text"), F.col("conf"))).alias("best_conf"))
+    votes = scored.groupBy(*keys, "a_pos", "a_text", "conf").agg(F.array_sort(F.flatten(F.collect_list(
+        F.transform("b_places", lambda p: F.struct(p.alias("p"), F.col("r"))))) ).alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["r"])
     picked = votes.groupBy(*keys).agg(F.max_by(
-        F.struct("a_text", "best_conf"), F.struct(total.alias("t"), F.length("a_text").alias("n"), (-F.col("a_pos")).alias("p"))).alias("w"))
+        F.struct("a_text", "conf"), F.struct(total.alias("t"), F.length("a_text").alias("n"), (-F.col("a_pos")).alias("p"))).alias("w"))
     return (readings.select(*keys).distinct().join(picked, keys, "left")
-            .select(*keys, F.coalesce("w.a_text", F.lit("")).alias("text"), F.coalesce("w.best_conf", F.lit(0.0)).alias("conf")))
+            .select(*keys, F.coalesce("w.a_text", F.lit("")).alias("text"), F.coalesce("w.conf", F.lit(0.0)).alias("conf")))
 
 
 def upper_median(column: str) -> Column:

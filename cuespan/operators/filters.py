@@ -16,6 +16,7 @@ from cuespan.functions import text as tx
 from cuespan.functions.ordered import with_neighbours
 from cuespan.functions.similarity import similar
 from cuespan.operators.align import first_per_key
+from cuespan.session import spread
 
 
 def seconds(fps: float) -> Column:
@@ -124,15 +125,17 @@ def sfx_split(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_id",)
     """Short low-letter blocks move unless a neighbour reads alike."""
     near = with_neighbours(blocks.withColumn("_norm", tx.rep_norm(F.col("text"))), keys, [order], ["_norm"])
     suspect = (seconds(fps) < K.SFX_SECONDS) & (tx.letter_ratio(F.col("text")) < K.SFX_LETTERS)
+    # only suspects need the comparison; the rest skips Python altogether
     near = near.withColumn("_suspect", suspect)
+    rest = near.where("not _suspect").withColumn("_tied", F.lit(False))
+    near = spread(near.where("_suspect"))
 
     def bound(side: str) -> Column:
         mine, other = F.col("_norm"), F.col(f"{side}._norm")
-        # only suspects with two non-empty sides are worth a comparison
-        ask = F.col("_suspect") & (mine != "") & (other != "")
+        ask = (mine != "") & (other != "")
         return similar(F.when(ask, mine), F.when(ask, other), K.SFX_SIM)
 
-    tied = near.withColumn("_tied", bound("prev") | bound("next"))
+    tied = near.withColumn("_tied", bound("prev") | bound("next")).unionByName(rest)
     return split_streams(tied.select(*blocks.columns, "_suspect", "_tied"),
                          F.col("_suspect") & ~F.col("_tied"), "sfx").drop("_suspect", "_tied")
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from cuespan import constants as K
 from cuespan.functions import text as tx
+from cuespan.session import cut_lineage, spread
 
 
 def _letters(word: Column) -> Column:
@@ -191,7 +192,10 @@ def _piece_ops(token: pd.Series, cand: pd.Series) -> pd.Series:
 
 
 def piece_repair(pieces: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Best form of each part of a fused word: (token, better, freq, ops)."""
+    """Best form of each part of a fused word: (token, better, freq, ops).
+
+    Repaired parts too rare to pass the split score may be missing.
+    """
     own = _self_entries(pieces, dictionary).select("token", F.col("freq").alias("own"))
     dots = diacritic_neighbours(own.select("token"), dictionary).join(own, "token").where(
         F.col("freq") >= K.DOMINANCE * F.col("own"))
@@ -202,7 +206,10 @@ def piece_repair(pieces: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     unknown = pieces.select("token").join(own, "token", "left_anti")
     fold = tx.dot_norm
-    words = dictionary.select(F.col("word").alias("cand"), "freq")
+    # A repaired part costs a step at least, so it only passes with a frequency of
+    # SPLIT_SCORE_MIN / SPLIT_PENALTY; a rival below a tenth of that changes nothing.
+    words = dictionary.select(F.col("word").alias("cand"), "freq").where(
+        F.col("freq") * K.DOMINANCE * K.SPLIT_PENALTY >= K.SPLIT_SCORE_MIN)
 
     def keyed(df: DataFrame, word: str, keys: Column) -> DataFrame:
         return df.select(*df.columns, F.explode(F.array_distinct(keys)).alias("key"))
@@ -214,7 +221,10 @@ def piece_repair(pieces: DataFrame, dictionary: DataFrame) -> DataFrame:
     shorter = keyed(unknown, "token", _without_each(word)).join(words.withColumn("key", cand), "key")
     cols = ["token", "cand", "freq"]
     pool = same.select(*cols).unionByName(longer.select(*cols)).unionByName(shorter.select(*cols)).distinct()
-    pool = pool.where(F.col("cand") != F.col("token")).withColumn("ops", _piece_ops("token", "cand")).where("ops IS NOT NULL")
+    close = F.levenshtein("token", "cand", K.MAX_FLIPS + 1) >= 0
+    pool = spread(pool.where((F.col("cand") != F.col("token")) & close)).withColumn(
+        "ops", _piece_ops("token", "cand")).where("ops IS NOT NULL")
+    pool = cut_lineage(pool)
     repaired = dominant(pool).join(pool.select("token", F.col("cand").alias("better"), "ops"), ["token", "better"])
     return known.unionByName(repaired.select("token", "better", "freq", "ops"))
 
@@ -257,21 +267,22 @@ def word_repair(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     Order of precedence: dots, rare entries, replaced or swallowed letters (only
     lower-case words), fused words. Tokens that need no repair are not returned.
     """
-    surface = tokens.select("surface").distinct().withColumn("core", tx.core(F.col("surface"))).where(
-        "core IS NOT NULL AND length(core) >= 3").withColumn("token", tx.tr_lower(F.col("core")))
+    surface = cut_lineage(tokens.select("surface").distinct().withColumn("core", tx.core(F.col("surface"))).where(
+        "core IS NOT NULL AND length(core) >= 3").withColumn("token", tx.tr_lower(F.col("core"))))
     words = surface.select("token").distinct()
     lower = surface.where(tx.is_lower(F.col("core"))).select("token").distinct()
-    known = words.join(dictionary.select(F.col("word").alias("token")), "token", "left_semi")
+    unknown = words.join(dictionary.select(F.col("word").alias("token")), "token", "left_anti")
 
     dots = diacritic_upgrades(words, dictionary).select("token", F.col("better").alias("dot_to"))
     weak = weak_upgrades(lower, dictionary).select("token", F.col("better").alias("weak_to"))
-    unknown = words.join(known, "token", "left_anti")
     wide = wide_upgrades(unknown.join(lower, "token", "left_semi"), dictionary).select(
         "token", F.col("better").alias("wide_to"), F.col("kind").alias("wide_kind"))
-    fused = split_fused(unknown, dictionary).select("token", "left", "right")
-
-    joined = surface.join(dots, "token", "left").join(weak, "token", "left").join(wide, "token", "left").join(
-        fused, "token", "left")
+    joined = cut_lineage(surface.join(dots, "token", "left").join(weak, "token", "left").join(wide, "token", "left"))
+    # splitting is the last resort: only for words nothing else has repaired
+    open_words = joined.where(F.col("dot_to").isNull() & (F.col("wide_to").isNull() | ~tx.is_lower(F.col("core"))))
+    fused = split_fused(open_words.select("token").distinct().join(unknown, "token", "left_semi"), dictionary).select(
+        "token", "left", "right")
+    joined = joined.join(fused, "token", "left")
     is_lower = tx.is_lower(F.col("core"))
     weak_ok, wide_ok = is_lower & F.col("weak_to").isNotNull(), is_lower & F.col("wide_to").isNotNull()
     kind = (F.when(F.col("dot_to").isNotNull(), "diakritik").when(weak_ok, "harf-degistirme")
@@ -332,3 +343,65 @@ def apply_rules(df: DataFrame, rules: list[tuple[str, str]], text: str = "text")
 def rules_fold(text: Column, rules: Column) -> Column:
     """The same as one expression when the rules are an array column."""
     return F.aggregate(rules, text, lambda t, r: F.replace(t, r["old"], r["new"]))
+
+
+def line_cleanup(line: Column) -> Column:
+    """Mechanical leftovers of a line; returns an array of states, one per rule,
+    beginning with the line as it was."""
+    tokens = F.split(line, " ")
+    lone = lambda p: (F.length(p) == 1) & tx.has_cjk(p)
+    dense = tx.dense_chars(line)
+    drop = F.exists(tokens, lone) & (tx.cjk_count(dense) * 2 < F.length(dense))
+    kept = F.array_join(F.filter(tokens, lambda p: ~lone(p)), " ")
+    s1 = F.when(drop, tx.strip_ws(F.regexp_replace(kept, " {2,}", " "))).otherwise(line)
+    s2 = F.regexp_replace(s1, r"^(?U:\s)*'+", "")
+    s3 = F.regexp_replace(s2, r"(?U)\s+:s$", "")
+    s4 = F.regexp_replace(s3, r"(?U)\s+\.$", ".")
+
+    def numbers(t: Column) -> Column:
+        gone = F.regexp_replace(t, r"(?U)(?<=\S)\s\d{1,2}(?=\s\S)", "")
+        return F.when((gone != t) & t.rlike(f"[{tx.WORD_CHARS}]"),
+                      tx.strip_ws(F.regexp_replace(gone, " {2,}", " "))).otherwise(t)
+
+    # closing up double blanks can bring one more number into reach
+    s5 = numbers(numbers(s4))
+    s6 = F.when(s5.rlike("_+$"), F.regexp_replace(s5, "_+$", "...")).otherwise(
+        F.regexp_replace(s5, r"(?<!\.)\.\.$", "..."))
+    return F.array(line, s1, s2, s3, s4, s5, s6)
+
+
+CLEANUP_KINDS = ["ekran-kalinti", "noktalama", "noktalama", "noktalama", "noktalama", "ellipsis"]
+
+
+def cleanup_lines(df: DataFrame, keys: tuple[str, ...], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Clean every line of a block; returns (clean blocks, change log)."""
+    states = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn(
+        "states", line_cleanup(F.col("line")))
+    clean = states.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("line_no", F.element_at("states", -1).alias("t")))), lambda x: x["t"]), "\n").alias(text))
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"),
+                               F.get("states", F.lit(i)).alias("old"), F.get("states", F.lit(i + 1)).alias("new"))
+                      for i, kind in enumerate(CLEANUP_KINDS)])
+    log = states.select(*keys, "line_no", F.explode(F.filter(steps, lambda s: s["old"] != s["new"])).alias("s")).select(
+        *keys, "line_no", "s.*")
+    return clean, log
+
+
+def repair_blocks(blocks: DataFrame, dictionary: DataFrame, rules: list[tuple[str, str]],
+                  keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The whole chain on dialogue blocks: sound lines out, taught rules, line
+    cleanup, word repair, taught rules again. Returns (blocks, change log)."""
+    from cuespan.operators.filters import sfx_lines
+    quiet, dropped = sfx_lines(blocks.select(*keys, "text"), dictionary, keys)
+    before = apply_rules(quiet, rules)
+    clean, cleanup_log = cleanup_lines(before.select(*keys, "text"), keys)
+    fixed, word_log = repair_text(clean, dictionary, keys)
+    after = apply_rules(fixed, rules)
+
+    def taught(df: DataFrame) -> DataFrame:
+        return df.select(*keys, F.explode("applied").alias("r")).select(*keys, "r.old", "r.new", F.lit("kullanici").alias("kind"))
+
+    log = (dropped.select(*keys, F.col("line").alias("old"), F.lit("").alias("new"), F.lit("sfx-satir").alias("kind"))
+           .unionByName(taught(before)).unionByName(cleanup_log.select(*keys, "old", "new", "kind"))
+           .unionByName(word_log.select(*keys, "old", "new", "kind")).unionByName(taught(after)))
+    return after.select(*keys, "text"), log

@@ -11,6 +11,7 @@ from cuespan import constants as K
 from cuespan.functions import text as tx
 from cuespan.functions.similarity import edit_substitutions
 from cuespan.operators.align import first_per_key
+from cuespan.session import spread
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -97,7 +98,7 @@ def confusions(pairs: DataFrame, keys: Sequence[str] = ("episode_id",), top: int
     differing = pairs.where((F.length("r_text") > 0) & (F.col("r_text") != F.col("p_text")))
     # Python sees each distinct pair of lines once
     lines = differing.groupBy(*keys, "r_text", "p_text").agg(F.count("*").alias("times"))
-    subs = lines.select(*keys, "times", F.explode(edit_substitutions("r_text", "p_text")).alias("s"))
+    subs = spread(lines).select(*keys, "times", F.explode(edit_substitutions("r_text", "p_text")).alias("s"))
     counted = subs.groupBy(*keys, F.col("s.gt").alias("gt"), F.col("s.ocr").alias("ocr")).agg(
         F.sum("times").alias("n"))
     watched = F.create_map(*[x for g, o in K.WATCHED_CONFUSIONS for x in (

@@ -416,9 +416,9 @@ def j12(spark, sf):
 def w13(spark, sf):
     variants = F.array(
         F.struct(F.lit(0).alias("pos"), F.col("text"), F.col("conf")),
-        F.struct(F.lit(1).alias("pos"), F.expr("replace(text, 'o', '0')").alias("text"), F.col("first_conf").alias("conf")),
-        F.struct(F.lit(2).alias("pos"), F.expr("replace(text, 'e', 'c')").alias("text"), (F.col("conf") * 0.9).alias("conf")),
-        F.struct(F.lit(3).alias("pos"), F.col("second_text").alias("text"), F.col("second_conf").alias("conf")))
+        F.struct(F.lit(1).alias("pos"), F.expr("if(block_no % 4 = 0, replace(text, 'o', '0'), text)").alias("text"), F.col("first_conf").alias("conf")),
+        F.struct(F.lit(2).alias("pos"), F.expr("if(block_no % 4 = 1, replace(text, 'e', 'c'), text)").alias("text"), (F.col("conf") * 0.9).alias("conf")),
+        F.struct(F.lit(3).alias("pos"), F.expr("if(conf < 0.1, second_text, text)").alias("text"), F.col("second_conf").alias("conf")))
     long = _readings(spark, sf).select("video_id", "block_no", F.explode(variants).alias("c")).select("video_id", "block_no", "c.*")
     return cleanup.consensus_pick(long, ["video_id", "block_no"])
 

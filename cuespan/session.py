@@ -44,3 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns) -> DataFrame:
+    """Shuffle into the session's full width before Python work.
+
+    Adaptive execution sizes partitions by bytes; a few megabytes of text pairs
+    can be minutes of comparison, so this width is fixed and not coalesced.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *columns)
