@@ -153,28 +153,48 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- journals ----------------------------------------------------------------
 # The event number is the file order of the journal; it is the logical clock.
-_JOURNAL = """
+# Undo events name the latest review of their cue, or nothing at all.
+sql_view("journal", (), """
 SELECT event_id AS line_no, event_id, user_id AS cue_id,
        CASE event_type WHEN 'signup' THEN 'accepted' WHEN 'purchase' THEN 'corrected'
             WHEN 'view' THEN 'uncertain' WHEN 'click' THEN 'undo' ELSE 'invalid' END AS kind,
+       CASE event_type WHEN 'signup' THEN CASE WHEN value < 20 THEN 'cue ' || user_id ELSE 'other' END
+            WHEN 'purchase' THEN CASE WHEN value < 15 THEN 'fixed ' || event_id % 10 ELSE '  ' END
+            WHEN 'view' THEN CASE WHEN value < 20 THEN '' ELSE 'x' END END AS verified_text,
        CASE WHEN event_type = 'click' THEN
-            CASE WHEN value < 5 THEN -1 ELSE max(CASE WHEN event_type IN ('signup', 'purchase', 'view')
+            CASE WHEN value < 3 THEN -1 ELSE max(CASE WHEN event_type IN ('signup', 'purchase', 'view')
                  THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END END AS undo_line
-FROM events"""
-sql_view("journal", (), _JOURNAL)
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END END AS undo_id,
+       CASE WHEN value > 30 THEN 'old' ELSE 'm1' END AS manifest_sha, 'c' || user_id % 50 AS crop_sha
+FROM events""")
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuespan.functions.ordered import prefix_scan
 
-    events = table(spark, sf_dir, "events")
     review = F.when(F.col("event_type").isin("signup", "purchase", "view"), F.col("event_id"))
-    seen = prefix_scan(events, ["user_id"], ["event_id"], {"latest": ("max", review)})
-    kind = (F.when(F.col("event_type") == "signup", "accepted").when(F.col("event_type") == "purchase", "corrected")
-            .when(F.col("event_type") == "view", "uncertain").when(F.col("event_type") == "click", "undo")
-            .otherwise("invalid"))
-    target = F.when(F.col("event_type") == "click",
-                    F.when(F.col("value") < 5, F.lit(-1).cast("bigint")).otherwise(F.col("latest")))
-    return seen.select(F.col("event_id").alias("line_no"), "event_id", F.col("user_id").alias("cue_id"),
-                       kind.alias("kind"), target.alias("undo_line"))
+    seen = prefix_scan(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], {"latest": ("max", review)})
+    return seen.selectExpr(
+        "event_id AS line_no", "event_id", "user_id AS cue_id",
+        "CASE event_type WHEN 'signup' THEN 'accepted' WHEN 'purchase' THEN 'corrected' WHEN 'view' THEN 'uncertain' "
+        "WHEN 'click' THEN 'undo' ELSE 'invalid' END AS kind",
+        "CASE event_type WHEN 'signup' THEN if(value < 20, 'cue ' || user_id, 'other') "
+        "WHEN 'purchase' THEN if(value < 15, 'fixed ' || event_id % 10, '  ') "
+        "WHEN 'view' THEN if(value < 20, '', 'x') END AS verified_text",
+        "CASE WHEN event_type = 'click' THEN if(value < 3, -1L, latest) END AS undo_id",
+        "if(value > 30, 'old', 'm1') AS manifest_sha", "'c' || user_id % 50 AS crop_sha")
+
+
+sql_view("pack_cues", (), """
+SELECT DISTINCT user_id AS cue_id, user_id AS cue_index, 'pack' || user_id % 5 AS pack_id, 'cue ' || user_id AS ocr_text,
+       user_id % 7 <> 0 AS crop_valid, 'm1' AS manifest_sha, 'c' || user_id % 50 AS crop_sha, 's' || user_id % 5 AS srt_sha,
+       user_id * 1000 AS start_ms, user_id * 1000 + 900 AS end_ms, CAST(user_id % 100 AS DOUBLE) / 100 AS ocr_confidence,
+       user_id // 3 AS frame_no, 100 + user_id % 50 AS bytes FROM events""")
+
+
+def pack_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS cue_id", "user_id AS cue_index", "'pack' || user_id % 5 AS pack_id", "'cue ' || user_id AS ocr_text",
+        "user_id % 7 <> 0 AS crop_valid", "'m1' AS manifest_sha", "'c' || user_id % 50 AS crop_sha", "'s' || user_id % 5 AS srt_sha",
+        "user_id * 1000 AS start_ms", "user_id * 1000 + 900 AS end_ms", "cast(user_id % 100 AS double) / 100 AS ocr_confidence",
+        "user_id div 3 AS frame_no", "100 + user_id % 50 AS bytes").distinct()
