@@ -130,9 +130,11 @@ def word_distance(a: Column, b: Column) -> Column:
             tokens, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0x4E00), 4, "0"))
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
-    wa, wb = words(a), words(b)
-    vocabulary = F.array_distinct(F.concat(wa, wb))
-    return F.levenshtein(encode(wa, vocabulary), encode(wb, vocabulary))
+    # the one-element array binds both word lists and their vocabulary once per row
+    bound = F.transform(F.array(F.struct(words(a).alias("a"), words(b).alias("b"))), lambda s: F.struct(
+        s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(F.concat(s["a"], s["b"])).alias("v")))
+    distance = F.transform(bound, lambda s: F.levenshtein(encode(s["a"], s["v"]), encode(s["b"], s["v"])))
+    return F.when(a == b, F.lit(0)).otherwise(F.get(distance, F.lit(0)))
 
 
 @F.pandas_udf(T.StringType())

@@ -170,15 +170,18 @@ def coverage_gate(scores: DataFrame, expected: DataFrame, threshold: float) -> t
     c = F.col
     rows = scores.withColumn("coverage", c("matched_cues") / c("reference_cues")).withColumn(
         "passed", c("coverage") >= threshold)
-    want = expected.select("group_key").distinct()
-    engines = scores.select("engine_id").distinct()
-    full = engines.join(want.withColumn("_want", F.lit(1)), F.lit(True))  # engines: two rows
-    checked = full.join(rows.groupBy("engine_id", "group_key").agg(F.count("*").alias("n"), F.bool_and("passed").alias("ok")),
-                        ["engine_id", "group_key"], "full_outer")
-    verdict = checked.agg(
-        F.count_distinct("engine_id").alias("engines"), F.count_if(c("n").isNull()).alias("missing_groups"),
-        F.count_if(c("_want").isNull()).alias("unexpected_groups"), F.count_if(c("n") > 1).alias("duplicate_groups"),
-        F.count_if(~c("ok")).alias("failed_groups"))
+    want = expected.select("group_key").distinct().withColumn("_want", F.lit(1))
+    per_group = rows.groupBy("group_key").agg(
+        F.count("*").alias("n"), F.count_distinct("engine_id").alias("engines"), F.count_if(~c("passed")).alias("failed"))
+    n_engines = scores.select(F.count_distinct("engine_id")).scalar()
+    joined = want.join(per_group, "group_key", "full_outer")
+    wanted = c("_want").isNotNull()
+    verdict = joined.agg(
+        F.coalesce(F.max(n_engines), F.lit(0)).alias("engines"),
+        F.coalesce(F.sum(F.when(wanted, n_engines - F.coalesce(c("engines"), F.lit(0)))), F.lit(0)).alias("missing_groups"),
+        F.coalesce(F.sum(F.when(~wanted, c("engines"))), F.lit(0)).alias("unexpected_groups"),
+        F.coalesce(F.sum(c("n") - c("engines")), F.lit(0)).alias("duplicate_groups"),
+        F.coalesce(F.sum("failed"), F.lit(0)).alias("failed_groups"))
     good = (c("engines") == 2) & (c("missing_groups") + c("unexpected_groups") + c("duplicate_groups") + c("failed_groups") == 0)
     return rows, verdict.withColumn("status", F.when(good, "PASS").otherwise("FAIL"))
 

@@ -175,18 +175,15 @@ def blind_reveal(reveals: DataFrame, ratings: DataFrame, candidates: DataFrame)
 
     ``reveals``: ``line_no, reviewer_id``; ``ratings``: all rating events.
     """
-    total = candidates.agg(F.count_distinct("candidate_id").alias("needed"), F.lit(1).alias("_one"))
+    needed = candidates.select(F.count_distinct("candidate_id")).scalar()
+    last_rating = ratings.select(F.max("line_no")).scalar()
     before = (reveals.withColumnRenamed("line_no", "reveal_line")
               .join(ratings.select("reviewer_id", "candidate_id", "line_no"), "reviewer_id", "left")
-              .where("line_no IS NULL OR line_no < reveal_line")
-              .groupBy("reviewer_id", "reveal_line").agg(F.count_distinct("candidate_id").alias("done")))
-    last = ratings.agg(F.max("line_no").alias("last_rating"), F.lit(1).alias("_one"))
-    joined = (reveals.withColumnRenamed("line_no", "reveal_line").join(before, ["reviewer_id", "reveal_line"], "left")
-              .withColumn("_one", F.lit(1)).join(total, "_one").join(last, "_one").drop("_one"))
+              .groupBy("reviewer_id", "reveal_line").agg(
+                  F.count_distinct(F.when(F.col("line_no") < F.col("reveal_line"), F.col("candidate_id"))).alias("rated")))
     c = F.col
-    done = F.coalesce(c("done"), F.lit(0))
-    return joined.select("reviewer_id", "reveal_line", done.alias("rated"), "needed", F.when(done < c("needed"), "incomplete")
-                         .when(c("last_rating") > c("reveal_line"), "rated_after").otherwise("allowed").alias("status"))
+    return before.withColumn("needed", needed).withColumn("status", F.when(c("rated") < c("needed"), "incomplete")
+                             .when(last_rating > c("reveal_line"), "rated_after").otherwise("allowed"))
 
 
 def neighbour_context(cues: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:

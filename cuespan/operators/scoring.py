@@ -28,7 +28,7 @@ def pair_measures(pairs: DataFrame, ref: str = "reference", pred: str = "predict
     return normal.select(
         *pairs.columns,
         F.length(r).cast("bigint").alias("ref_chars"),
-        F.when(scored, F.levenshtein(r, p)).otherwise(zero).cast("bigint").alias("char_edits"),
+        F.when(scored & (r != p), F.levenshtein(r, p)).otherwise(zero).cast("bigint").alias("char_edits"),
         F.size(tx.words(r)).cast("bigint").alias("ref_words"),
         F.when(scored, tx.word_distance(r, p)).otherwise(zero).cast("bigint").alias("word_edits"),
         (r == p).alias("exact"), (p != "").alias("covered"))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cuespan.plans import align_queries, block_queries, journal_queries, repair_queries  # noqa: F401
+from cuespan.plans import align_queries, block_queries, board_queries, dataset_queries, journal_queries, repair_queries  # noqa: F401
 from cuespan.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

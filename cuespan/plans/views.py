@@ -158,14 +158,14 @@ sql_view("journal", (), """
 SELECT event_id AS line_no, event_id, user_id AS cue_id,
        CASE event_type WHEN 'signup' THEN 'accepted' WHEN 'purchase' THEN 'corrected'
             WHEN 'view' THEN 'uncertain' WHEN 'click' THEN 'undo' ELSE 'invalid' END AS kind,
-       CASE event_type WHEN 'signup' THEN CASE WHEN value < 20 THEN 'cue ' || user_id ELSE 'other' END
-            WHEN 'purchase' THEN CASE WHEN value < 15 THEN 'fixed ' || event_id % 10 ELSE '  ' END
-            WHEN 'view' THEN CASE WHEN value < 20 THEN '' ELSE 'x' END END AS verified_text,
+       CASE event_type WHEN 'signup' THEN CASE WHEN value < 120 THEN 'cue ' || user_id ELSE 'other' END
+            WHEN 'purchase' THEN CASE WHEN value < 100 THEN 'fixed ' || event_id % 10 ELSE '  ' END
+            WHEN 'view' THEN CASE WHEN value < 120 THEN '' ELSE 'x' END END AS verified_text,
        CASE WHEN event_type = 'click' THEN
-            CASE WHEN value < 3 THEN -1 ELSE max(CASE WHEN event_type IN ('signup', 'purchase', 'view')
+            CASE WHEN value < 15 THEN -1 ELSE max(CASE WHEN event_type IN ('signup', 'purchase', 'view')
                  THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END END AS undo_id,
-       CASE WHEN value > 30 THEN 'old' ELSE 'm1' END AS manifest_sha, 'c' || user_id % 50 AS crop_sha
+       CASE WHEN value > 300 THEN 'old' ELSE 'm1' END AS manifest_sha, 'c' || user_id % 50 AS crop_sha
 FROM events""")
 
 
@@ -178,11 +178,11 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id AS line_no", "event_id", "user_id AS cue_id",
         "CASE event_type WHEN 'signup' THEN 'accepted' WHEN 'purchase' THEN 'corrected' WHEN 'view' THEN 'uncertain' "
         "WHEN 'click' THEN 'undo' ELSE 'invalid' END AS kind",
-        "CASE event_type WHEN 'signup' THEN if(value < 20, 'cue ' || user_id, 'other') "
-        "WHEN 'purchase' THEN if(value < 15, 'fixed ' || event_id % 10, '  ') "
-        "WHEN 'view' THEN if(value < 20, '', 'x') END AS verified_text",
-        "CASE WHEN event_type = 'click' THEN if(value < 3, -1L, latest) END AS undo_id",
-        "if(value > 30, 'old', 'm1') AS manifest_sha", "'c' || user_id % 50 AS crop_sha")
+        "CASE event_type WHEN 'signup' THEN if(value < 120, 'cue ' || user_id, 'other') "
+        "WHEN 'purchase' THEN if(value < 100, 'fixed ' || event_id % 10, '  ') "
+        "WHEN 'view' THEN if(value < 120, '', 'x') END AS verified_text",
+        "CASE WHEN event_type = 'click' THEN if(value < 15, -1L, latest) END AS undo_id",
+        "if(value > 300, 'old', 'm1') AS manifest_sha", "'c' || user_id % 50 AS crop_sha")
 
 
 sql_view("pack_cues", (), """
