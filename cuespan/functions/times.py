@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,26 +18,42 @@ def _assemble(h: Column, m: Column, s: Column, ms: Column) -> Column:
     return F.when((m <= 59) & (s <= 59), ((h * 60 + m) * 60 + s) * 1000 + ms)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    return F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, 5)])
+
+
 def srt_ms(stamp: Column) -> Column:
     """``HH:MM:SS,mmm`` only; anything else is null."""
-    t = F.regexp_replace(stamp, r"(?U)^\s+|\s+$", "")
-    part = [F.regexp_extract(t, _STRICT, i) for i in range(1, 5)]
-    usable = (F.length(t) <= K.MAX_STAMP_CHARS) & t.rlike(_STRICT) & (F.length(part[0]) <= K.MAX_HOUR_DIGITS)
-    return F.when(usable, _assemble(*part))
+    def parse(t: Column) -> Column:
+        usable = (F.length(t) <= K.MAX_STAMP_CHARS) & t.rlike(_STRICT)
+        return F.when(usable, bind(_parts(t, _STRICT), lambda p: F.when(
+            F.length(p[0]) <= K.MAX_HOUR_DIGITS, _assemble(*[F.get(p, F.lit(i)) for i in range(4)]))))
+
+    return bind(F.regexp_replace(stamp, r"(?U)^\s+|\s+$", ""), parse)
 
 
 def loose_ms(stamp: Column, full_match: bool = False) -> Column:
     """Optional hours, comma or point, one to three digits of milliseconds."""
     pattern = _LOOSE + ("$" if full_match else "")
-    part = [F.regexp_extract(stamp, pattern, i) for i in range(1, 5)]
-    hours = F.when(part[0] == "", F.lit("0")).otherwise(part[0])
-    usable = (F.length(stamp) <= K.MAX_STAMP_CHARS) & stamp.rlike(pattern)
-    return F.when(usable, _assemble(hours, part[1], part[2], F.rpad(part[3], 3, "0")))
+
+    def parse(t: Column) -> Column:
+        def whole(p: Column) -> Column:
+            h, m, s, ms = (F.get(p, F.lit(i)) for i in range(4))
+            return _assemble(F.when(h == "", F.lit("0")).otherwise(h), m, s, F.rpad(ms, 3, "0"))
+
+        return F.when((F.length(t) <= K.MAX_STAMP_CHARS) & t.rlike(pattern), bind(_parts(t, pattern), whole))
+
+    return bind(stamp, parse)
 
 
 def _split(ms: Column) -> tuple[Column, Column, Column, Column]:
     whole = F.bround(ms.cast("double")).cast("bigint")
-    return (F.expr("0") + F.floor(whole / 3_600_000), F.floor(whole / 60_000) % 60,
+    return (F.floor(whole / 3_600_000), F.floor(whole / 60_000) % 60,
             F.floor(whole / 1000) % 60, whole % 1000)
 
 

@@ -75,7 +75,7 @@ def x5(spark, sf):
         "cue_id", "line_no", "event_id", "kind", "verified_text", "undo_id", "review_ok", "ts")
     out = in_steps(spark, checked, _halves(), lambda s: jobs.review_state(s.drop("ts")), "update")
     last = out.where("not late").groupBy("cue_id").agg(F.max_by(F.struct("event_id", "kind", "verified_text"), "batch_id").alias("s"))
-    return last.where("s.event_id IS NOT NULL").select("cue_id", "s.*")
+    return last.where("s.event_id >= 0").select("cue_id", "s.*")
 
 
 @query("x6_job_lifecycle", """

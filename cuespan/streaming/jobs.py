@@ -1,7 +1,7 @@
 """Live forms of the journal, contribution, job and board logic.
 
-Each function takes a streaming DataFrame and returns one; state is kept per key
-by ``transformWithStateInPandas`` and bounded by time to live or by size.
+Each function takes a streaming DataFrame and returns one; custom state is kept
+per key by ``applyInPandasWithState`` and leaves by time-out or is bounded in size.
 """
 
 from __future__ import annotations
@@ -11,51 +11,47 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuespan import constants as K
 from cuespan.operators.board import low_percent
 
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+DAY_MS = 86_400_000
 
 
-def _ordered(rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
+def _ordered(rows: Iterator[pd.DataFrame], order: str):
     """The rows of one key in one micro-batch; the trigger bounds their number."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
+    frames = list(rows)
+    if not frames:
+        return iter(())
+    return pd.concat(frames, ignore_index=True).sort_values(order, kind="stable").itertuples(index=False)
 
 
-class _Ingest(StatefulProcessor):
-    """First payload of a submission id wins; repeats are told from conflicts."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "token_hash string, payload string", ttlDurationMs=self.ttl_ms)
+def contribution_ingest(calls: DataFrame, retention_days: int = 90) -> DataFrame:
+    """``submission_id, seq, token_hash, payload`` → status per call.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.first.get()) if self.first.exists() else None
-        out = []
-        for row in _ordered(rows, "seq").itertuples(index=False):
+    The first payload of an id wins; the same token and payload again are a repeat,
+    anything else is a conflict. Ids are forgotten after the retention time.
+    """
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, out = (tuple(state.get) if state.exists else None), []
+        for row in _ordered(rows, "seq"):
             said = (str(row.token_hash), row.payload)
             if known is None:
                 known, status = said, "accepted"
-                self.first.update(said)
+                state.update(said)
             else:
                 status = "already_received" if said == known else "conflict"
-            out.append((key[0], row.seq, status))
+            out.append((key[0], int(row.seq), status))
+        state.setTimeoutDuration(retention_days * DAY_MS)
         yield pd.DataFrame(out, columns=["submission_id", "seq", "status"])
 
-    def close(self) -> None:
-        pass
-
-
-def contribution_ingest(calls: DataFrame, retention_days: int = 90) -> DataFrame:
-    """``submission_id, seq, token_hash, payload`` → status per call."""
-    return calls.groupBy("submission_id").transformWithStateInPandas(
-        _Ingest(retention_days * 86_400_000), "submission_id string, seq bigint, status string", "append", "ProcessingTime")
+    return calls.groupBy("submission_id").applyInPandasWithState(
+        step, "submission_id string, seq bigint, status string", "token_hash string, payload string",
+        "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def drop_repeats(calls: DataFrame, time: str, delay: str, keys: list[str]) -> DataFrame:
@@ -63,32 +59,26 @@ def drop_repeats(calls: DataFrame, time: str, delay: str, keys: list[str]) -> Da
     return calls.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-class _RateLimit(StatefulProcessor):
-    """Times of accepted calls in the last hour; rejected calls do not count."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getValueState("accepted", "at array<bigint>")
+def rate_limit(calls: DataFrame) -> DataFrame:
+    """``token_hash, seq, at_ms`` → allowed or not, 60 accepted calls an hour.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = list(self.accepted.get()[0]) if self.accepted.exists() else []
+    Rejected calls do not count, so the state is the list of accepted times, at
+    most sixty per token.
+    """
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times = [int(t) for t in state.get[0].split(",") if t] if state.exists else []
         out = []
-        for row in _ordered(rows, "seq").itertuples(index=False):
+        for row in _ordered(rows, "seq"):
             times = [t for t in times if row.at_ms - t < K.RATE_WINDOW_S * 1000]
             allowed = len(times) < K.RATE_LIMIT
             if allowed:
                 times.append(int(row.at_ms))
-            out.append((key[0], row.seq, allowed))
-        self.accepted.update((times,))
+            out.append((key[0], int(row.seq), allowed))
+        state.update((",".join(map(str, times)),))
         yield pd.DataFrame(out, columns=["token_hash", "seq", "allowed"])
 
-    def close(self) -> None:
-        pass
-
-
-def rate_limit(calls: DataFrame) -> DataFrame:
-    """``token_hash, seq, at_ms`` → allowed or not, 60 accepted calls an hour."""
-    return calls.groupBy("token_hash").transformWithStateInPandas(
-        _RateLimit(), "token_hash bigint, seq bigint, allowed boolean", "append", "None")
+    return calls.groupBy("token_hash").applyInPandasWithState(
+        step, "token_hash bigint, seq bigint, allowed boolean", "accepted string", "append", GroupStateTimeout.NoTimeout)
 
 
 def token_validity(calls: DataFrame, tokens: DataFrame, ttl_days: int | None = None) -> DataFrame:
@@ -97,84 +87,61 @@ def token_validity(calls: DataFrame, tokens: DataFrame, ttl_days: int | None = N
     return token_valid(calls.join(tokens, "token_hash", "left"), F.col("ts"), ttl_days)
 
 
-class _Reviews(StatefulProcessor):
-    """The active review of a cue and the last line seen."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "line_no bigint, event_id bigint, kind string, verified_text string")
+def review_state(events: DataFrame) -> DataFrame:
+    """Current review per touched cue after each batch (update rows), and a
+    ``late`` row for every line at or before one already applied.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        line, active, kind, text = self.state.get() if self.state.exists() else (-1, None, None, None)
+    ``events``: ``cue_id, line_no, event_id, kind, verified_text, undo_id, review_ok``.
+    An ``event_id`` of -1 means that no review is in force.
+    """
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        line, active, kind, text = state.get if state.exists else (-1, -1, "", "")
         late = []
-        for row in _ordered(rows, "line_no").itertuples(index=False):
+        for row in _ordered(rows, "line_no"):
             if row.line_no <= line:
-                late.append(row.line_no)
+                late.append((key[0], int(row.line_no), -1, "", "", True))
                 continue
             line = int(row.line_no)
             if row.kind == "undo":
-                if active is not None and not pd.isna(row.undo_id) and int(row.undo_id) == active:
-                    active = kind = text = None
+                if active >= 0 and not pd.isna(row.undo_id) and int(row.undo_id) == active:
+                    active, kind, text = -1, "", ""
             elif row.review_ok:
                 active, kind, text = int(row.event_id), row.kind, row.verified_text
-        self.state.update((line, active, kind, text))
-        out = [(key[0], line, active, kind, text, False)] + [(key[0], int(n), None, None, None, True) for n in late]
-        frame = pd.DataFrame(out, columns=["cue_id", "line_no", "event_id", "kind", "verified_text", "late"])
-        frame["event_id"] = frame["event_id"].astype("Int64")
-        yield frame
+        state.update((line, active, kind, text))
+        yield pd.DataFrame([(key[0], line, active, kind, text, False), *late],
+                           columns=["cue_id", "line_no", "event_id", "kind", "verified_text", "late"])
 
-    def close(self) -> None:
-        pass
+    return events.groupBy("cue_id").applyInPandasWithState(
+        step, "cue_id bigint, line_no bigint, event_id bigint, kind string, verified_text string, late boolean",
+        "line_no bigint, event_id bigint, kind string, verified_text string", "update", GroupStateTimeout.NoTimeout)
 
 
-def review_state(events: DataFrame) -> DataFrame:
-    """Current review per touched cue after each batch (update rows), and a
-    ``late`` row for every line at or before one already applied.
+def job_lifecycle(updates: DataFrame, silence_ms: int = 3_600_000) -> DataFrame:
+    """``id, seq, status, phase`` → latest status per job as it changes.
 
-    ``events``: ``cue_id, line_no, event_id, kind, verified_text, undo_id, review_ok``.
+    A running job without an update for ``silence_ms`` is reported interrupted; the
+    state of a finished job leaves after the same time.
     """
-    return events.groupBy("cue_id").transformWithStateInPandas(
-        _Reviews(), "cue_id bigint, line_no bigint, event_id bigint, kind string, verified_text string, late boolean",
-        "update", "None")
-
-
-class _Jobs(StatefulProcessor):
-    """Latest status of a job; a running job without updates is interrupted."""
-
-    def __init__(self, silence_ms: int, keep_ms: int):
-        self.silence_ms, self.keep_ms = silence_ms, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.latest = handle.getValueState("latest", "seq bigint, status string, phase string", ttlDurationMs=self.keep_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, status, phase = self.latest.get() if self.latest.exists() else (-1, None, None)
-        for row in _ordered(rows, "seq").itertuples(index=False):
+    columns = ["id", "seq", "status", "phase", "error_code"]
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            seq, status, _ = state.get
+            state.remove()
+            if status == "running":
+                yield pd.DataFrame([(key[0], seq, "interrupted", "complete", "server_restart")], columns=columns)
+            return
+        seq, status, phase = state.get if state.exists else (-1, "", "")
+        for row in _ordered(rows, "seq"):
             if row.seq > seq:
                 seq, status, phase = int(row.seq), row.status, row.phase
-        self.latest.update((seq, status, phase))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if status == "running":
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silence_ms)
-        yield pd.DataFrame([(key[0], seq, status, phase, None)], columns=["id", "seq", "status", "phase", "error_code"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.latest.exists() and self.latest.get()[1] == "running":
-            seq = self.latest.get()[0]
-            self.latest.update((seq, "interrupted", "complete"))
-            yield pd.DataFrame([(key[0], seq, "interrupted", "complete", "server_restart")],
-                               columns=["id", "seq", "status", "phase", "error_code"])
-
-    def close(self) -> None:
-        pass
-
-
-def job_lifecycle(updates: DataFrame, silence_ms: int = 3_600_000, keep_days: int = 30) -> DataFrame:
-    """``id, seq, status, phase`` → latest status per job as it changes."""
-    return updates.groupBy("id").transformWithStateInPandas(
-        _Jobs(silence_ms, keep_days * 86_400_000), "id string, seq bigint, status string, phase string, error_code string",
-        "update", "ProcessingTime")
+        state.update((seq, status, phase))
+        state.setTimeoutDuration(silence_ms)
+        yield pd.DataFrame([(key[0], seq, status, phase, "")], columns=columns)
+
+    return updates.groupBy("id").applyInPandasWithState(
+        step, "id string, seq bigint, status string, phase string, error_code string",
+        "seq bigint, status string, phase string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_monitor(stats: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from cuespan.session import cut_lineage
-from cuespan.streaming.jobs import STATE_STORE
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -23,16 +22,16 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> None:
-    """Process everything available; each batch is added to ``folder/out``."""
-    spark = stream.sparkSession
+    """Process what is there in one batch, added to ``folder/out``.
 
+    ``availableNow`` would never end for jobs with processing-time time-outs: they
+    always ask for one more batch.
+    """
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.selectExpr("*", f"{batch_id}L AS batch_id").write.mode("append").parquet(folder + "/out")
 
-    for key, value in STATE_STORE.items():
-        spark.conf.set(key, value)
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", folder + "/state")
-             .trigger(availableNow=True).foreachBatch(store).start())
+             .trigger(once=True).foreachBatch(store).start())
     query.awaitTermination()
 
 
