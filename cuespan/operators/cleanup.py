@@ -103,7 +103,7 @@ def micro_cleanup(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_i
 
         def merged(old, new):
             text = old if length(old) >= length(new) else new
-            return [min(old[0], new[0]), max(old[1], new[1]), text[2], text[3], old[4] and new[4]]
+            return [min(old[0], new[0]), max(old[1], new[1]), *text[2:]]
 
         def match(new, old):
             return bool(old[2].strip()) and alike(new[2], old[2], K.MICRO_SIM)
@@ -113,8 +113,6 @@ def micro_cleanup(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_i
 
         for row in rows:
             block = list(row[n:n + 5])
-            block_junk = row[n + 5]
-            block[4] = block_junk
             if length(block) < K.MICRO_MAX_SECONDS and block[2].strip():
                 if out and match(block, out[-1]):
                     out[-1] = merged(out[-1], block)
@@ -143,7 +141,7 @@ def micro_cleanup(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_i
     types = dict(blocks.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys],
                         "start_f bigint, end_f bigint, text string, conf double, stream string"])
-    ready = runs.select(*keys, "start_f", "end_f", "text", "conf", F.lit(False).alias("slot"),
+    ready = runs.select(*keys, "start_f", "end_f", "text", "conf",
                         filters.micro_junk(F.col("text"), F.col("conf")).alias("junk"), "_run", "block_no")
     return fold_sorted(ready, [*keys, "_run"], ["block_no"], fold, schema)
 

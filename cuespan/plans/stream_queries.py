@@ -12,11 +12,14 @@ from cuespan.plans.registry import query
 from cuespan.streaming import jobs
 from cuespan.streaming.run import in_steps
 
-_HALF = "2024-01-16 00:00:00"
+def _events(spark, sf):
+    """Events with an instant instead of a zoneless time, whatever the session zone."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return v.table(spark, sf, "events").withColumn("ts", F.timestamp_micros(micros))
 
 
 def _halves(time="ts"):
-    cut = F.lit(_HALF).cast("timestamp")
+    cut = F.timestamp_micros(F.lit(1_705_363_200_000_000))  # 2024-01-16 00:00 UTC
     return [F.col(time) < cut, F.col(time) >= cut]
 
 
@@ -26,7 +29,7 @@ SELECT 'S' || user_id % 60 || '-' || event_type AS submission_id, event_id AS se
             WHEN user_id = first_value(user_id) OVER w AND event_id % 4 = first_value(event_id % 4) OVER w THEN 'already_received' ELSE 'conflict' END AS status
 FROM events WINDOW w AS (PARTITION BY user_id % 60, event_type ORDER BY event_id)""")
 def x1(spark, sf):
-    calls = v.table(spark, sf, "events").selectExpr(
+    calls = _events(spark, sf).selectExpr(
         "'S' || user_id % 60 || '-' || event_type AS submission_id", "event_id AS seq", "user_id AS token_hash", "'p' || event_id % 4 AS payload", "ts")
     return in_steps(spark, calls, _halves(), lambda s: jobs.contribution_ingest(s.drop("ts"))).select("submission_id", "seq", "status")
 
@@ -34,7 +37,7 @@ def x1(spark, sf):
 @query("x1_drop_repeats", """
 SELECT submission, count(*) AS n FROM (SELECT DISTINCT user_id % 10 || event_type AS submission, CAST(date_trunc('month', ts) AS VARCHAR) AS m FROM events) t GROUP BY 1""")
 def x1_repeats(spark, sf):
-    calls = v.table(spark, sf, "events").selectExpr("user_id % 10 || event_type AS submission", "ts")
+    calls = _events(spark, sf).selectExpr("user_id % 10 || event_type AS submission", "ts")
     kept = in_steps(spark, calls, _halves(), lambda s: jobs.drop_repeats(s, "ts", "60 days", ["submission"]))
     return kept.groupBy("submission").agg(F.count("*").alias("n"))
 
@@ -42,7 +45,7 @@ def x1_repeats(spark, sf):
 @query("x2_rate_limit")
 def x2(spark, sf):
     """Calls of ten tokens, five seconds of table time per hour of call time."""
-    calls = v.table(spark, sf, "events").selectExpr(
+    calls = _events(spark, sf).selectExpr(
         "user_id % 10 AS token_hash", "event_id AS seq", "unix_millis(ts) div 20 AS at_ms", "ts")
     return in_steps(spark, calls, _halves(), lambda s: jobs.rate_limit(s.drop("ts"))).select("token_hash", "seq", "allowed")
 
@@ -51,7 +54,7 @@ def x2(spark, sf):
 SELECT e.event_id, NOT (user_id % 3 = 0) AND NOT (user_id % 7 = 0) AND e.ts < CASE WHEN user_id % 5 = 0 THEN TIMESTAMP '2024-01-21 00:00:00'
        ELSE TIMESTAMP '2024-01-10 00:00:00' + to_days(CAST(user_id % 5 AS INTEGER)) END AS valid FROM events e""")
 def x3(spark, sf):
-    calls = v.table(spark, sf, "events").select("event_id", F.col("user_id").alias("token_hash"), "ts")
+    calls = _events(spark, sf).select("event_id", F.col("user_id").alias("token_hash"), "ts")
     tokens = _tokens(spark, sf)
     return in_steps(spark, calls, _halves(), lambda s: jobs.token_validity(s, tokens, 20)).select("event_id", "valid")
 
@@ -71,7 +74,7 @@ def x5(spark, sf):
     events = v.journal(spark, sf)
     ocr = F.concat(F.lit("cue "), "cue_id")
     checked = events.withColumn("review_ok", journal.valid_review(F.col("kind"), F.col("verified_text"), ocr)).join(
-        v.table(spark, sf, "events").select("event_id", "ts"), "event_id").select(
+        _events(spark, sf).select("event_id", "ts"), "event_id").select(
         "cue_id", "line_no", "event_id", "kind", "verified_text", "undo_id", "review_ok", "ts")
     out = in_steps(spark, checked, _halves(), lambda s: jobs.review_state(s.drop("ts")), "update")
     last = out.where("not late").groupBy("cue_id").agg(F.max_by(F.struct("event_id", "kind", "verified_text"), "batch_id").alias("s"))
@@ -81,7 +84,7 @@ def x5(spark, sf):
 @query("x6_job_lifecycle", """
 SELECT id, max(seq) AS seq, arg_max(status, seq) AS status FROM jobs GROUP BY id""", ("jobs",))
 def x6(spark, sf):
-    updates = spark.sql(_JOB.replace("FROM events", "FROM {e}"), e=v.table(spark, sf, "events")).select("id", "seq", "status", "phase", F.col("updated_at").alias("ts"))
+    updates = spark.sql(_JOB.replace("FROM events", "FROM {e}"), e=_events(spark, sf)).select("id", "seq", "status", "phase", F.col("updated_at").alias("ts"))
     out = in_steps(spark, updates, _halves(), lambda s: jobs.job_lifecycle(s.drop("ts")), "update")
     return out.groupBy("id").agg(F.max_by(F.struct("seq", "status"), F.struct("seq", "batch_id")).alias("s")).select("id", "s.*")
 
@@ -100,7 +103,7 @@ _WINDOWS = "SELECT epoch_ms({start}) AS start_ms, event_type AS kind, count(*) A
 
 
 def _final_windows(spark, sf, size, slide=None):
-    runs = v.table(spark, sf, "events").select("ts", F.col("event_type").alias("kind"), (F.col("value") < 20).alias("low"))
+    runs = _events(spark, sf).select("ts", F.col("event_type").alias("kind"), (F.col("value") < 20).alias("low"))
     out = in_steps(spark, runs, _halves(), lambda s: jobs.run_windows(s, "ts", "1 hour", size, slide), "update")
     last = out.groupBy("w", "kind").agg(F.max_by(F.struct("runs", "low_runs"), "batch_id").alias("s"))
     return last.select(F.unix_millis("w.start").alias("start_ms"), "kind", "s.*")
@@ -119,7 +122,7 @@ def x8_sliding(spark, sf):
 @query("x8_cue_sessions", """
 SELECT episode_id, min(start_ms) AS start_ms, count(*) AS cues FROM (
   SELECT *, sum(opens) OVER (PARTITION BY episode_id ORDER BY start_ms, cue_index ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY episode_id ORDER BY start_ms, cue_index) < 4000 THEN 0 ELSE 1 END AS opens FROM cues_ref) a) b
+    SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY episode_id ORDER BY start_ms, cue_index) <= 4000 THEN 0 ELSE 1 END AS opens FROM cues_ref) a) b
 GROUP BY episode_id, g""", ("cues_ref",))
 def x8_sessions(spark, sf):
     cues = v.cues_ref(spark, sf).select("episode_id", F.timestamp_millis("start_ms").alias("ts"))
