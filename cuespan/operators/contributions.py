@@ -41,42 +41,48 @@ def build_payload(stats: DataFrame) -> DataFrame:
 
 def validate_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``problem``: the first broken rule of the closed schema, else null."""
-    p = F.col(payload)
-    m = F.get_json_object(p, "$.metrics")
+    p, j, m = F.col(payload), F.col("_j"), F.col("_j.metrics")
+    # parsed once; numbers and nested objects arrive as their JSON text
+    df = df.withColumn("_j", F.from_json(
+        p, "schema_version STRING, submission_id STRING, created_at STRING, metrics MAP<STRING,STRING>"))
 
     def field(name: str) -> Column:
-        return F.get_json_object(m, f"$.{name}")
+        return F.try_element_at(m, F.lit(name))
+
+    def quoted(names: list[str]) -> Column:
+        # a JSON string would print like a number
+        return p.rlike(f'"({"|".join(names)})"\\s*:\\s*"')
 
     def bad_number(name: str, top: float, whole: bool = False, required: bool = False) -> Column:
         raw = field(name)
-        # a JSON string prints like a number, so the raw text is looked at too
-        quoted = m.rlike(f'"{name}"\\s*:\\s*"')
-        ok = ~quoted & raw.rlike(_WHOLE if whole else _NUMBER) & raw.cast("double").between(0, top)
+        ok = raw.rlike(_WHOLE if whole else _NUMBER) & raw.try_cast("double").between(0, top)
         return ~F.coalesce(ok, F.lit(not required))
 
-    keys, metric_keys = F.json_object_keys(p), F.json_object_keys(m)
+    keys, metric_keys = F.json_object_keys(p), F.map_keys(m)
     absent = lambda have, want: F.size(F.array_except(F.array(*map(F.lit, want)), have)) > 0
     extra = lambda have, want: F.size(F.array_except(have, F.array(*map(F.lit, want)))) > 0
-    cer_keys = F.json_object_keys(field("cer"))
-    cer_bad = field("cer").isNotNull() & ~F.coalesce(
+    cer = field("cer")
+    cer_keys = F.json_object_keys(cer)
+    cer_bad = cer.isNotNull() & ~F.coalesce(
         ~absent(cer_keys, ["value", "reference_class"]) & ~extra(cer_keys, ["value", "reference_class"])
-        & (F.get_json_object(m, "$.cer.reference_class") == "trusted_local_vtt")
-        & F.get_json_object(m, "$.cer.value").cast("double").between(0, 10), F.lit(False))
+        & (F.get_json_object(cer, "$.reference_class") == "trusted_local_vtt")
+        & F.get_json_object(cer, "$.value").try_cast("double").between(0, 10), F.lit(False))
+    measures, counts = ["duration_seconds", "speech_seconds", "low_conf_ratio"], ["frames_scanned", "cue_count", "low_conf_count"]
     problem = (F.when(keys.isNull() | absent(keys, PAYLOAD_KEYS) | extra(keys, PAYLOAD_KEYS), "keys")
-               .when(~F.coalesce(F.get_json_object(p, "$.schema_version") == "1", F.lit(False)), "schema_version")
-               .when(~F.coalesce(F.get_json_object(p, "$.submission_id").rlike(_UUID), F.lit(False)), "submission_id")
-               .when(~F.coalesce(F.get_json_object(p, "$.created_at").rlike(_ZONED), F.lit(False)), "created_at")
+               .when(~F.coalesce(j["schema_version"] == "1", F.lit(False)), "schema_version")
+               .when(~F.coalesce(j["submission_id"].rlike(_UUID), F.lit(False)), "submission_id")
+               .when(~F.coalesce(j["created_at"].rlike(_ZONED), F.lit(False)), "created_at")
                .when(metric_keys.isNull() | extra(metric_keys, K.METRIC_KEYS), "unknown_metric")
                .when(absent(metric_keys, K.REQUIRED_METRIC_KEYS), "missing_metric")
                .when(~F.coalesce(field("device_class").isin("cuda", "cpu", "unknown")
                                  & field("engine_class").isin("easyocr", "rapidocr", "unknown"), F.lit(False)), "class")
-               .when(bad_number("duration_seconds", 86400, required=True) | bad_number("speech_seconds", 86400)
-                     | bad_number("low_conf_ratio", 1), "range")
-               .when(bad_number("frames_scanned", 10_000_000, True, True) | bad_number("cue_count", 1_000_000, True, True)
-                     | bad_number("low_conf_count", 1_000_000, True, True), "count")
-               .when(field("low_conf_count").cast("bigint") > field("cue_count").cast("bigint"), "low_above_cues")
+               .when(quoted(measures) | bad_number("duration_seconds", 86400, required=True)
+                     | bad_number("speech_seconds", 86400) | bad_number("low_conf_ratio", 1), "range")
+               .when(quoted(counts) | bad_number("frames_scanned", 10_000_000, True, True)
+                     | bad_number("cue_count", 1_000_000, True, True) | bad_number("low_conf_count", 1_000_000, True, True), "count")
+               .when(field("low_conf_count").try_cast("bigint") > field("cue_count").try_cast("bigint"), "low_above_cues")
                .when(cer_bad, "cer"))
-    return df.withColumn("problem", problem)
+    return df.withColumn("problem", problem).drop("_j")
 
 
 def zoned_timestamp(text: Column) -> Column:
