@@ -269,3 +269,35 @@ SELECT '{"episodes":' || count(*) || ',"blocks":' || CAST(sum(blocks) AS BIGINT)
 def s15(spark, sf):
     totals = board.board_totals(_board(spark, sf)).select("episodes", "blocks", "to_review")
     return writers.report_json(totals)
+
+
+@query("f1_loose_ms", """
+SELECT doc_id, (n_chars % 7) * 60000 + (n_chars % 60) * 1000 + (n_chars % 10) * 100 AS ms FROM documents""")
+def f1(spark, sf):
+    stamp = F.concat((F.col("n_chars") % 7).cast("string"), F.lit(":"), F.lpad((F.col("n_chars") % 60).cast("string"), 2, "0"),
+                     F.lit("."), (F.col("n_chars") % 10).cast("string"), F.lit(" align:start"))
+    return v.table(spark, sf, "documents").select("doc_id", tm.loose_ms(stamp).alias("ms"))
+
+
+@query("f6_visible_chars", """
+SELECT doc_id, length(regexp_replace(regexp_replace(text, '<[^>]*>|\\{\\\\[^}]*\\}', '', 'g'), '\\s+', '', 'g')) AS chars FROM documents""")
+def f6(spark, sf):
+    from cuespan.functions.text import visible_chars
+    return v.table(spark, sf, "documents").select("doc_id", visible_chars(F.col("text")).alias("chars"))
+
+
+@query("f8_overlap_ms", """
+SELECT episode_id, cue_index, least(end_ms, start_ms + 3000) - greatest(start_ms, start_ms + 500) AS overlap_ms,
+       CASE WHEN end_ms - 3000 > start_ms THEN end_ms - 3000 - start_ms END AS duration_ms FROM cues_ref""", ("cues_ref",))
+def f8(spark, sf):
+    s, e = F.col("start_ms"), F.col("end_ms")
+    return v.cues_ref(spark, sf).select("episode_id", "cue_index", tm.overlap_ms(s, e, s + 500, s + 3000).alias("overlap_ms"),
+                                        tm.duration_ms(s, e - 3000).alias("duration_ms"))
+
+
+@query("f12_zoned_dates", """
+SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN epoch_ms(date_trunc('second', ts)) END AS at_ms FROM events""")
+def f12(spark, sf):
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.lit("+00:00")))
+    at = contributions.zoned_timestamp(text)
+    return v.table(spark, sf, "events").select("event_id", F.unix_millis(at).alias("at_ms"))
