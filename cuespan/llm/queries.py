@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuespan.llm import bpe
-from cuespan.llm.common import read
+from cuespan.llm import bpe, jaccard, language, packing, token_files, toxicity
+from cuespan.llm.common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -32,3 +33,47 @@ def vocabulary_path(name: str) -> str:
 @query("op3_bpe_transducer")
 def op3(spark, sf):
     return bpe.digests(read(spark, sf, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
+@query("op4_class_kneser_ney")
+def op4(spark, sf):
+    docs = read(spark, sf, "documents")
+    scorer = toxicity.train(docs, read(spark, sf, "labels"), crc_mod("doc_id", 4) != 2)
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    return toxicity.score(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op5_cross_parsing_language")
+def op5(spark, sf):
+    docs = read(spark, sf, "documents")
+    parser = language.train(docs, crc_mod("doc_id", 3) != 1)
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return language.predict(docs, parser).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_sum_of_squares_packing")
+def op6(spark, sf):
+    return packing.pack_documents(read(spark, sf, "documents"), vocabulary_path("word_bpe_49k.json"), 2048)
+
+
+@query("op7_dictionary_token_files")
+def op7(spark, sf):
+    return token_files.write(read(spark, sf, "documents"), vocabulary_path("byte_bpe_50k.json")).documents()
+
+
+@query("op10_heavy_light_jaccard", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS set FROM w),
+c AS (SELECT min(doc_id) AS rep, max(len(set)) AS n, list_sort(set) AS key FROM s WHERE len(set) > 0 GROUP BY list_sort(set)),
+e AS (SELECT rep, n, unnest(key) AS shingle FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS n, b.n AS m, count(*) AS i FROM e a JOIN e b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (n + m - i)),
+r(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a AS rep, min(b) AS root FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(set) AS BIGINT) AS n_shingles, coalesce(g.root, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.key = list_sort(s.set) AND len(s.set) > 0 LEFT JOIN g ON g.rep = c.rep""")
+def op10(spark, sf):
+    return jaccard.join(read(spark, sf, "documents"))
