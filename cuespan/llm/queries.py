@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespan.llm import bpe, jaccard, language, packing, token_files, toxicity
+from cuespan.llm import bpe, jaccard, language, packing, pii, token_files, toxicity
 from cuespan.llm.common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def op7(spark, sf):
     return token_files.write(read(spark, sf, "documents"), vocabulary_path("byte_bpe_50k.json")).documents()
 
 
+@query("op9_word_shape_field")
+def op9(spark, sf):
+    return pii.scan(read(spark, sf, "documents"))
+
+
 @query("op10_heavy_light_jaccard", r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
