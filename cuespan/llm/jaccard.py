@@ -256,7 +256,7 @@ LED = "key long, salts int, sig long, n int, pos int, lsig long, ln int, lpos in
 
 
 def _led(listed: DataFrame) -> DataFrame:
-    turn = F.xxhash64("key", "sig")  # lists are led by different sets, so that groups meet soon
+    turn = F.xxhash64("sig")  # lists with the same sets have the same leader, so few pairs are tried
     return (listed.withColumn("turn", turn).repartition(width(listed), "key", "salt")
             .sortWithinPartitions("key", "salt", F.col("pos") == -2, "turn", "sig").drop("turn").mapInArrow(_leaders, LED))
 
@@ -410,3 +410,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int
     ids = named.join(least, "root", "left").select("sig", F.coalesce("least", "rep").alias("component_id"))
     return (profile.where(linkable).join(ids, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
             .unionByName(profile.where(f"NOT ({linkable})").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one document of each linked group, the one of
+    smallest doc_id; all columns. Rows that are repeated with id and text stay
+    once; rows without doc_id stay."""
+    kept = join(docs, words, percent).where("component_id = doc_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns, F.xxhash64("text").alias("_h"))
+    return named.dropDuplicates(["doc_id", "_h"]).drop("_h").unionByName(docs.where("doc_id IS NULL"))

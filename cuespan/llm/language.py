@@ -192,3 +192,16 @@ def predict(docs: DataFrame, parser: CrossParser, columns: tuple[str, ...] = ("d
                                   [*(f"_{c}" for c in columns), "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema).withColumnsRenamed({f"_{c}": c for c in columns})
+
+
+def determined(docs: DataFrame, parser: CrossParser) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(parser)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for part in slices(batches, 4_000_000):
+            names, _ = own.classify(part["text"].to_pylist())
+            yield part.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

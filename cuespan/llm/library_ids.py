@@ -3,12 +3,14 @@
 The library itself takes about a second per megabyte; texts repeat their words,
 so a worker remembers the ids of the pieces it has met. A piece is what lies
 between white space, where no merge can cross, so its ids are those of the
-library over the whole text. The memory of a worker is emptied when it is full.
+library over the whole text. The memory of a worker is bounded: pieces met since
+it was last full are kept, older ones go.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,21 +27,26 @@ class LibraryIds:
         self.plain = Vocabulary(path).library
         self.plain.encode_special_tokens = True  # an added token in a text is a piece of its own
         self.known: dict = {}
+        self.older: dict = {}
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, and ``end``."""
         cut = [self.vocab.chunks(t) for t in texts]
-        if len(self.known) > KNOWN_PIECES:
-            self.known = {}
-        new = {c for t in cut for c in t if c not in self.known}
+        known, older = self.known, self.older
+        new = {c for t in cut for c in t}.difference(known)
+        for c in [c for c in new if c in older]:
+            known[c] = older[c]
+        new.difference_update(known)
         strings = [c for c in new if isinstance(c, str)]
-        for c, e in zip(strings, self.plain.encode_batch(strings, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
+        for c, e in zip(strings, self.plain.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            known[c] = array("I", e.ids).tobytes()  # four bytes, as workers are little-endian
         for c in new.difference(strings):
             ids = [c] if isinstance(c, int) else [t.id for t in self.plain.model.tokenize(c[0])]
-            self.known[c] = np.array(ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join(map(known.__getitem__, t)) + end for t in cut]
+            known[c] = np.array(ids, "<u4").tobytes()
+        out = [b"".join(map(known.__getitem__, t)) + end for t in cut]
+        if len(known) > KNOWN_PIECES:
+            self.known, self.older = {}, known
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespan.llm import bpe, jaccard, language, packing, pii, token_files, toxicity
+from cuespan.llm import bpe, chat, forest, hamming, jaccard, language, packing, pii, token_files, toxicity
 from cuespan.llm.common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,36 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_multi_index_hashing", """
+WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, r.vec_id,
+             CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.bits[i] <> r.bits[i] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+      FROM b q JOIN b r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) r WHERE rank <= 10""")
+def op1(spark, sf):
+    rows = read(spark, sf, "embeddings").select("vec_id", hamming.sign_code("embedding").alias("code"))
+    return hamming.search(rows, rows.where("vec_id % 50 = 0"), 10)
+
+
+@query("op2_perspective_rotation", """
+WITH v AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NOT NULL),
+r AS (SELECT c.conv_id, perspective, turn, role, text, coalesce(role = perspective, false) AS trained,
+             CASE WHEN role = perspective THEN '<|assistant|>' || chr(10)
+                  ELSE '<|user name=' || coalesce(replace(role, '<|', '< |'), 'unknown') || '|>' || chr(10) END AS head
+      FROM conversations c JOIN v ON c.conv_id IS NOT DISTINCT FROM v.conv_id),
+f AS (SELECT *, head || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS rendered FROM r),
+p AS (SELECT *, coalesce(sum(length(rendered)) OVER w, 0) AS start, count(*) OVER w AS position FROM f
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, turn, role, rendered, CAST(start AS BIGINT) AS start,
+       CAST(start + CASE WHEN trained THEN length(head) ELSE 0 END AS BIGINT) AS mask_start,
+       CAST(start + CASE WHEN trained THEN length(rendered) - 1 ELSE 0 END AS BIGINT) AS mask_end, trained
+FROM p""")
+def op2(spark, sf):
+    return chat.rotate(read(spark, sf, "conversations"))
+
+
 @query("op3_bpe_transducer")
 def op3(spark, sf):
     return bpe.digests(read(spark, sf, "documents"), vocabulary_path("word_bpe_49k.json"))
@@ -61,6 +91,12 @@ def op7(spark, sf):
     return token_files.write(read(spark, sf, "documents"), vocabulary_path("byte_bpe_50k.json")).documents()
 
 
+@query("op8_projection_forest")
+def op8(spark, sf):
+    rows = read(spark, sf, "embeddings")
+    return forest.search(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
 @query("op9_word_shape_field")
 def op9(spark, sf):
     return pii.scan(read(spark, sf, "documents"))

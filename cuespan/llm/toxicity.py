@@ -217,3 +217,15 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, columns: tupl
                                   [*(f"_{c}" for c in columns), "score", "predicted"])
 
     return kept.mapInArrow(run, schema).withColumnsRenamed({f"_{c}": c for c in columns})
+
+
+def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for part in slices(batches):
+            yield part.filter(pa.array([own.score(t or "") < threshold for t in part["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
