@@ -12,9 +12,9 @@ def fixture(spark, folder):
     calm = [f"the quiet river number w{i} runs past the old mill and the green hill w{i % 7} at dawn" for i in range(60)]
     bad = [f"you rotten{i} scoundrel and filthy rogue be gone you vile cur w{i}" for i in range(40)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(calm + bad)]
-    long = " ".join(f"word{i}" for i in range(300))
+    long = " ".join(f"the quiet mill by the river w{i}" for i in range(80))
     rows += [(200, long, "en", "s", 9), (201, long + " more", "en", None, 9), (202, long, None, "s", None), (203, None, "en", "s", 0),
-             (204, "12 34 !!", "en", "s", 8), (205, "write to jo@mail.example.com or 10.0.0.1 by noon", "en", "s", 5), (206, "", "en", "s", 0),
+             (204, "12 34 !!", "en", "s", 8), (205, "the quiet mill jo@mail.example.com or 10.0.0.1 by the river", "en", "s", 5), (206, "", "en", "s", 0),
              (200, long, "en", "s", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
@@ -48,7 +48,7 @@ def test_stages_by_brute_force(spark, tmp_path):
             assert {201, 202}.isdisjoint(kept) and 200 in kept
         elif name == "pii":
             assert sorted((r.doc_id, len(r.text)) for r in got) == sorted((r.doc_id, r.n_chars) for r in got)
-            assert {r.doc_id: r.text for r in got}[205] == "write to [EMAIL] or [IP] by noon"
+            assert {r.doc_id: r.text for r in got}[205] == "the quiet mill [EMAIL] or [IP] by the river"
             assert not any(spans for base, spans in pii.find([r.text for r in got], pii.field()))
             want = None
         else:
