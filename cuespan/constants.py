@@ -5,15 +5,12 @@ MAX_HOUR_DIGITS = 9
 MAX_STAMP_CHARS = 64
 
 # --- cue limits ------------------------------------------------------------
-MAX_CUE_CHARS = 4096
-MAX_CUES_PER_FILE = 100_000
-MAX_FILE_BYTES = 64 * 1024 * 1024
+MAX_REVIEW_CHARS = 20_000
 
 # --- lint ------------------------------------------------------------------
 CPS_LIMIT = 20.0
 MIN_CUE_MS = 250
 MAX_CUE_MS = 7000
-OVERLAP_DETAIL = 500
 
 # --- alignment -------------------------------------------------------------
 COMPAT_WARNING_MS = 1000

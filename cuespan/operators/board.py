@@ -94,11 +94,10 @@ def clean_jobs(jobs: DataFrame, now: Column, days: int = 30) -> DataFrame:
         "error_code": F.when(c("error_code").isin(JOB_ERRORS), c("error_code"))})
 
 
-def recent_jobs(updates: DataFrame, limit: int = 20, keep: int = 100) -> DataFrame:
+def recent_jobs(updates: DataFrame, limit: int = 20) -> DataFrame:
     """Latest record per job, newest first; ``updates`` has ``seq`` as its order."""
-    limit = max(1, min(limit, 50))
     latest = updates.groupBy("id").agg(F.max_by(F.struct(*updates.columns), "seq").alias("r")).select("r.*")
-    return latest.orderBy(F.col("seq").desc()).limit(min(limit, keep))
+    return latest.orderBy(F.col("seq").desc()).limit(limit)
 
 
 def natural_key(name: Column) -> Column:

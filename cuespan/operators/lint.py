@@ -44,11 +44,14 @@ def chronology(cues: DataFrame) -> DataFrame:
         F.col("prev.start_ms").alias("previous_start_ms"))
 
 
-def overlap_report(cues: DataFrame, detail: int = K.OVERLAP_DETAIL) -> tuple[DataFrame, DataFrame]:
-    """(the first ``detail`` overlapping pairs per file, exact totals)."""
+def overlap_report(cues: DataFrame, detail: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(overlapping pairs, exact totals). ``detail`` keeps so many pairs per file
+    for a short report; without it every pair is returned."""
     pairs = overlap_pairs(cues)
     order = [F.col(c) for c in ("second_start_ms", "second_index", "first_start_ms", "first_index")]
     totals = pairs.groupBy("episode_id").agg(F.count("*").alias("overlap_pairs"))
+    if detail is None:
+        return pairs, totals.withColumn("not_detailed", F.lit(0).cast("bigint"))
     return first_per_key(pairs, ["episode_id"], order, detail), totals.withColumn(
         "not_detailed", F.greatest(F.col("overlap_pairs") - detail, F.lit(0)))
 

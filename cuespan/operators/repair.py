@@ -325,8 +325,8 @@ def repair_text(lines: DataFrame, dictionary: DataFrame, keys: tuple[str, ...])
 def apply_rules(df: DataFrame, rules: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """Ordered literal replacements; later rules see the result of earlier ones.
 
-    Adds ``applied``: how often each rule fired. The rule list is a small hand-kept
-    table that the caller has read (``sources.dictionary.rule_list`` checks its size).
+    Adds ``applied``: how often each rule fired. ``rules`` is a short
+    list in the job itself; for a table of rules join their array and use ``rules_fold``.
     """
     current, counts = F.col(text), []
     for i, (old, new) in enumerate(rules):

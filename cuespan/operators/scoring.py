@@ -116,19 +116,21 @@ def confusions(pairs: DataFrame, keys: Sequence[str] = ("episode_id",), top: int
 
 
 def score_sums(matches: DataFrame, pred: DataFrame, ref: DataFrame, keys: Sequence[str],
-               group: Sequence[str], tolerance_ms: int) -> DataFrame:
+               group: Sequence[str], tolerance_ms: int, engines: Sequence[str]) -> DataFrame:
     """Additive cue counts per ``group``; every reference cue is scored, a
     missed one against an empty prediction.
 
     ``keys`` identify an (engine, episode); ``ref`` is keyed by the episode only.
+    Every one of the frozen ``engines`` is scored on every reference episode,
+    also where it predicted nothing.
     """
     keys = list(keys)
     ref_keys = [k for k in keys if k in ref.columns]
-    runs = pred.select(*keys).distinct()
     r = ref.select(*ref_keys, *[F.col(c).alias("r_" + c) for c in ("cue_index", "text", "start_ms", "end_ms")])
     p = pred.select(*keys, *[F.col(c).alias("p_" + c) for c in ("cue_index", "text", "start_ms", "end_ms")])
     hit = matches.select(*keys, "r_cue_index", "p_cue_index").join(p, [*keys, "p_cue_index"])
-    joined = runs.join(r, ref_keys).join(hit, [*keys, "r_cue_index"], "left")
+    runs = r.withColumn("engine_id", F.explode(F.array(*map(F.lit, engines))))
+    joined = runs.join(hit, [*keys, "r_cue_index"], "left")
     start_error = F.abs(F.col("r_start_ms") - F.col("p_start_ms"))
     end_error = F.abs(F.col("r_end_ms") - F.col("p_end_ms"))
     rows = pair_measures(
@@ -146,7 +148,7 @@ def score_sums(matches: DataFrame, pred: DataFrame, ref: DataFrame, keys: Sequen
         F.coalesce(F.sum("end_error"), F.lit(0)).alias("end_error_sum"),
         F.count_if("in_tolerance").alias("in_tolerance_cues"))
     n_pred = pred.groupBy(*keys).agg(F.count("*").alias("prediction_cues"))
-    return sums.join(n_pred, keys)
+    return sums.join(n_pred, keys, "left").withColumn("prediction_cues", F.coalesce("prediction_cues", F.lit(0)))
 
 
 SUM_COLUMNS = [

@@ -72,7 +72,7 @@ def j2(spark, sf):
 def j3(spark, sf):
     pred = v.engine_preds(spark, sf)
     edges = intervals.overlap_candidates(
-        pred, v.cues_ref(spark, sf).withColumn("engine_id", F.explode(F.array(F.lit("base"), F.lit("cand")))),
+        pred, v.cues_ref(spark, sf).withColumn("engine_id", F.explode(F.array(*map(F.lit, v.ENGINES)))),
         keys=("engine_id", "episode_id"), share_of="ref")
     return align.largest_align(edges, ("engine_id", "episode_id"))
 
@@ -140,9 +140,9 @@ def _episode_scores(spark, sf, matches=None):
     ref = v.cues_ref(spark, sf)
     keys = ("engine_id", "episode_id")
     edges = intervals.overlap_candidates(
-        pred, ref.withColumn("engine_id", F.explode(F.array(F.lit("base"), F.lit("cand")))), keys=keys, share_of="ref")
+        pred, ref.withColumn("engine_id", F.explode(F.array(*map(F.lit, v.ENGINES)))), keys=keys, share_of="ref")
     matches = align.largest_align(edges, keys) if matches is None else edges.where("p_cue_index = r_cue_index")
-    return scoring.with_cue_rates(scoring.score_sums(matches, pred, ref, keys, keys, tolerance_ms=200))
+    return scoring.with_cue_rates(scoring.score_sums(matches, pred, ref, keys, keys, 200, v.ENGINES))
 
 
 @query("a4_cue_score")
@@ -151,16 +151,15 @@ def a4(spark, sf):
 
 
 sql_view("scored_episodes", ("cues_ref", "engine_preds"), f"""
-SELECT k.engine_id, k.episode_id, m.reference_cues, k.prediction_cues, m.matched_cues, m.reference_chars,
+SELECT m.engine_id, m.episode_id, m.reference_cues, coalesce(k.prediction_cues, 0) AS prediction_cues, m.matched_cues, m.reference_chars,
        m.character_edits, m.exact_cues, m.start_error_sum, m.end_error_sum, m.in_tolerance_cues,
        CAST(m.matched_cues AS DOUBLE) / m.reference_cues AS coverage,
-       CAST(m.matched_cues AS DOUBLE) / k.prediction_cues AS cue_precision,
+       coalesce(CAST(m.matched_cues AS DOUBLE) / k.prediction_cues, 0) AS cue_precision,
        CAST(m.character_edits AS DOUBLE) / m.reference_chars AS cer,
        CAST(m.exact_cues AS DOUBLE) / m.reference_cues AS exact_match_cue_rate,
        CASE WHEN m.matched_cues > 0 THEN CAST(m.start_error_sum AS DOUBLE) / m.matched_cues END AS timing_start_abs_error_ms,
        CASE WHEN m.matched_cues > 0 THEN CAST(m.in_tolerance_cues AS DOUBLE) / m.matched_cues END AS timing_within_tolerance_rate
-FROM (SELECT engine_id, episode_id, count(*) AS prediction_cues FROM engine_preds GROUP BY 1, 2) k
-JOIN (SELECT e.engine_id, r.episode_id, count(*) AS reference_cues, count(p.cue_index) AS matched_cues,
+FROM (SELECT e.engine_id, r.episode_id, count(*) AS reference_cues, count(p.cue_index) AS matched_cues,
              CAST(sum(length(trim(regexp_replace(r.text, '\\s+', ' ', 'g')))) AS BIGINT) AS reference_chars,
              CAST(sum({lev("trim(regexp_replace(r.text, '\\s+', ' ', 'g'))",
                            "coalesce(trim(regexp_replace(p.text, '\\s+', ' ', 'g')), '')")}) AS BIGINT) AS character_edits,
@@ -172,7 +171,9 @@ JOIN (SELECT e.engine_id, r.episode_id, count(*) AS reference_cues, count(p.cue_
       FROM cues_ref r CROSS JOIN (SELECT unnest(['base', 'cand']) AS engine_id) e
       LEFT JOIN engine_preds p ON p.engine_id = e.engine_id AND p.episode_id = r.episode_id AND p.cue_index = r.cue_index
            AND 2 * (least(p.end_ms, r.end_ms) - greatest(p.start_ms, r.start_ms)) >= r.end_ms - r.start_ms
-      GROUP BY 1, 2) m ON m.engine_id = k.engine_id AND m.episode_id = k.episode_id""")
+      GROUP BY 1, 2) m
+LEFT JOIN (SELECT engine_id, episode_id, count(*) AS prediction_cues FROM engine_preds GROUP BY 1, 2) k
+     ON m.engine_id = k.engine_id AND m.episode_id = k.episode_id""")
 _A4 = ["engine_id", "episode_id", "reference_cues", "prediction_cues", "matched_cues", "reference_chars",
        "character_edits", "exact_cues", "start_error_sum", "end_error_sum", "in_tolerance_cues", "coverage",
        "cue_precision", "cer", "exact_match_cue_rate", "timing_start_abs_error_ms", "timing_within_tolerance_rate"]

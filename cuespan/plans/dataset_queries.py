@@ -160,6 +160,11 @@ def _scores(spark, sf):
     return _episode_scores(spark, sf, "indexed").withColumn("group_key", F.col("episode_id").cast("string"))
 
 
+def _reference_groups(spark, sf):
+    """The frozen groups: every episode that has a reference."""
+    return v.cues_ref(spark, sf).select(F.col("episode_id").cast("string").alias("group_key")).distinct()
+
+
 sql_view("engine_deltas", ("scored_episodes",), """
 SELECT coalesce(b.episode_id, c.episode_id)::VARCHAR AS group_key, b.cer AS baseline, c.cer AS candidate, c.cer - b.cer AS candidate_minus_baseline
 FROM (SELECT * FROM scored_episodes WHERE engine_id = 'base') b
@@ -172,13 +177,15 @@ def j9(spark, sf):
 
 
 @query("a6_coverage_gate", """
-SELECT count(DISTINCT engine_id) AS engines, 0::BIGINT AS missing_groups, 0::BIGINT AS unexpected_groups, 0::BIGINT AS duplicate_groups,
+SELECT count(DISTINCT engine_id) AS engines,
+       count(DISTINCT engine_id) * (SELECT count(DISTINCT episode_id) FROM cues_ref) - count(DISTINCT (engine_id, episode_id)) AS missing_groups,
+       count(*) FILTER (episode_id NOT IN (SELECT episode_id FROM cues_ref)) AS unexpected_groups,
+       count(*) - count(DISTINCT (engine_id, episode_id)) AS duplicate_groups,
        count(*) FILTER (coverage < 0.75) AS failed_groups,
        CASE WHEN count(DISTINCT engine_id) = 2 AND count(*) FILTER (coverage < 0.75) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
-FROM scored_episodes""", ("scored_episodes",))
+FROM scored_episodes""", ("scored_episodes", "cues_ref"))
 def a6(spark, sf):
-    scores = _scores(spark, sf)
-    return dataset.coverage_gate(scores, scores.select("group_key"), 0.75)[1]
+    return dataset.coverage_gate(_scores(spark, sf), _reference_groups(spark, sf), 0.75)[1]
 
 
 @query("a7_comparison_gate", """
@@ -187,13 +194,13 @@ SELECT cer_increase, cer_increase <= 0.01 AS cer_limit_passed, worst <= 0 AND co
        CASE WHEN cer_increase <= 0.01 AND worst <= 0 AND complete AND covered THEN 'PASS' ELSE 'FAIL' END AS status
 FROM (SELECT CAST(sum(character_edits) FILTER (engine_id = 'cand') AS DOUBLE) / sum(reference_chars) FILTER (engine_id = 'cand')
            - CAST(sum(character_edits) FILTER (engine_id = 'base') AS DOUBLE) / sum(reference_chars) FILTER (engine_id = 'base') AS cer_increase,
-             bool_and(coverage >= 0.0) AS covered FROM scored_episodes) m,
+             bool_and(coverage >= 0.75) AS covered FROM scored_episodes) m,
      (SELECT max(candidate_minus_baseline) AS worst, bool_and(candidate_minus_baseline IS NOT NULL) AS complete FROM engine_deltas) d""",
        ("scored_episodes", "engine_deltas"))
 def a7(spark, sf):
     from cuespan.operators.scoring import micro_macro
     scores = _scores(spark, sf)
-    cover = dataset.coverage_gate(scores, scores.select("group_key"), 0.0)[1]
+    cover = dataset.coverage_gate(scores, _reference_groups(spark, sf), 0.75)[1]
     return dataset.comparison_gate(micro_macro(scores, ["engine_id"]), dataset.baseline_vs_candidate(scores, "base", "cand"),
                                    cover, "base", "cand", 0.01)
 

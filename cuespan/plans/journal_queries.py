@@ -191,18 +191,15 @@ SELECT user_id % 20 AS scope_id, event_id AS line_no, event_id,
        CASE WHEN event_type = 'click' THEN -1 WHEN event_type = 'error' AND user_id % 20 > 10 THEN prior END AS undo_event_id
 FROM {events}"""
 sql_view("tm_events", (), _TM.replace("{events}", """(SELECT *, max(CASE WHEN event_type IN ('signup', 'purchase', 'view') THEN event_id END)
-  OVER (PARTITION BY user_id % 20 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
-  CASE WHEN event_type = 'error' AND user_id % 20 > 10 THEN lag(event_type) OVER (PARTITION BY user_id % 20 ORDER BY event_id) END AS pt
-  FROM events) e WHERE (event_type <> 'click' OR user_id % 20 = 3) AND (pt IS NULL OR pt IN ('signup', 'purchase', 'view'))"""))
+  OVER (PARTITION BY user_id % 20 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
+  FROM events) e"""))
 
 
 def _tm_events(spark, sf):
     from cuespan.functions.ordered import prefix_scan
     e = v.table(spark, sf, "events").withColumn("scope", F.col("user_id") % 20)
     add = F.when(F.col("event_type").isin("signup", "purchase", "view"), F.col("event_id"))
-    e = prefix_scan(e, ["scope"], ["event_id"], {"prior": ("max", add), "before": ("last", F.col("event_type"))})
-    e = e.withColumn("pt", F.when((F.col("event_type") == "error") & (F.col("scope") > 10), F.col("before")))
-    e = e.where("(event_type <> 'click' OR scope = 3) AND (pt IS NULL OR pt IN ('signup', 'purchase', 'view'))")
+    e = prefix_scan(e, ["scope"], ["event_id"], {"prior": ("max", add)})
     return spark.sql(_TM.replace("{events}", "{e}"), e=e)
 
 
@@ -229,10 +226,10 @@ SELECT q.lang AS scope_id, q.doc_id AS query_id, CASE WHEN m.targets = 1 THEN 's
 FROM (SELECT doc_id, lang, replace(trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g')), 'ß', 'ss') AS norm FROM documents) q
 LEFT JOIN (SELECT scope_id, norm, count(*) AS n, count(DISTINCT approved_translation) AS targets, arg_max(approved_translation, line_no) AS translation
            FROM (SELECT *, replace(trim(regexp_replace(lower(nfc_normalize(verified_source_text)), '\\s+', ' ', 'g')), 'ß', 'ss') AS norm
-                 FROM tm_entries WHERE line_no % 2 = 0) t GROUP BY 1, 2) m ON m.scope_id = q.lang AND m.norm = q.norm""", ("tm_entries",))
+                 FROM tm_entries) t GROUP BY 1, 2) m ON m.scope_id = q.lang AND m.norm = q.norm""", ("tm_entries",))
 def j7(spark, sf):
     docs = v.table(spark, sf, "documents")
-    entries = docs.where("doc_id % 2 = 0").select(
+    entries = docs.select(
         F.col("lang").alias("scope_id"), F.col("doc_id").alias("line_no"), F.col("text").alias("verified_source_text"),
         F.col("source").alias("approved_translation"))
     queries = docs.select(F.col("lang").alias("scope_id"), F.col("doc_id").alias("query_id"), "text")
@@ -294,10 +291,9 @@ def f4(spark, sf):
 
 
 @query("f9_edit_distance", """
-SELECT r.episode_id, r.cue_index, CAST(len(string_split(r.text, ' ')) AS BIGINT) AS words FROM cues_ref r
-WHERE r.text = trim(regexp_replace(r.text, '\\s+', ' ', 'g'))""", ("cues_ref",))
+SELECT r.episode_id, r.cue_index, CAST(len(string_split(trim(regexp_replace(r.text, '\\s+', ' ', 'g')), ' ')) AS BIGINT) AS words FROM cues_ref r""", ("cues_ref",))
 def f9(spark, sf):
     """A text against itself with every word doubled: one insertion per word."""
-    cues = v.cues_ref(spark, sf).where(F.col("text") == tx.collapse_ws(F.col("text")))
+    cues = v.cues_ref(spark, sf)
     doubled = F.array_join(F.flatten(F.transform(tx.words(F.col("text")), lambda w: F.array(w, w))), " ")
     return cues.select("episode_id", "cue_index", tx.word_distance(F.col("text"), doubled).alias("words"))

@@ -93,7 +93,7 @@ def _frequent(spark, sf):
 
 @query("r3_word_repair")
 def r3(spark, sf):
-    tokens = _misread(spark, sf).where(~F.col("token").rlike("[.,;:!?]$"))
+    tokens = _misread(spark, sf)
     return repair.word_repair(tokens.select(F.col("token").alias("surface")), _frequent(spark, sf))
 
 
@@ -102,23 +102,17 @@ def r4(spark, sf):
     """Neighbouring words of every line, written without the blank."""
     words = v.lines(spark, sf).select(F.explode(F.expr(
         "transform(sequence(0, size(split(text, ' ')) - 1), i -> concat(lower(split(text, ' ')[i]), coalesce(lower(get(split(text, ' '), i + 1)), '')))")).alias("token"))
-    fused = words.where(F.col("token").rlike("^[a-zçğıöşü]+$")).distinct()
+    fused = words.distinct()
     known = v.word_counts(spark, sf).select(F.col("word").alias("token"))
     return repair.split_fused(fused.join(known, "token", "left_anti"), _frequent(spark, sf))
 
 
-@query("r5_line_cleanup", """
-SELECT video_id, block_no, regexp_replace(regexp_replace(CASE WHEN contains(text, '__') THEN text ELSE
-         regexp_replace(marked, '^\\s*''+', '') END, '\\s+\\.$', '.'), '_+$', '...') AS text
-FROM (SELECT *, text AS marked FROM (
-  SELECT video_id, block_no, CASE WHEN length(text) % 3 = 0 THEN '''' || text WHEN length(text) % 3 = 1
-         THEN replace(text, '.', ' .') ELSE replace(text, '.', '_') END AS text
-  FROM blocks WHERE NOT regexp_matches(text, '\\d|\\.\\.|:s$')) a) b""", ("blocks",))
+@query("r5_line_cleanup")
 def r5(spark, sf):
     t = F.col("text")
     dirty = (F.when(F.length(t) % 3 == 0, F.concat(F.lit("'"), t)).when(F.length(t) % 3 == 1, F.expr("replace(text, '.', ' .')"))
              .otherwise(F.expr("replace(text, '.', '_')")))
-    rows = v.blocks(spark, sf).where(~t.rlike(r"\d|\.\.|:s$")).withColumn("text", dirty)
+    rows = v.blocks(spark, sf).withColumn("text", dirty)
     return repair.cleanup_lines(rows, ("video_id", "block_no"))[0]
 
 

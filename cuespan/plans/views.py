@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cuespan.plans.registry import sql_view
 
 FPS = 24
+ENGINES = ("base", "cand")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,7 +110,7 @@ def engine_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = cues_pred(spark, sf_dir)
     repaired = F.when(F.col("cue_index") % 2 == 0, F.expr("replace(text, '0', 'o')")).otherwise(F.col("text"))
     # one pass over the readings instead of one per engine
-    return (pred.withColumn("engine_id", F.explode(F.array(F.lit("base"), F.lit("cand"))))
+    return (pred.withColumn("engine_id", F.explode(F.array(*map(F.lit, ENGINES))))
             .withColumn("text", F.when(F.col("engine_id") == "cand", repaired).otherwise(F.col("text")))
             .select("engine_id", "episode_id", "cue_index", "text", "start_ms", "end_ms"))
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES = 10_000
-
 
 def first_wins(lines: DataFrame) -> DataFrame:
     """``line_no, word, freq`` → one row per word, the earliest line counts."""
@@ -39,12 +37,3 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     rules = lines.select("line_no", F.trim(parts[0]).alias("old"), F.trim(parts[1]).alias("new")).where(
         "old <> '' AND new <> '' AND old <> new")
     return rules.groupBy("old").agg(F.max_by("new", "line_no").alias("new"), F.min("line_no").alias("rule_order"))
-
-
-def rule_list(rules: DataFrame) -> list[tuple[str, str]]:
-    """Rules in order for ``repair.apply_rules``. The table is kept by hand; a
-    larger one than ``MAX_RULES`` is refused instead of pulled to the driver."""
-    head = rules.orderBy("rule_order").limit(MAX_RULES + 1).collect()
-    if len(head) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} taught rules")
-    return [(r["old"], r["new"]) for r in head]

@@ -12,7 +12,6 @@ from cuespan.operators.contributions import zoned_timestamp
 from cuespan.sources.dictionary import numbered_lines
 
 HEX64, HEX32, HEX40 = "^[0-9a-f]{64}$", "^[0-9a-f]{32}$", "^[0-9a-f]{40}$"
-MAX_LINE_BYTES = 256 * 1024
 
 
 def first_problem(*rules: tuple[Column, str]) -> Column:
@@ -23,14 +22,13 @@ def first_problem(*rules: tuple[Column, str]) -> Column:
 def json_lines(lines: DataFrame, schema: str, allowed: list[str] | None = None) -> DataFrame:
     """``file, line_no, line`` → row struct ``r`` and ``problem`` per line.
 
-    A line that is no JSON object of the schema, too long, or has other keys than
-    ``allowed`` keeps its number and its problem.
+    A line that is no JSON object of the schema or has other keys than ``allowed``
+    keeps its number and its problem.
     """
     rows = lines.where(tx.strip_ws(F.col("line")) != "").withColumn(
         "r", F.from_json("line", schema + ", _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     keys = F.json_object_keys("line")
-    rules = [(F.octet_length("line") <= MAX_LINE_BYTES, "line_too_long"),
-             (F.col("r._corrupt_record").isNull() & keys.isNotNull(), "corrupt")]
+    rules = [(F.col("r._corrupt_record").isNull() & keys.isNotNull(), "corrupt")]
     if allowed is not None:
         names = F.array(*map(F.lit, allowed))
         rules.append(((F.size(F.array_except(keys, names)) == 0) & (F.size(F.array_except(names, keys)) == 0), "keys"))
@@ -73,7 +71,7 @@ def review_event_problem() -> Column:
     text_ok = (F.when(c("status") == "corrected", tx.strip_ws(c("verified_source_text")) != "")
                .when(c("status") == "uncertain", c("verified_source_text") == "").otherwise(c("verified_source_text").isNotNull()))
     body = (F.when(c("event_type") == "review", c("status").isin("accepted", "corrected", "uncertain") & text_ok
-                   & (F.length("verified_source_text") <= K.MAX_CUE_CHARS))
+                   & (F.length("verified_source_text") <= K.MAX_REVIEW_CHARS))
             .when(c("event_type") == "undo", c("undo_event_id").rlike(HEX32)).otherwise(F.lit(False)))
     return first_problem(
         (c("schema_version") == 1, "schema_version"), (c("event_id").rlike(HEX32) & c("job_id").rlike(HEX32), "ids"),
@@ -125,7 +123,7 @@ def check_metadata(records: DataFrame, statuses: list[str]) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str, statuses: list[str]) -> DataFrame:
-    doc = spark.read.schema(f"schema_version INT, records ARRAY<STRUCT<{METADATA.replace(' STRING', ': STRING').replace('license STRUCT', 'license: STRUCT')}>>").json(path, multiLine=True)
+    doc = spark.read.schema(f"schema_version INT, records ARRAY<STRUCT<{METADATA}>>").json(path, multiLine=True)
     return check_metadata(doc.select(F.explode("records").alias("r")).select("r.*"), statuses)
 
 
@@ -195,7 +193,7 @@ def check_seed(parsed: DataFrame) -> DataFrame:
     rows = rows.withColumn("_key", key)
     first = rows.groupBy("file", "_key").agg(F.min("line_no").alias("_first"))
     rows = rows.join(first, ["file", "_key"]).drop("_key")
-    target = F.when(c("action") == "replace_text", (tx.strip_ws(c("target_text")) != "") & (F.length("target_text") <= K.MAX_CUE_CHARS)).when(
+    target = F.when(c("action") == "replace_text", (tx.strip_ws(c("target_text")) != "") & (F.length("target_text") <= K.MAX_REVIEW_CHARS)).when(
         c("action") == "remove_cue", c("target_text").isNull()).otherwise(F.lit(False))
     fixed = ((c("label_source") == "assistant_visual_review") & (c("user_confirmation_status") == "pending") & (c("rights_status") == "not_verified")
              & (c("dataset_status") == "candidate_needs_human_review") & (c("training_eligible") == F.lit(False)))
@@ -203,7 +201,7 @@ def check_seed(parsed: DataFrame) -> DataFrame:
         (c("version") == 1, "version"), (fixed, "fixed_state"),
         ((c("video_identity.size") > 0) & c("video_identity.sha1_first_1mb").rlike(HEX40), "video_identity"),
         ((c("cue_start_ms") >= 0) & (c("cue_end_ms") > c("cue_start_ms")), "interval"),
-        ((tx.strip_ws(c("observed_srt_text")) != "") & (F.length("observed_srt_text") <= K.MAX_CUE_CHARS), "observed_text"),
+        ((tx.strip_ws(c("observed_srt_text")) != "") & (F.length("observed_srt_text") <= K.MAX_REVIEW_CHARS), "observed_text"),
         (target, "action"), (c("image_sha256").rlike(HEX64), "image_hash"), (c("line_no") == c("_first"), "repeated")))).drop("_line_problem", "_first")
 
 
@@ -253,7 +251,7 @@ def read_review_pack(spark: SparkSession, root: str) -> DataFrame:
     return check_pack(cues, srt, ["pack"])
 
 
-def crop_inventory(spark: SparkSession, rows: DataFrame, root: str, max_bytes: int = 4 * 1024 * 1024) -> DataFrame:
+def crop_inventory(spark: SparkSession, rows: DataFrame, root: str, max_bytes: int = 8 * 1024 * 1024) -> DataFrame:
     """Rows with ``crop_problem``: the file must exist, fit and have its digest."""
     crops = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select(F.concat(F.lit("crops/"), F.element_at(F.split("path", "/"), -1)).alias("crop_path"), "length",

@@ -65,7 +65,7 @@ def parse_srt(files: DataFrame, dialect: str = "strict") -> tuple[DataFrame, Dat
     text = _unix(F.col("value"))
     text = tx.strip_ws(text) if numbered_dialect else text
     blocks = F.filter(F.split(text, r"\n[ \t]*\n+"), lambda b: ~_blank(b))
-    rows = files.select("file", F.octet_length("value").alias("_bytes"), F.posexplode(blocks).alias("block_no", "block"))
+    rows = files.select("file", F.posexplode(blocks).alias("block_no", "block"))
     lines = F.split("block", "\n")
 
     if numbered_dialect:
@@ -80,7 +80,7 @@ def parse_srt(files: DataFrame, dialect: str = "strict") -> tuple[DataFrame, Dat
         problem = (F.when(F.size("body") < 2, "missing_text")
                    .when(~F.col("stamp").contains(ARROW) | F.col("start_ms").isNull() | F.col("end_ms").isNull(), "bad_stamp")
                    .when(F.col("end_ms") <= F.col("start_ms"), "end_not_after_start")
-                   .when(F.col("text") == "", "empty_text").when(F.length("text") > K.MAX_CUE_CHARS, "text_too_long"))
+                   .when(F.col("text") == "", "empty_text"))
     else:
         body = F.filter(lines, lambda t: ~_blank(t))
         rows = rows.withColumn("body", body).withColumn(
@@ -100,15 +100,11 @@ def parse_srt(files: DataFrame, dialect: str = "strict") -> tuple[DataFrame, Dat
         rows = rows.withColumns({"start_ms": start, "end_ms": end, "text": cue_text})
         problem = (F.when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "bad_stamp")
                    .when(F.col("text") == "", "empty_text"))
-    judged = rows.withColumn("problem", problem).select("file", "_bytes", "block_no", "start_ms", "end_ms", "text", "problem")
-
-    too_big = F.when(F.col("_bytes") > K.MAX_FILE_BYTES, "file_too_large")
-    per_file = judged.groupBy("file").agg(
-        F.count("*").alias("blocks"), F.count_if(F.col("problem").isNotNull()).alias("bad"), F.max(too_big).alias("big"))
-    refused = (F.when(F.col("big").isNotNull(), F.col("big"))
-               .when(F.col("blocks") > K.MAX_CUES_PER_FILE, "too_many_cues"))
-    if dialect in ("fail_fast", "pack"):
-        refused = F.coalesce(refused, F.when(F.col("bad") > 0, "file_rejected"))
+    judged = rows.withColumn("problem", problem).select("file", "block_no", "start_ms", "end_ms", "text", "problem")
+
+    per_file = judged.groupBy("file").agg(F.count_if(F.col("problem").isNotNull()).alias("bad"))
+    strict_file = F.lit(dialect in ("fail_fast", "pack"))
+    refused = F.when(strict_file & (F.col("bad") > 0), "file_rejected")
     gone = per_file.withColumn("problem", refused).where("problem IS NOT NULL").select("file", "problem")
     empty = files.join(judged.select("file").distinct(), "file", "left_anti").select("file", F.lit("empty_file").alias("problem"))
     kept = judged.join(gone.select("file"), "file", "left_anti")

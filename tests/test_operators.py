@@ -110,7 +110,7 @@ def test_report_golden(spark):
     pairs = align.largest_align(intervals.overlap_candidates(p, r, share_of="ref"))
     runs = p.withColumn("engine_id", F.lit("x"))
     matches = pairs.withColumn("engine_id", F.lit("x"))
-    row = scoring.with_cue_rates(scoring.score_sums(matches, runs, r, ["engine_id", "episode_id"], [], 200)).first()
+    row = scoring.with_cue_rates(scoring.score_sums(matches, runs, r, ["engine_id", "episode_id"], [], 200, ["x"])).first()
     assert (row.matched_cues, row.cue_precision, row.cue_recall) == (1, 0.5, 0.5)
     assert (row.timing_start_abs_error_ms, row.timing_end_abs_error_ms) == (100.0, 50.0)
     assert row.character_edits == 1 + len("Second")

@@ -6,11 +6,6 @@ from cuespan.plans.catalog import CHECKS, QUERIES
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = [
-    "j1_overlap_candidates", "a2_vtt_report_indexed", "a16_drift_report", "w1_end_clamp", "w3_overlap_totals", "w4_same_text_islands",
-    "p7_sfx_lines", "p9_credits_split", "r1_diacritic_variants", "r2_dominant", "r6_apply_rules", "e1_active_reviews", "e5_active_memory",
-    "j7_tm_exact", "w12_deterministic_split", "a10_rating_report", "a12_heldout_metric", "p19_contribution_validate", "w11_static_pixels",
-    "s1_read_srt", "s4_read_journal", "t5_even_sample", "x5_review_state_stream"]
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +13,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(CHECKS))
 def test_matches_check_sql(spark, con, name):
     assert compare(spark, con, name, SF, QUERIES, CHECKS).startswith("ok")
 
