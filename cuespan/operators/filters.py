@@ -151,14 +151,16 @@ def known_words(rows: DataFrame, dictionary: DataFrame, keys: Sequence[str], tex
     return runs.withColumn("word", tx.tr_lower(F.col("run"))).join(words, "word", "left")
 
 
+def plausible_line(c: Column) -> Column:
+    """A line of letters and vowels that could be speech."""
+    return (~tx.has_cjk(c) & (F.length(tx.dense_chars(c)) > 0) & (tx.letter_ratio(c) >= K.FRAGMENT_LETTERS)
+            & (tx.vowel_count(c) >= K.FRAGMENT_VOWELS))
+
+
 def dialogue_lines(rows: DataFrame, dictionary: DataFrame, keys: Sequence[str], line: str = "line") -> DataFrame:
     """Add ``is_dialogue``: a line that reads like speech of the dictionary."""
     keys = list(keys)
-    c = F.col(line)
-    plausible = rows.where(~tx.has_cjk(c) & (F.length(tx.dense_chars(c)) > 0)
-                           & (tx.letter_ratio(c) >= K.FRAGMENT_LETTERS)
-                           & (tx.vowel_count(c) >= K.FRAGMENT_VOWELS))
-    known = (known_words(plausible, dictionary, keys, line, 3, K.FREQ_MIN)
+    known = (known_words(rows.where(plausible_line(F.col(line))), dictionary, keys, line, 3, K.FREQ_MIN)
              .where("freq IS NOT NULL").select(*keys).distinct().withColumn("is_dialogue", F.lit(True)))
     return rows.join(known, keys, "left").withColumn("is_dialogue", F.coalesce("is_dialogue", F.lit(False)))
 
@@ -166,27 +168,30 @@ def dialogue_lines(rows: DataFrame, dictionary: DataFrame, keys: Sequence[str],
 def sfx_lines(blocks: DataFrame, dictionary: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Drop sound-effect lines inside multi-line blocks that hold a sound line.
 
-    Returns (blocks with the remaining text, dropped lines with position).
+    Returns (blocks with the remaining text, dropped lines with position). Only
+    the numbers of lines with a dictionary word are shuffled; the lines of a
+    block are judged in place, as a block is one row of text.
     """
     keys = list(keys)
-    lines = blocks.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    multi = lines.join(blocks.where(F.col("text").contains("\n")).select(*keys), keys, "left_semi")
-    line_keys = [*keys, "line_no"]
-    tagged = dialogue_lines(multi, dictionary, line_keys)
-    known = (known_words(multi, dictionary, line_keys, "line", 3, K.FREQ_MIN).where("freq IS NOT NULL")
-             .select(*line_keys).distinct().withColumn("has_word", F.lit(True)))
-    dense, letters = F.length(tx.dense_chars(F.col("line"))), tx.letter_count(F.col("line"))
-    junk = ((dense > 0) & (dense < K.SFX_LINE_CHARS) & (tx.letter_ratio(F.col("line")) < K.SFX_LETTERS)
-            & (tx.cjk_count(F.col("line")) * 2 < dense)
-            & (((dense - letters) * 2 > dense) | F.col("has_word").isNull()))
-    judged = tagged.join(known, line_keys, "left").withColumn("junk", junk)
-    sound = judged.groupBy(*keys).agg(F.bool_or("is_dialogue").alias("sound"))
-    dropped = judged.join(sound.where("sound"), keys, "left_semi").where("junk").select(*line_keys, "line")
-    # a block is one row of text, so its lines are few and fit one array
-    gone = dropped.groupBy(*keys).agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split("text", "\n"),
-                    lambda line, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-    clean = blocks.join(gone, keys, "left").withColumn("text", F.array_join(kept, "\n")).drop("_gone")
+    several = F.col("text").contains("\n")
+    lines = blocks.where(several).select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    known = (known_words(lines, dictionary, [*keys, "line_no"], "line", 3, K.FREQ_MIN).where("freq IS NOT NULL")
+             .groupBy(*keys).agg(F.collect_set("line_no").alias("_known")))
+
+    def judge(line: Column, at: Column) -> Column:
+        word = F.coalesce(F.array_contains("_known", at), F.lit(False))
+        dense, letters = F.length(tx.dense_chars(line)), tx.letter_count(line)
+        junk = ((dense > 0) & (dense < K.SFX_LINE_CHARS) & (tx.letter_ratio(line) < K.SFX_LETTERS)
+                & (tx.cjk_count(line) * 2 < dense) & (((dense - letters) * 2 > dense) | ~word))
+        return F.struct(at.alias("line_no"), line.alias("line"), (word & plausible_line(line)).alias("speech"), junk.alias("junk"))
+
+    judged = (blocks.join(known, keys, "left")
+              .withColumn("_lines", F.when(several, F.transform(F.split("text", "\n"), judge)))
+              .withColumn("_sound", F.coalesce(F.exists("_lines", lambda x: x["speech"]), F.lit(False))))
+    left = F.transform(F.filter("_lines", lambda x: ~F.coalesce(x["junk"], F.lit(False))), lambda x: x["line"])
+    clean = judged.withColumn("text", F.when(F.col("_sound"), F.array_join(left, "\n")).otherwise(F.col("text"))).select(*blocks.columns)
+    dropped = judged.where("_sound").select(*keys, F.explode(F.filter("_lines", lambda x: x["junk"])).alias("x")).select(
+        *keys, "x.line_no", "x.line")
     return clean, dropped
 
 
