@@ -252,3 +252,12 @@ def learn_round(auto: DataFrame, edited: DataFrame, dictionary: DataFrame, rules
     arrivals = judged.where("status = 'ogrenildi'").select(
         F.struct("episode_id", "p_cue_index", "at").alias("arrival"), F.col("rule_old").alias("old"), F.col("rule_new").alias("new"))
     return judged, learn_rules(arrivals, rules)
+
+
+def word_vote(votes: DataFrame, needed: int = 2) -> DataFrame:
+    """Corrections by contributors: accepted once ``needed`` different ones agree.
+
+    ``votes``: ``contributor, old, new``; repeated votes of one contributor count once.
+    """
+    counted = votes.groupBy("old", "new").agg(F.count_distinct("contributor").alias("voters"))
+    return counted.withColumn("status", F.when(F.col("voters") >= needed, "accepted").otherwise("candidate"))

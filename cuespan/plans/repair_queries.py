@@ -228,3 +228,12 @@ def s10(spark, sf):
     lines = v.table(spark, sf, "documents").select(
         (F.col("doc_id") * 2 + 1).alias("line_no"), F.concat("source", "lang").alias("word"), F.col("n_chars").alias("freq"))
     return first_wins(lines)
+
+
+@query("a22_word_vote", """
+SELECT old, new, count(DISTINCT contributor) AS voters, CASE WHEN count(DISTINCT contributor) >= 2 THEN 'accepted' ELSE 'candidate' END AS status
+FROM (SELECT user_id AS contributor, event_type || event_id % 97 AS old, 'w' || event_id % 13 AS new FROM events) v GROUP BY 1, 2""")
+def a22(spark, sf):
+    votes = v.table(spark, sf, "events").selectExpr(
+        "user_id AS contributor", "event_type || event_id % 97 AS old", "'w' || event_id % 13 AS new")
+    return learning.word_vote(votes)
