@@ -84,8 +84,7 @@ BOARD_LOW_PERCENT = 40.0
 # --- dictionary repair -----------------------------------------------------
 ALPHABET = "abcçdefgğhıijklmnoöprsştuüvyz"
 ALPHABET_UPPER = "ABCÇDEFGĞHIİJKLMNOÖPRSŞTUÜVYZ"
-DOTTED = "şsçcğgıi"
-DOT_FLIPPED = "sşcçgğiı"
+DOT_TWINS = {"ş": "s", "s": "ş", "ç": "c", "c": "ç", "ğ": "g", "g": "ğ", "ı": "i", "i": "ı"}
 WORD_MIN = 3
 SPLIT_MIN = 7
 SPLIT_PART_MIN = 4
@@ -119,7 +118,7 @@ METRIC_KEYS = [
     "duration_seconds", "frames_scanned", "cue_count", "low_conf_count", "device_class",
     "engine_class", "low_conf_ratio", "speech_seconds", "cer",
 ]
-REQUIRED_METRIC_KEYS = METRIC_KEYS[:6]
+REQUIRED_METRIC_KEYS = ["duration_seconds", "frames_scanned", "cue_count", "low_conf_count", "device_class", "engine_class"]
 
 # --- frames ----------------------------------------------------------------
 FRAME_MIN_FILL = 20

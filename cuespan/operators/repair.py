@@ -28,7 +28,7 @@ def flips(a: Column, b: Column) -> Column:
 
 
 def flip_positions(word: Column) -> Column:
-    return F.length(F.regexp_replace(word, f"[^{K.DOTTED}]", ""))
+    return F.length(F.regexp_replace(word, f"[^{''.join(K.DOT_TWINS)}]", ""))
 
 
 def _without_each(word: Column) -> Column:
@@ -154,7 +154,7 @@ def _piece_ops(token: pd.Series, cand: pd.Series) -> pd.Series:
         gap = len(b) - len(a)
         if abs(gap) > 1 or (gap >= 0 and len(a) > K.WIDE_MAX):
             return None
-        twin = dict(zip(K.DOTTED, K.DOT_FLIPPED))
+        twin = K.DOT_TWINS
         dotted = sum(c in twin for c in b) <= K.MAX_FLIP_POSITIONS
 
         def dots(x: str, y: str):

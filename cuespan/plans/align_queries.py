@@ -30,16 +30,34 @@ SELECT p.episode_id, p.cue_index AS p_cue_index, r.cue_index AS r_cue_index,
        p.end_ms AS p_end_ms, r.end_ms AS r_end_ms
 FROM cues_pred p JOIN cues_ref r ON p.episode_id = r.episode_id AND p.start_ms < r.end_ms AND r.start_ms < p.end_ms
 WHERE 2 * (least(p.end_ms, r.end_ms) - greatest(p.start_ms, r.start_ms)) >= p.end_ms - p.start_ms""")
-# pairs that carry the same position on both sides: one per cue by construction
-sql_view("indexed_pairs", ("edges",), "SELECT * FROM edges WHERE p_cue_index = r_cue_index")
 
 
-def _edges(spark, sf, share_of="pred"):
-    return intervals.overlap_candidates(v.cues_pred(spark, sf), v.cues_ref(spark, sf), share_of=share_of)
 
 
-def _indexed(spark, sf):
-    return _edges(spark, sf).where("p_cue_index = r_cue_index")
+def greedy_views(rounds: str, pairs: str, edges: str) -> None:
+    """Largest overlap first, in SQL: each round takes the edges that are best
+    for both of their cues among the edges that are left."""
+    best = ", ".join(f"row_number() OVER (PARTITION BY episode_id, {side} ORDER BY overlap_ms DESC, p_cue_index, r_cue_index) AS {name}"
+                     for side, name in (("p_cue_index", "rp"), ("r_cue_index", "rr")))
+    take = "SELECT episode_id, p_cue_index, r_cue_index, overlap_ms, rp = 1 AND rr = 1 AS taken"
+    sql_view(rounds, (edges,), f"""
+{take} FROM (SELECT *, {best} FROM {edges}) a
+UNION ALL
+{take} FROM (SELECT *, {best} FROM (
+  SELECT *, bool_or(taken) OVER (PARTITION BY episode_id, p_cue_index) AS p_used,
+         bool_or(taken) OVER (PARTITION BY episode_id, r_cue_index) AS r_used FROM {rounds}) b WHERE NOT p_used AND NOT r_used) c""")
+    sql_view(pairs, (edges, rounds), f"""
+SELECT e.* FROM {edges} e JOIN {rounds} t ON t.taken AND t.episode_id = e.episode_id
+ AND t.p_cue_index = e.p_cue_index AND t.r_cue_index = e.r_cue_index""")
+
+
+greedy_views("greedy_rounds", "greedy_pairs", "edges")
+sql_view("window_edges", ("edges",), "SELECT * FROM edges WHERE r_start_ms < 240000")
+greedy_views("window_rounds", "window_pairs", "window_edges")
+
+
+def _edges(spark, sf, share_of="pred"):
+    return intervals.overlap_candidates(v.cues_pred(spark, sf), v.cues_ref(spark, sf), share_of=share_of)
 
 
 def _greedy(spark, sf):
@@ -63,7 +81,7 @@ def j1_ref(spark, sf):
     return _edges(spark, sf, "ref").select("episode_id", "p_cue_index", "r_cue_index", "overlap_ms")
 
 
-@query("j2_greedy_align")
+@query("j2_greedy_align", "SELECT episode_id, p_cue_index, r_cue_index, overlap_ms FROM greedy_pairs", ("greedy_pairs",))
 def j2(spark, sf):
     return align.greedy_align(_edges(spark, sf))
 
@@ -102,32 +120,27 @@ def a1_words(spark, sf):
     return scoring.text_score(ref.join(pred, ["episode_id", "cue_index"], "left"), ["episode_id"])
 
 
-@query("a2_vtt_report")
-def a2(spark, sf):
-    return scoring.vtt_report(*_greedy(spark, sf))
-
-
-@query("a2_vtt_report_indexed", f"""
+@query("a2_vtt_report", f"""
 SELECT r.episode_id, coalesce(p.n, 0) AS srt_blocks, r.n AS vtt_cues, coalesce(m.n, 0) AS aligned_pairs,
        coalesce(m.edits, 0) AS total_edit_distance, coalesce(m.chars, 0) AS total_gt_chars,
        CASE WHEN m.chars > 0 THEN CAST(m.edits AS DOUBLE) / m.chars END AS corpus_cer,
        CAST(coalesce(m.n, 0) AS DOUBLE) / r.n AS recall,
        CASE WHEN p.n > 0 THEN CAST(coalesce(m.n, 0) AS DOUBLE) / p.n END AS precision,
-       m.signed AS mean_signed_start_diff_ms, m.absolute AS mean_abs_start_diff_ms,
+       m.line_cer AS mean_line_cer, m.signed AS mean_signed_start_diff_ms, m.absolute AS mean_abs_start_diff_ms,
        m.first5 AS first5_mean_abs_start_diff_ms, coalesce(m.first5 > 1000, FALSE) AS compat_warning
 FROM (SELECT episode_id, count(*) AS n FROM cues_ref GROUP BY 1) r
 LEFT JOIN (SELECT episode_id, count(*) AS n FROM cues_pred GROUP BY 1) p ON p.episode_id = r.episode_id
 LEFT JOIN (SELECT episode_id, count(*) AS n, CAST(sum({lev('r_text', 'p_text')}) AS BIGINT) AS edits,
                   CAST(sum(length(r_text)) AS BIGINT) AS chars,
+                  round(avg(CAST({lev('r_text', 'p_text')} AS DOUBLE) / length(r_text)), 9) AS line_cer,
                   CAST(sum(d) AS DOUBLE) / count(*) AS signed, CAST(sum(abs(d)) AS DOUBLE) / count(*) AS absolute,
                   CAST(sum(abs(d)) FILTER (rn <= 5) AS DOUBLE) / count(*) FILTER (rn <= 5) AS first5
            FROM (SELECT *, p_start_ms - r_start_ms AS d,
                         row_number() OVER (PARTITION BY episode_id ORDER BY p_cue_index) AS rn
-                 FROM indexed_pairs) x GROUP BY 1) m
-       ON m.episode_id = r.episode_id""", ("cues_ref", "cues_pred", "indexed_pairs"))
-def a2_indexed(spark, sf):
-    report = scoring.vtt_report(_indexed(spark, sf), v.cues_pred(spark, sf), v.cues_ref(spark, sf))
-    return report.drop("mean_line_cer")
+                 FROM greedy_pairs) x GROUP BY 1) m
+       ON m.episode_id = r.episode_id""", ("cues_ref", "cues_pred", "greedy_pairs"))
+def a2(spark, sf):
+    return scoring.vtt_report(*_greedy(spark, sf)).withColumn("mean_line_cer", F.round("mean_line_cer", 9))
 
 
 @query("a3_confusion_matrix")
@@ -208,10 +221,10 @@ def a5_indexed(spark, sf):
 SELECT episode_id, p_cue_index, r_cue_index, r_text, p_text, cer, start_diff_ms, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY cer DESC, p_cue_index) AS rank FROM (
     SELECT episode_id, p_cue_index, r_cue_index, r_text, p_text, p_start_ms - r_start_ms AS start_diff_ms,
-           round_even(CAST({lev('r_text', 'p_text')} AS DOUBLE) / length(r_text), 6) AS cer FROM indexed_pairs) a) b
-WHERE rank <= 10""", ("indexed_pairs",))
+           round_even(CAST({lev('r_text', 'p_text')} AS DOUBLE) / length(r_text), 6) AS cer FROM greedy_pairs) a) b
+WHERE rank <= 10""", ("greedy_pairs",))
 def t1(spark, sf):
-    return scoring.worst_pairs(_indexed(spark, sf))
+    return scoring.worst_pairs(_greedy(spark, sf)[0])
 
 
 @query("t2_unmatched_examples", """
@@ -219,13 +232,13 @@ SELECT side, episode_id, cue_index, text, rank FROM (
   SELECT side, episode_id, cue_index, text,
          row_number() OVER (PARTITION BY side, episode_id ORDER BY cue_index) AS rank FROM (
     SELECT 'reference' AS side, episode_id, cue_index, text FROM cues_ref r
-    WHERE NOT EXISTS (SELECT 1 FROM indexed_pairs i WHERE i.episode_id = r.episode_id AND i.r_cue_index = r.cue_index)
+    WHERE NOT EXISTS (SELECT 1 FROM greedy_pairs i WHERE i.episode_id = r.episode_id AND i.r_cue_index = r.cue_index)
     UNION ALL
     SELECT 'prediction', episode_id, cue_index, text FROM cues_pred p
-    WHERE NOT EXISTS (SELECT 1 FROM indexed_pairs i WHERE i.episode_id = p.episode_id AND i.p_cue_index = p.cue_index)) u) w
-WHERE rank <= 5""", ("cues_ref", "cues_pred", "indexed_pairs"))
+    WHERE NOT EXISTS (SELECT 1 FROM greedy_pairs i WHERE i.episode_id = p.episode_id AND i.p_cue_index = p.cue_index)) u) w
+WHERE rank <= 5""", ("cues_ref", "cues_pred", "greedy_pairs"))
 def t2(spark, sf):
-    pred, ref, pairs = v.cues_pred(spark, sf), v.cues_ref(spark, sf), _indexed(spark, sf)
+    pairs, pred, ref = _greedy(spark, sf)
     cols = ["episode_id", "cue_index", "text"]
     both = (align.unmatched(ref, pairs, "r").select(F.lit("reference").alias("side"), *cols)
             .unionByName(align.unmatched(pred, pairs, "p").select(F.lit("prediction").alias("side"), *cols)))

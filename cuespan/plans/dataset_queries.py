@@ -210,13 +210,13 @@ SELECT episode_id, array_to_string(list_filter([CASE WHEN vtt < 8 THEN 'few_refe
          CASE WHEN chars < 201 THEN 'few_characters' END, CASE WHEN n = 0 OR CAST(edits AS DOUBLE) / chars > 0.035 THEN 'error_limit' END], lambda x: x IS NOT NULL), ',') AS reasons
 FROM (SELECT r.episode_id, any_value(r.n) AS vtt, count(i.p_cue_index) AS n, coalesce(sum(length(i.r_text)), 0) AS chars, sum(LEV) AS edits
       FROM (SELECT episode_id, count(*) AS n FROM cues_ref WHERE start_ms < 240000 GROUP BY 1) r
-      LEFT JOIN indexed_pairs i ON i.episode_id = r.episode_id AND i.r_start_ms < 240000 GROUP BY 1) t""".replace(
-    "LEV", lev("i.r_text", "i.p_text")), ("cues_ref", "indexed_pairs"))
+      LEFT JOIN window_pairs i ON i.episode_id = r.episode_id GROUP BY 1) t""".replace(
+    "LEV", lev("i.r_text", "i.p_text")), ("cues_ref", "window_pairs"))
 def a17(spark, sf):
-    from cuespan.operators import intervals, scoring
+    from cuespan.operators import align, intervals, scoring
     ref = v.cues_ref(spark, sf).where("start_ms < 240000")  # the case's time window
     pred = v.cues_pred(spark, sf)
-    pairs = intervals.overlap_candidates(pred, ref).where("p_cue_index = r_cue_index")
+    pairs = align.attach_pairs(align.greedy_align(intervals.overlap_candidates(pred, ref)), pred, ref)
     report = scoring.vtt_report(pairs, pred, ref).where("vtt_cues > 0")
     return dataset.case_gate(report, 8, 6, 201, 0.035).select("episode_id", "reasons")
 

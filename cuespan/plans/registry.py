@@ -34,7 +34,7 @@ def _with_clause(needs: tuple[str, ...]) -> str:
         visit(name)
     if not ordered:
         return ""
-    return "WITH " + ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in ordered) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in ordered) + "\n"
 
 
 def _plain_types(df: DataFrame) -> DataFrame:
