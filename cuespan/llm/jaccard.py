@@ -37,6 +37,7 @@ WORDS, PERCENT = 5, 80
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 LIGHT_AT_MOST = 16
 HOT_LIST, STAR_ROUNDS = 4_096, 2
+FILTER_BITS = 1 << 24
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -262,11 +263,25 @@ def _led(listed: DataFrame) -> DataFrame:
 
 
 def _possible(n: str, pos: str, m: str, other: str, percent: int):
-    """Whether sets of sizes n and m with a common element at these places of
-    their common order can share enough; subset keys (-1) settle it."""
-    most = f"least({pos}, {other}) + 1 + least({n} - {pos}, {m} - {other}) - 1"
+    """Whether the first common element of sets of sizes n and m can stand at
+    these places of their common order, if they share enough; so many elements
+    must follow in both. Subset keys (below 0) settle it themselves."""
     need = f"ceil({percent} * ({n} + {m}) / {100 + percent})"
-    return F.expr(f"{pos} < 0 OR (100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND {most} >= {need})")
+    return F.expr(f"{pos} < 0 OR (100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) "
+                  f"AND {n} - {pos} >= {need} AND {m} - {other} >= {need})")
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """One bit for each hash of an id, of fixed size: tells most rows that are
+    not wanted before they are shuffled. When it is full it tells none."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    rows = (ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        own = np.frombuffer(r.bits, np.uint8)
+        bits[(r.bucket - 1) * 4096:(r.bucket - 1) * 4096 + len(own)] = own
+    return bits
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -336,36 +351,53 @@ class JaccardJoin:
                                                F.col("ln").alias("n"), F.col("lpos").alias("pos"))
         return led.drop("salts"), stage(_led(firsts), "hot-leaders").drop("salts")
 
-    def verify(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of classes whose sets link."""
-        seed, words, percent = self.seed, self.words, self.percent
+    def sets_of(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """(sig, n, own): the sets of the classes in the pairs (a, b)."""
+        seed, words = self.seed, self.words
+        wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes.select("sig", "rep"), "sig"), "wanted")
+        near = self.docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.col("rep").alias("doc_id"))))  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, 2_000_000):
-                sets = shingle_sets(part.column(1).to_pylist(), words, seed)
-                sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), len(s)) for s in sets], np.uint64).view(np.int64)
-                yield pa.record_batch([pa.array(sig), pa.array([len(s) for s in sets], pa.int32()),
-                                       pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "n", "own"])
-
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes.select("sig", "rep"), "sig")
-        texts = self.docs.join(wanted.select(F.col("rep").alias("doc_id"), "sig"), "doc_id")
-        sets = stage(texts.select("sig", "text").mapInArrow(run, "sig long, n int, own binary").dropDuplicates(["sig"]), "sets")
+            for batch in batches:
+                place = batch["place"].to_numpy()
+                batch = batch.filter(pa.array((near.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+                for part in slices([batch], 2_000_000):
+                    sets = shingle_sets(part["text"].to_pylist(), words, seed)
+                    sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), len(s)) for s in sets], np.uint64).view(np.int64)
+                    yield pa.record_batch([pa.array(sig), pa.array([len(s) for s in sets], pa.int32()),
+                                           pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "n", "own"])
+
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+        return stage(self.docs.where("doc_id IS NOT NULL").select(place.alias("place"), "text")
+                     .mapInArrow(run, "sig long, n int, own binary")
+                     .join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+
+    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of classes whose sets link."""
         both = (pairs.join(sets.select(F.col("sig").alias("a"), "n", F.col("own").alias("one")), "a")
                 .join(sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("own").alias("two")), "b"))
         common = both.select("a", "b", "n", "m", "one", "two").mapInArrow(_common, "a long, b long, n int, m int, shared int")
-        return common.where(f"100 * shared >= {percent} * (n + m - shared)").select("a", "b")
+        return common.where(f"100 * shared >= {self.percent} * (n + m - shared)").select("a", "b")
 
     def labels(self, classes: DataFrame) -> DataFrame:
         """(a, b): the smallest class b of the group of class a, for a > b."""
         led, hot = self.lists(classes)
-        possible = _possible("n", "pos", "ln", "lpos", self.percent)
-        stars = led.unionByName(hot).where("sig <> lsig").where(possible)
-        pair = [F.least("sig", "lsig").alias("a"), F.greatest("sig", "lsig").alias("b")]
-        sure = stars.where("pos < 0 AND lpos = -1").select(*pair)  # a common subset is a link
-        tried = stage(stars.where("pos >= 0").select(*pair).distinct(), "star-pairs")
-        groups = components(sure.unionByName(self.verify(tried, classes)))
-
-        def members(groups: DataFrame) -> DataFrame:
+        stars = led.unionByName(hot).where("sig <> lsig").where(_possible("n", "pos", "ln", "lpos", self.percent))
+        sure = stars.where("pos < 0 AND lpos = -1").select(F.col("sig").alias("a"), F.col("lsig").alias("b"))  # a common subset is a link
+        open_ = stage(stars.where("pos >= 0").select(F.col("sig").alias("a"), F.col("lsig").alias("b")).distinct(), "star-pairs")
+        sets = self.sets_of(open_, classes)
+        groups, tried = components(sure), None
+        # a member of many lists needs one link, not one for each: every group
+        # tries one of its leaders in a round, and pairs within a group are done
+        for _ in range(STAR_ROUNDS):
+            open_ = self.across(open_, groups).select("a", "b", "root")
+            turn = F.struct(F.xxhash64("b").alias("turn"), "a", "b")
+            now = stage(open_.groupBy("root").agg(F.min(turn).alias("p")).select("p.a", "p.b"), "tried")
+            tried = now if tried is None else tried.unionByName(now)
+            open_ = open_.select("a", "b").join(now, ["a", "b"], "left_anti")
+            groups = components(groups.unionByName(self.verify(now, sets)))
+
+        def members() -> DataFrame:
             """Rows of heavy lists that hold more than one group."""
             rows = (led.where("pos >= 0").select("key", "sig", "n", "pos")
                     .join(groups.withColumnsRenamed({"a": "sig", "b": "root"}), "sig", "left")
@@ -373,14 +405,22 @@ class JaccardJoin:
             mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
             return stage(rows.join(mixed.select("key"), "key", "left_semi"), "mixed-lists")
 
-        rest = members(groups)
+        rest = members()
         one = rest.select("key", *[F.col(c).alias(f"{c}1") for c in ("sig", "n", "pos", "root")])
         two = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root")])
-        left = (one.join(two, "key").where("root1 < root2").where(_possible("n1", "pos1", "n2", "pos2", self.percent))
-                .select(F.least("sig1", "sig2").alias("a"), F.greatest("sig1", "sig2").alias("b")).distinct()
-                .join(tried, ["a", "b"], "left_anti"))
-        more = self.verify(stage(left, "left-pairs"), classes)
-        return components(groups.unionByName(more))
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        left = stage(one.join(two, "key").where("root1 < root2").where(_possible("n1", "pos1", "n2", "pos2", self.percent))
+                     .select(F.least("sig1", "sig2").alias("a"), F.greatest("sig1", "sig2").alias("b")).distinct()
+                     .join(done, ["a", "b"], "left_anti"), "left-pairs")
+        return components(groups.unionByName(self.verify(left, self.sets_of(left, classes))))
+
+    @staticmethod
+    def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """The pairs whose ends lie in different groups, with the group of a."""
+        of_a, of_b = (groups.select(F.col("a").alias(end), F.col("b").alias(f"root_{end}")) for end in ("a", "b"))
+        named = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+        root, other = F.coalesce("root_a", "a"), F.coalesce("root_b", "b")
+        return named.withColumn("root", root).where(root != other)
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
