@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import shared_path, slices
+from cuespan.llm.common import shared_path, slices, stage
 
 LEXICON_WORDS = 65_536
 # fixed value: the split pattern of byte-level vocabularies that name none
@@ -270,13 +270,23 @@ def put_file(spark: SparkSession, data: bytes, label: str) -> str:
 
 
 def build_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words of all texts; ties by bytes.
+    """Compile the at most ``words`` most frequent words of all texts; words that
+    are equally frequent are all in or all out.
 
     The size of the lexicon is a parameter and does not follow the corpus; it
     decides how often a word is merged anew, never the ids.
     """
     vocab = vocabulary(vocab_path)
-    top = word_counts(docs, vocab_path, text).orderBy(F.desc("n"), "word").limit(words).collect()
+    counted = stage(word_counts(docs, vocab_path, text), "words")
+    # how many words have each count: a short table, from which the least count
+    # follows, so that no task sends more than its share of the lexicon
+    often = sorted(((r.n, r.words) for r in counted.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, held = None, 0
+    for n, own in often:
+        if held + own > words:
+            break
+        least, held = n, held + own
+    top = counted.where(F.col("n") >= least).collect() if least is not None else []
     data = compile_lexicon({bytes(r.word): vocab.merge(bytes(r.word)) for r in top})
     return put_file(docs.sparkSession, data, "lexicon")
 
