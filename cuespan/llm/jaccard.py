@@ -220,7 +220,7 @@ LISTED = "key long, salt int, salts int, sig long, n int, pos int"
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, salt, larger, turn, sig), keep lists of two or more sets,
+    """Of rows sorted by (key, salt, larger, pos, turn, sig), keep lists of two or more sets,
     each row with the first of its list. One row is carried between batches."""
     lead = None  # the first row of the open list, its last sig, whether it was written
     for batch in batches:
@@ -257,9 +257,11 @@ LED = "key long, salts int, sig long, n int, pos int, lsig long, ln int, lpos in
 
 
 def _led(listed: DataFrame) -> DataFrame:
-    turn = F.xxhash64("sig")  # lists with the same sets have the same leader, so few pairs are tried
+    # a list is led by the set in which its shingle stands nearest the front: that
+    # set has fewest rare shingles of its own, so it is the original of its copies
+    turn = F.xxhash64("sig")
     return (listed.withColumn("turn", turn).repartition(width(listed), "key", "salt")
-            .sortWithinPartitions("key", "salt", F.col("pos") == -2, "turn", "sig").drop("turn").mapInArrow(_leaders, LED))
+            .sortWithinPartitions("key", "salt", F.col("pos") == -2, "pos", "turn", "sig").drop("turn").mapInArrow(_leaders, LED))
 
 
 def _possible(n: str, pos: str, m: str, other: str, percent: int):
@@ -384,17 +386,17 @@ class JaccardJoin:
         led, hot = self.lists(classes)
         stars = led.unionByName(hot).where("sig <> lsig").where(_possible("n", "pos", "ln", "lpos", self.percent))
         sure = stars.where("pos < 0 AND lpos = -1").select(F.col("sig").alias("a"), F.col("lsig").alias("b"))  # a common subset is a link
-        open_ = stage(stars.where("pos >= 0").select(F.col("sig").alias("a"), F.col("lsig").alias("b")).distinct(), "star-pairs")
+        open_ = stage(stars.where("pos >= 0").groupBy(F.col("sig").alias("a"), F.col("lsig").alias("b")).agg(F.min("lpos").alias("lpos")), "star-pairs")
         sets = self.sets_of(open_, classes)
         groups, tried = components(sure), None
         # a member of many lists needs one link, not one for each: every group
         # tries one of its leaders in a round, and pairs within a group are done
         for _ in range(STAR_ROUNDS):
-            open_ = self.across(open_, groups).select("a", "b", "root")
-            turn = F.struct(F.xxhash64("b").alias("turn"), "a", "b")
+            open_ = self.across(open_, groups).select("a", "b", "lpos", "root")
+            turn = F.struct("lpos", F.xxhash64("b").alias("turn"), "a", "b")
             now = stage(open_.groupBy("root").agg(F.min(turn).alias("p")).select("p.a", "p.b"), "tried")
             tried = now if tried is None else tried.unionByName(now)
-            open_ = open_.select("a", "b").join(now, ["a", "b"], "left_anti")
+            open_ = open_.select("a", "b", "lpos").join(now, ["a", "b"], "left_anti")
             groups = components(groups.unionByName(self.verify(now, sets)))
 
         def members() -> DataFrame:
