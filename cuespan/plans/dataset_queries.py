@@ -156,8 +156,9 @@ def a20_clash(spark, sf):
 
 
 # --- gates ------------------------------------------------------------------------
-def _scores(spark, sf):
-    return _episode_scores(spark, sf, "indexed").withColumn("group_key", F.col("episode_id").cast("string"))
+def _scores(spark, sf, matches=None):
+    """Scores per group on the largest matching; ``indexed`` is the form that check SQL can say."""
+    return _episode_scores(spark, sf, matches).withColumn("group_key", F.col("episode_id").cast("string"))
 
 
 def _reference_groups(spark, sf):
@@ -173,6 +174,11 @@ FULL OUTER JOIN (SELECT * FROM scored_episodes WHERE engine_id = 'cand') c ON c.
 
 @query("j9_baseline_vs_candidate", "SELECT * FROM engine_deltas", ("engine_deltas",))
 def j9(spark, sf):
+    return dataset.baseline_vs_candidate(_scores(spark, sf, "indexed"), "base", "cand")
+
+
+@query("j9_baseline_vs_candidate_matched")
+def j9_matched(spark, sf):
     return dataset.baseline_vs_candidate(_scores(spark, sf), "base", "cand")
 
 
@@ -185,6 +191,11 @@ SELECT count(DISTINCT engine_id) AS engines,
        CASE WHEN count(DISTINCT engine_id) = 2 AND count(*) FILTER (coverage < 0.75) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
 FROM scored_episodes""", ("scored_episodes", "cues_ref"))
 def a6(spark, sf):
+    return dataset.coverage_gate(_scores(spark, sf, "indexed"), _reference_groups(spark, sf), 0.75)[1]
+
+
+@query("a6_coverage_gate_matched")
+def a6_matched(spark, sf):
     return dataset.coverage_gate(_scores(spark, sf), _reference_groups(spark, sf), 0.75)[1]
 
 
@@ -198,8 +209,16 @@ FROM (SELECT CAST(sum(character_edits) FILTER (engine_id = 'cand') AS DOUBLE) /
      (SELECT max(candidate_minus_baseline) AS worst, bool_and(candidate_minus_baseline IS NOT NULL) AS complete FROM engine_deltas) d""",
        ("scored_episodes", "engine_deltas"))
 def a7(spark, sf):
+    return _compare(spark, sf, _scores(spark, sf, "indexed"))
+
+
+@query("a7_comparison_gate_matched")
+def a7_matched(spark, sf):
+    return _compare(spark, sf, _scores(spark, sf))
+
+
+def _compare(spark, sf, scores):
     from cuespan.operators.scoring import micro_macro
-    scores = _scores(spark, sf)
     cover = dataset.coverage_gate(scores, _reference_groups(spark, sf), 0.75)[1]
     return dataset.comparison_gate(micro_macro(scores, ["engine_id"]), dataset.baseline_vs_candidate(scores, "base", "cand"),
                                    cover, "base", "cand", 0.01)
