@@ -5,15 +5,18 @@ language's training text; few phrases mean that the text repeats that language.
 The phrase count times log2 of the training length, per letter, estimates the
 cross-entropy in bits; the language that needs fewest normalised phrases wins.
 
-The automata are one dense table: a row per state and a column per letter class
-holds the next state, or the complement of the state after a phrase break. All
-blocks of all texts of a slice walk it in step, one numpy lookup per letter.
+The automata are one table: a row per state and a column per frequent letter of
+the language holds the next state, or the complement of the state after a phrase
+break. Transitions by the other letters of a language are a sorted list, so that
+no trained letter is lost. All blocks of all texts of a slice walk it in step, one
+numpy lookup per letter, and one search where a letter has no column.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +28,9 @@ from cuespan.llm.common import slices
 
 SAMPLE_ROWS = 64  # texts per language, at most
 WINDOW = 600  # letters taken from each of them, at a place its hash decides
-LETTERS = 60  # most frequent letters of the training text; others match nothing
+LETTERS = 60  # most frequent letters of a language, with a column each; the others are searched for
 BLOCK = 256  # phrases end at the end of a block
-TABLE_STATES = 1_000_000  # over all languages
+TABLE_STATES = 1_000_000  # over all languages; beyond 13 with full samples each trains on an equal part
 SHARPNESS = 4.0
 GAP = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
@@ -77,37 +80,53 @@ class CrossParser:
 
     def __init__(self, training: dict[str, str]):
         self.languages = sorted(training)
-        texts = {lang: plain(t) for lang, t in training.items()}
-        counts: dict[str, int] = {}
-        for t in texts.values():
-            for c in t:
-                counts[c] = counts.get(c, 0) + 1
-        letters = sorted(sorted(counts), key=lambda c: -counts[c])[:LETTERS]
-        # classes: 0 pads, 1 is a letter that no training text holds
-        self.class_of = np.ones(0x110000, np.uint8)
-        for at, c in enumerate(letters):
-            self.class_of[ord(c)] = at + 2
-        self.columns = len(letters) + 2
+        # an automaton has at most two states per letter
+        share = max(1, TABLE_STATES // max(1, 2 * len(training)) - 2)
+        texts = {lang: plain(t)[:share] for lang, t in training.items()}
+        # letters: 0 pads, 1 is a letter that no training text holds
+        letters = sorted(set().union(*texts.values()))
+        self.class_of = np.ones(0x110000, np.int32)
+        self.class_of[[ord(c) for c in letters]] = np.arange(len(letters)) + 2
         self.bits = np.array([math.log2(max(len(texts[lang]), 2)) for lang in self.languages])
-        share = TABLE_STATES // max(1, 2 * len(training)) - 2
-        tables, self.start, base = [], [], 0
+        # of each language: the column of each letter, 1 if it has none, and the searched transitions
+        self.column_of, self.rare, self.columns, self.start = [], [], [], []
+        tables, base = [], 0
         for lang in self.languages:
-            step = suffix_automaton(self.classes(texts[lang][:share]).tolist())
-            own = np.zeros((len(step) + 1, self.columns), np.int64)
+            counts = Counter(self.classes(texts[lang]).tolist())
+            column = {c: at + 2 for at, c in enumerate(sorted(sorted(counts), key=lambda c: -counts[c])[:LETTERS])}
+            columns = len(column) + 2
+            step = suffix_automaton(self.classes(texts[lang]).tolist())
+            own = np.zeros((len(step) + 1, columns), np.int64)
             lost = len(step)  # after a letter that occurs nowhere: the next one breaks
-            root = np.full(self.columns, lost)
+            root = np.full(columns, lost)
             for c, target in step[0].items():
-                root[c] = target
-            own[:] = ~((root + base) * self.columns)
+                if c in column:
+                    root[column[c]] = target
+            own[:] = ~(root * columns + base)
+            keys, targets = [], []
             for state, out in enumerate(step):
                 for c, target in out.items():
-                    own[state, c] = (target + base) * self.columns
-            own[0] = (root + base) * self.columns
-            own[:, 0] = (np.arange(len(own)) + base) * self.columns
-            tables.append(own)
-            self.start.append(base * self.columns)
-            base += len(own)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+                    if c in column:
+                        own[state, column[c]] = target * columns + base
+                    else:
+                        keys.append((state * columns + base) * (len(letters) + 2) + c)
+                        targets.append(target * columns + base)
+            own[0] = root * columns + base
+            own[:, 0] = np.arange(len(own)) * columns + base
+            own_column = np.ones(len(letters) + 2, np.int32)
+            own_column[0] = 0
+            for c, at in column.items():
+                own_column[c] = at
+            seen = np.zeros(len(letters) + 2, np.bool_)
+            seen[[c for c in counts if c not in column]] = True
+            order = np.argsort(np.array(keys, np.int64))
+            self.column_of.append(own_column)
+            self.rare.append((seen, np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]))
+            self.columns.append(columns)
+            self.start.append(base)
+            tables.append(own.ravel())
+            base += own.size
+        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
 
     def classes(self, text: str) -> np.ndarray:
         return self.class_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -122,22 +141,36 @@ class CrossParser:
         inside = np.arange(len(owner)) - first[owner]
         begin = (np.cumsum(size) - size)[owner] + inside * BLOCK
         left = np.minimum(size[owner] - inside * BLOCK, BLOCK)
-        grid = np.zeros((BLOCK, len(owner)), np.uint8)
+        grid = np.zeros((BLOCK, len(owner)), np.int32)
         for j in range(BLOCK):
             on = left > j
             grid[j, on] = flat[begin[on] + j]
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         for at, start in enumerate(self.start):
+            seen = self.rare[at][0]
+            searched = seen.any()
             state = np.full(len(owner), start, np.int32)
             breaks = np.ones(len(owner), np.int64)
             for row in grid:
-                state = self.table.take(state + row)
+                before = state
+                state = self.table.take(before + self.column_of[at].take(row))
+                if searched and len(which := np.flatnonzero(seen.take(row))):
+                    state[which] = self.search(at, before[which], row[which])
                 sign = state >> 31
                 breaks -= sign
                 state ^= sign
             out[:, at] = np.bincount(owner, breaks, len(texts)) if len(owner) else 0
         return size, out
 
+    def search(self, at: int, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Next states by letters without a column, or the complement after a break."""
+        _, keys, targets = self.rare[at]
+        width, start = len(self.column_of[at]), self.start[at]
+        key = state.astype(np.int64) * width + letter
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        root = np.searchsorted(keys, np.int64(start) * width + letter)  # every such letter leaves the root
+        return np.where(keys[place] == key, targets[place], ~targets[root])
+
     def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; ties go to the first name."""
         known = [at for at, t in enumerate(texts) if self.languages and has_letter(t)]

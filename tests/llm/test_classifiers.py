@@ -98,3 +98,38 @@ def test_language_held_out(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = [r for r in queries.QUERIES["op5_cross_parsing_language"](spark, SF).collect() if r.held_out]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) >= 0.97
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("abxyzжшщ", min_size=1, max_size=40), st.text("жшщюя ", min_size=1, max_size=40), st.lists(st.text("abxyжшщю ", max_size=300), max_size=4))
+def test_phrases_with_searched_letters(one, two, texts):
+    old, language.LETTERS = language.LETTERS, 2
+    try:
+        parser = language.CrossParser({"x": one, "y": two})
+        texts = [language.plain(t) for t in texts]
+        _, phrases = parser.phrases(texts)
+    finally:
+        language.LETTERS = old
+    for t, own in zip(texts, phrases.tolist(), strict=True):
+        for train, got in zip((one, two), own, strict=True):
+            train = language.plain(train)
+            assert got == sum(parse_by_hand(train, t[i:i + language.BLOCK]) for i in range(0, len(t), language.BLOCK))
+
+
+def test_no_trained_letter_is_lost():
+    """Three scripts and one of many letters: more letters than any column number holds."""
+    greek, cyrillic = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    signs = "".join(chr(0x4E00 + i) for i in range(3000))
+    training = {"la": "the quick brown fox jumps over the lazy dog " * 40, "ru": cyrillic * 3, "gr": greek, "zh": signs}
+    parser = language.CrossParser(training)
+    asked = {"ru": cyrillic[20:], "gr": greek[3:20], "zh": signs[2500:2600], "la": "lazy dog"}
+    names, _ = parser.classify(list(asked.values()))
+    assert names == list(asked)
+    _, phrases = parser.phrases([signs[2500:2600]])
+    assert phrases[0][parser.languages.index("zh")] == 1
+
+
+def test_bits_of_the_compiled_text(monkeypatch):
+    monkeypatch.setattr(language, "TABLE_STATES", 400)
+    parser = language.CrossParser({"x": "ab" * 500, "y": "cd" * 20})
+    assert parser.bits.tolist() == [math.log2(98), math.log2(40)]
