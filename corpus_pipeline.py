@@ -13,7 +13,7 @@ from cuespan.llm import jaccard, language, packing, pii, toxicity
 from cuespan.llm.common import crc_mod, read, stage
 from cuespan.llm.queries import vocabulary_path
 
-TOXIC_AT = 0.5  # a document goes only when it is likelier toxic than not
+TOXIC_AT = toxicity.THRESHOLD  # what op4 predicts toxic goes
 SEQUENCE_TOKENS = 2048
 
 

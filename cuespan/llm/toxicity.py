@@ -27,6 +27,7 @@ ORDER = 6
 DISCOUNT = 0.75
 SAMPLE_ROWS = 6_000  # labelled rows of each class, at most
 STRETCH = 24  # words
+THRESHOLD = 0.3  # a text is predicted toxic from this score on
 KNOWN = 500_000  # words and n-grams that a worker remembers
 HELD_OUT = 4  # one in so many sampled rows fits the curve, not the models
 WORD = re.compile(r"[^\W\d_]+")
@@ -199,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     return Scorer(KneserNey(grams), fit_logistic(seen[["a", "b", "c"]].to_numpy(), y, weight), 0.0)
 
 
-def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of ``docs`` with ``score`` and ``predicted`` of every whole text.
 
     A null or empty text has no words and gets the score of a text without

@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import corpus_pipeline
+import numpy as np
 from cuespan.llm import language, pii, toxicity
 from cuespan.llm.queries import vocabulary_path
 from tokenizers import Tokenizer
@@ -68,3 +70,15 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_what_op4_predicts_toxic_goes(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    fixture(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    # every text scores 0.4
+    scorer = toxicity.Scorer(toxicity.KneserNey({}), np.array([0.0, 0.0, 0.0, math.log(0.4 / 0.6)]), 0.0)
+    monkeypatch.setattr(toxicity, "train", lambda *_: scorer)
+    predicted = {r.doc_id for r in toxicity.score(docs, scorer).where("predicted = 1").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
+    assert predicted == {r.doc_id for r in docs.select("doc_id").collect()} and not kept
