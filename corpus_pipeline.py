@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, in which no language can be told, go."""
+    """Documents without a letter go; of the others each has a language that fits best."""
     return language.determined(docs, language.train(docs, crc_mod("doc_id", 3) != 1))
 
 

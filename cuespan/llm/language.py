@@ -228,13 +228,19 @@ def predict(docs: DataFrame, parser: CrossParser, columns: tuple[str, ...] = ("d
 
 
 def determined(docs: DataFrame, parser: CrossParser) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, all columns."""
+    """The rows of ``docs`` with a letter, all columns: in every such text some
+    language fits best. When no language was learned, they stay as well.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for part in slices(batches, 4_000_000):
-            names, _ = own.classify(part["text"].to_pylist())
-            yield part.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+            texts = part["text"].to_pylist()
+            if own.languages:
+                told = [n != UNDETERMINED for n in own.classify(texts)[0]]
+            else:
+                told = list(map(has_letter, texts))
+            yield part.filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -133,3 +133,11 @@ def test_bits_of_the_compiled_text(monkeypatch):
     monkeypatch.setattr(language, "TABLE_STATES", 400)
     parser = language.CrossParser({"x": "ab" * 500, "y": "cd" * 20})
     assert parser.bits.tolist() == [math.log2(98), math.log2(40)]
+
+
+def test_without_a_language_only_letterless_texts_go(spark):
+    from pyspark.sql import functions as F
+    docs = spark.createDataFrame([(1, "the cat", None), (2, "12 !?", None), (3, None, None), (4, "der hund", None)], "doc_id long, text string, lang string")
+    parser = language.train(docs, F.lit(True))
+    assert parser.languages == []
+    assert {r.doc_id for r in language.determined(docs, parser).collect()} == {1, 4}
