@@ -30,6 +30,7 @@ STRETCH = 24  # words
 THRESHOLD = 0.3  # a text is predicted toxic from this score on
 KNOWN = 500_000  # words and n-grams that a worker remembers
 HELD_OUT = 4  # one in so many sampled rows fits the curve, not the models
+FEW_CURVE = np.array([0.0, 0.0, 3.0, -7.0])  # near what is fitted on small tables; for too few held-out texts
 WORD = re.compile(r"[^\W\d_]+")
 PAD, END = "^", "$"
 
@@ -161,8 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     ``labels`` holds doc_id and toxic (0, 1; null counts as unlabelled; of
     several labels of a doc_id the highest holds); ``usable`` says which rows of
     ``docs`` may be learned from. The sample is taken by the hash of the text,
-    so copies count once. With rows of one class only, or none, every score is
-    the share of toxic rows.
+    so copies count once. With fewer than ``2 * HELD_OUT`` texts of a class all
+    of them fit the models and the curve is ``FEW_CURVE``, as it is when the held
+    out texts are of one class. With rows of one class only, or none, there are no
+    models and every score is the share of toxic rows.
     """
     spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -170,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     ids = docs.where(usable & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
     rows = stage(ids.join(known, "doc_id").groupBy("h", "label").agg(F.min("doc_id").alias("doc_id")), "labelled")
     total = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(total) < 2 or min(total.get(0, 0), total.get(1, 0)) < 2 * HELD_OUT:
+    few = min(total.values(), default=0) < 2 * HELD_OUT
+    if len(total) < 2:
         return Scorer(None, None, total.get(1, 0) / max(1, sum(total.values())))
     span = 1 << 30
     bound = F.when(F.col("label") == 1, int(span * min(1.0, sample_rows / total[1]))).otherwise(
@@ -179,10 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     sample = F.broadcast(rows.where(F.pmod("h", F.lit(span)) < bound))
     texts = stage(docs.select("doc_id", "text").withColumn("h", F.xxhash64("text")).join(sample, ["doc_id", "h"])
                   .select("text", F.col("label").cast("int").alias("label"),
-                          (F.pmod(F.shiftrightunsigned("h", 32), F.lit(HELD_OUT)) == 0).alias("held")), "toxic-sample")
+                          (F.lit(not few) & (F.pmod(F.shiftrightunsigned("h", 32), F.lit(HELD_OUT)) == 0)).alias("held")), "toxic-sample")
     counted = (texts.where("NOT held").select("text", "label").mapInArrow(_grams, "gram string, one long, zero long")
                .groupBy("gram").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).toArrow())
     grams = dict(zip(counted["gram"].to_pylist(), zip(counted["one"].to_pylist(), counted["zero"].to_pylist(), strict=True), strict=True))
+    if few:
+        return Scorer(KneserNey(grams), FEW_CURVE, 0.0)
     shared = spark.sparkContext.broadcast(KneserNey(grams))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     seen = texts.where("held").select("text", "label").mapInArrow(features, "a double, b double, c double, label int").toPandas()
     y = seen["label"].to_numpy(float)
     if y.min(initial=1.0) == y.max(initial=0.0) or len(y) == 0:
-        return Scorer(None, None, total[1] / sum(total.values()))
+        return Scorer(KneserNey(grams), FEW_CURVE, 0.0)
     # each class weighs what it weighs among all labelled rows
     weight = np.where(y == 1, total[1] / y.sum(), total[0] / (len(y) - y.sum())) * len(y) / sum(total.values())
     return Scorer(KneserNey(grams), fit_logistic(seen[["a", "b", "c"]].to_numpy(), y, weight), 0.0)
@@ -221,7 +227,11 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, columns
 
 
 def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, all columns."""
+    """The rows of ``docs`` whose score is below ``threshold``, all columns; all
+    rows when there are no models, as the share alone says nothing about a text.
+    """
+    if scorer.models is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,3 +141,22 @@ def test_without_a_language_only_letterless_texts_go(spark):
     parser = language.train(docs, F.lit(True))
     assert parser.languages == []
     assert {r.doc_id for r in language.determined(docs, parser).collect()} == {1, 4}
+
+
+def test_few_toxic_texts_are_learned(spark):
+    from pyspark.sql import functions as F
+    rows = [(i, f"the calm river number w{i} flows on past the mill", 0) for i in range(40)]
+    rows += [(100 + i, f"you awful scoundrel and filthy rogue w{i} be gone", 1) for i in range(5)]
+    asked = [(200, "gone you filthy scoundrel and awful rogue", None), (201, "past the mill the river flows", None)]
+    docs, labels = labelled(spark, rows + asked)
+    scorer = toxicity.train(docs, labels, F.lit(True))
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, scorer).collect()}
+    assert got == {i: int(100 <= i < 201) for i in got}
+    assert {r.doc_id for r in toxicity.without_toxic(docs, scorer, toxicity.THRESHOLD).collect()} == {i for i, p in got.items() if not p}
+
+
+def test_no_document_goes_without_models(spark):
+    from pyspark.sql import functions as F
+    docs, labels = labelled(spark, [(i, f"text {i}", 1) for i in range(9)])
+    scorer = toxicity.train(docs, labels, F.lit(True))
+    assert scorer.models is None and toxicity.without_toxic(docs, scorer, toxicity.THRESHOLD).count() == 9
