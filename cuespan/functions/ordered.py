@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.session import spread
+from cuespan.session import cut_lineage, spread
 
 CHUNK_ROWS = 4096
 
@@ -161,6 +161,27 @@ def interval_islands(df: DataFrame, keys: Sequence[str], start: str, end: str, t
     return local.join(carried, part, "left").select(*df.columns, F.coalesce(here, "_carry").alias(name))
 
 
+def total_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Add the place, from 1, of every row in one order over the whole table.
+
+    Rows are dealt out by ranges of ``order`` (Spark samples the splitters), then
+    numbered inside their range; ranges are counted and summed up before them.
+    Rows that are equal in ``order`` are split too, so a value that holds a third
+    of the table fills no task. Ranks of equal rows are in no stated order: give
+    an order that tells rows apart where that matters.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tagged.repartitionByRange(width, *order, F.col("_tie")).sortWithinPartitions(*order, "_tie")
+    numbered = cut_lineage(ranged.drop("_tie").withColumn("_at", F.monotonically_increasing_id())
+                           .withColumn("_range", F.shiftright("_at", 33)))
+    counts = numbered.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_range", before.alias("_start"))  # one row per range
+    place = F.col("_at") - F.shiftleft(F.col("_range"), 33) + F.col("_start") + 1
+    return numbered.join(starts, "_range").select(*df.columns, place.alias(name))
+
+
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """Run ``fold`` over the rows of each group, in order.
