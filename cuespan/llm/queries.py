@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespan.llm import bpe, chat, forest, hamming, jaccard, language, packing, pii, token_files, toxicity
+from cuespan.llm import bpe, chat, forest, hamming, jaccard, language, mixing, packing, pii, token_files, toxicity
 from cuespan.llm.common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ SELECT s.doc_id, CAST(len(set) AS BIGINT) AS n_shingles, coalesce(g.root, s.doc_
 FROM s LEFT JOIN c ON c.key = list_sort(s.set) AND len(s.set) > 0 LEFT JOIN g ON g.rep = c.rep""")
 def op10(spark, sf):
     return jaccard.join(read(spark, sf, "documents"))
+
+
+@query("op12_pivotal_mixture")
+def op12(spark, sf):
+    return mixing.mix(read(spark, sf, "documents"))
