@@ -40,9 +40,9 @@ def compare(spark, con, name: str, sf_dir: str, queries, checks) -> str:
     if cols != sorted(types):
         return f"COLUMNS {cols} vs {sorted(types)}"
     bad_types = [f"{c}:{t}" for c, t in types.items()
-                 if t not in ("BIGINT", "DOUBLE", "VARCHAR", "BOOLEAN", "NUMBER", "STRING", "bool")]
+                 if t not in ("BIGINT", "INTEGER", "DOUBLE", "VARCHAR", "BOOLEAN", "NUMBER", "STRING", "bool")]
     spark_types = dict(df.dtypes)
-    kinds = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
     bad_types += [f"{c}:{types[c]}!={spark_types[c]}" for c in cols if kinds.get(types[c], spark_types[c]) != spark_types[c]]
     order = [list(types).index(c) for c in cols]
     a = sorted(tuple(_cell(r[c]) for c in cols) for r in got)
