@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespan.llm import bpe, chat, divergence, forest, hamming, jaccard, language, mixing, packing, pii, token_files, toxicity
+from cuespan.llm import bpe, chat, collocations, divergence, forest, hamming, jaccard, language, mixing, packing, pii, token_files, toxicity
 from cuespan.llm.common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,27 @@ def op11(spark, sf):
 @query("op12_pivotal_mixture")
 def op12(spark, sf):
     return mixing.mix(read(spark, sf, "documents"))
+
+
+@query("op13_best_first_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3), (4)) t(m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND a >= 30),
+x AS (SELECT c.lang, c.m, c.phrase, c.a, k, one.a AS l, two.a AS r, (2000000::HUGEINT * c.a) // (one.a + two.a) AS score
+      FROM c JOIN (VALUES (1), (2), (3)) t(k) ON k < m
+      JOIN f one ON one.lang = c.lang AND one.phrase = array_to_string(ws[1:k], ' ')
+      JOIN f two ON two.lang = c.lang AND two.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT c.lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(a) AS most
+      FROM c JOIN (VALUES (2), (3)) u(s) ON s < m JOIN (VALUES (1), (2), (3)) v(i) ON i + s - 1 <= m GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT z.lang, rank, z.phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000""")
+def op13(spark, sf):
+    return collocations.mine(read(spark, sf, "documents"))
