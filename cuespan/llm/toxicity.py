@@ -28,7 +28,7 @@ DISCOUNT = 0.75
 SAMPLE_ROWS = 6_000  # labelled rows of each class, at most
 STRETCH = 24  # words
 THRESHOLD = 0.3  # a text is predicted toxic from this score on
-KNOWN = 500_000  # words and n-grams that a worker remembers
+KNOWN = 100_000  # words that a worker remembers before it starts anew
 HELD_OUT = 4  # one in so many sampled rows fits the curve, not the models
 FEW_CURVE = np.array([0.0, 0.0, 3.0, -7.0])  # near what is fitted on small tables; for too few held-out texts
 WORD = re.compile(r"[^\W\d_]+")
@@ -64,8 +64,6 @@ class KneserNey:
                 own[0] += count
                 own[1] += 1
         self.uniform = 1.0 / (len(self.lower[1]) + 1)
-        self.ratios: dict[str, float] = {}
-        self.words: dict[str, float] = {}
 
     def shared(self, gram: str) -> float:
         p, d = self.uniform, self.discount
@@ -83,35 +81,96 @@ class KneserNey:
         return tuple((max(seen[side] - self.discount, 0.0) + self.discount * own[side + 2] * p) / own[side] if own[side] else p
                      for side in (0, 1))
 
+    def unseen_ratio(self, context: str) -> float:
+        """log ratio of a letter that no class has seen after ``context``: the
+        shared backoff stands on both sides and cancels."""
+        own = self.context.get(context, (0, 0, 0, 0))
+        one, zero = (self.discount * own[side + 2] / own[side] if own[side] else 1.0 for side in (0, 1))
+        return math.log(one / zero)
+
     def gram_ratio(self, gram: str) -> float:
-        if gram[:-1] not in self.context:
-            return 0.0  # both classes fall back on the same counts
-        if gram not in self.ratios:
-            if len(self.ratios) > KNOWN:
-                self.ratios = {}
-            one, zero = self.probabilities(gram)
-            self.ratios[gram] = math.log(one / zero)
-        return self.ratios[gram]
-
-    def word_ratio(self, word: str) -> float:
-        """log p(word | 1) - log p(word | 0)."""
-        if word not in self.words:
-            if len(self.words) > KNOWN:
-                self.words = {}
-            self.words[word] = sum(map(self.gram_ratio, ngrams(word, self.order)))
-        return self.words[word]
-
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Ratio per word of the text, of its strongest stretch, and the share
-        of plainly toxic words; shrunk for short texts."""
-        words = WORD.findall(text.lower())
+        """log p(last letter | before, class 1) - log p(last letter | before, class 0)."""
+        if gram not in self.top:
+            return self.unseen_ratio(gram[:-1])
+        one, zero = self.probabilities(gram)
+        return math.log(one / zero)
+
+
+class Ratios:
+    """What scoring needs of the models: one number for each seen n-gram and one
+    for each context, as sorted 64-bit hashes and doubles. Workers share it as
+    plain arrays and look up all words of a slice at once."""
+
+    def __init__(self, models: KneserNey):
+        self.order = models.order
+        self.grams, self.seen = self._sorted(list(models.top), models.gram_ratio)
+        self.contexts, self.unseen = self._sorted(list(models.context), models.unseen_ratio)
+
+    def _sorted(self, texts: list[str], ratio) -> tuple[np.ndarray, np.ndarray]:
+        keys = _hashes(_points(texts).reshape(len(texts), -1)) if texts else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        return keys[order], np.array([ratio(t) for t in texts], np.float64)[order]
+
+    @staticmethod
+    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The value of each key, nan for one that is not there."""
+        if not len(keys):
+            return np.full(len(wanted), np.nan)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], np.nan)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """log p(word | 1) - log p(word | 0) of each word and its end."""
         if not words:
-            return 0.0, 0.0, 0.0
-        own = np.array(list(map(self.word_ratio, words)))
-        sums = np.concatenate([[0.0], np.cumsum(own)])
-        stretch = (sums[STRETCH:] - sums[:-STRETCH]).max() if len(own) > STRETCH else sums[-1]
-        excess = np.maximum(own - 2.0, 0.0).sum()
-        return (float(sums[-1] / (len(own) + STRETCH)), float(stretch / STRETCH), float(math.log1p(100 * excess / (len(own) + STRETCH))))
+            return np.zeros(0)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        points = _points([PAD * (self.order - 1) + w + END for w in words])
+        first = np.cumsum(size) - size
+        start = np.arange(size.sum()) + np.repeat(np.arange(len(words)) * (self.order - 1), size)
+        grams = np.lib.stride_tricks.sliding_window_view(points, self.order)[start]
+        found = self._find(self.grams, self.seen, _hashes(grams))
+        lacking = np.flatnonzero(np.isnan(found))
+        found[lacking] = np.nan_to_num(self._find(self.contexts, self.unseen, _hashes(grams[lacking, :-1])))
+        return np.add.reduceat(found, first)
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _hashes(points: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each row of code points."""
+    out = np.full(len(points), points.shape[1], np.uint64)
+    for column in points.T:
+        out = (out ^ (column.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Known:
+    """Ratios of words that a worker has met; when full it starts anew."""
+
+    def __init__(self, ratios: Ratios):
+        self.ratios, self.words = ratios, {}
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """For each text: ratio per word of the text, of its strongest stretch,
+        and the share of plainly toxic words; shrunk for short texts."""
+        found = [WORD.findall(t.lower()) for t in texts]
+        if len(self.words) > KNOWN:
+            self.words = {}
+        new = list({w for t in found for w in t}.difference(self.words))
+        self.words.update(zip(new, self.ratios.words(new).tolist(), strict=True))
+        return np.array([_features(np.array(list(map(self.words.__getitem__, t)))) for t in found]).reshape(-1, 3)
+
+
+def _features(own: np.ndarray) -> tuple[float, float, float]:
+    if not len(own):
+        return 0.0, 0.0, 0.0
+    sums = np.concatenate([[0.0], np.cumsum(own)])
+    stretch = (sums[STRETCH:] - sums[:-STRETCH]).max() if len(own) > STRETCH else sums[-1]
+    excess = np.maximum(own - 2.0, 0.0).sum()
+    return (float(sums[-1] / (len(own) + STRETCH)), float(stretch / STRETCH), float(math.log1p(100 * excess / (len(own) + STRETCH))))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -130,16 +189,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 class Scorer:
-    """The two models and the curve that makes their features a probability."""
+    """Ratios of the two models and the curve that makes their features a probability."""
+
+    def __init__(self, models: KneserNey | Ratios | None, curve: np.ndarray | None, share: float):
+        self.ratios = Ratios(models) if isinstance(models, KneserNey) else models
+        self.curve, self.share = curve, share
 
-    def __init__(self, models: KneserNey | None, curve: np.ndarray | None, share: float):
-        self.models, self.curve, self.share = models, curve, share
+    def worker(self):
+        """A function from texts to scores, with a memory of its own."""
+        if self.ratios is None or self.curve is None:
+            return lambda texts: np.full(len(texts), self.share)
+        known = Known(self.ratios)
+
+        def scores(texts: list[str]) -> np.ndarray:
+            z = known.features(texts) @ self.curve[:-1] + self.curve[-1]
+            return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
+
+        return scores
 
     def score(self, text: str) -> float:
-        if self.models is None or self.curve is None:
-            return self.share
-        z = float(np.dot(self.curve[:-1], self.models.features(text)) + self.curve[-1])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return float(self.worker()([text])[0])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,21 +258,22 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     grams = dict(zip(counted["gram"].to_pylist(), zip(counted["one"].to_pylist(), counted["zero"].to_pylist(), strict=True), strict=True))
     if few:
         return Scorer(KneserNey(grams), FEW_CURVE, 0.0)
-    shared = spark.sparkContext.broadcast(KneserNey(grams))
+    ratios = Ratios(KneserNey(grams))
+    shared = spark.sparkContext.broadcast(ratios)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        known = Known(shared.value)
         for part in slices(batches):
-            rows = np.array([models.features(t) for t in part.column(0).to_pylist()]).reshape(-1, 3)
+            rows = known.features(part.column(0).to_pylist())
             yield pa.record_batch([*map(pa.array, rows.T), part.column(1)], ["a", "b", "c", "label"])
 
     seen = texts.where("held").select("text", "label").mapInArrow(features, "a double, b double, c double, label int").toPandas()
     y = seen["label"].to_numpy(float)
     if y.min(initial=1.0) == y.max(initial=0.0) or len(y) == 0:
-        return Scorer(KneserNey(grams), FEW_CURVE, 0.0)
+        return Scorer(ratios, FEW_CURVE, 0.0)
     # each class weighs what it weighs among all labelled rows
     weight = np.where(y == 1, total[1] / y.sum(), total[0] / (len(y) - y.sum())) * len(y) / sum(total.values())
-    return Scorer(KneserNey(grams), fit_logistic(seen[["a", "b", "c"]].to_numpy(), y, weight), 0.0)
+    return Scorer(ratios, fit_logistic(seen[["a", "b", "c"]].to_numpy(), y, weight), 0.0)
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -217,9 +287,9 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, columns
     schema = ", ".join(f"`_{c}` {dict(docs.dtypes)[c]}" for c in columns) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared.value.worker()
         for part in slices(batches):
-            scores = np.array([own.score(t or "") for t in part.column(0).to_pylist()])
+            scores = own([t or "" for t in part.column(0).to_pylist()])
             yield pa.record_batch([*part.columns[1:], pa.array(scores), pa.array((scores >= threshold).astype("i4"))],
                                   [*(f"_{c}" for c in columns), "score", "predicted"])
 
@@ -230,13 +300,13 @@ def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float) -> DataFram
     """The rows of ``docs`` whose score is below ``threshold``, all columns; all
     rows when there are no models, as the share alone says nothing about a text.
     """
-    if scorer.models is None:
+    if scorer.ratios is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared.value.worker()
         for part in slices(batches):
-            yield part.filter(pa.array([own.score(t or "") < threshold for t in part["text"].to_pylist()], pa.bool_()))
+            yield part.filter(pa.array(own([t or "" for t in part["text"].to_pylist()]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
