@@ -261,7 +261,8 @@ class Miner:
         while True:
             # the floor of a band: the score of the goal-th best pair, or 0
             place = F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("best.score")))
-            nth = pairs.withColumn("place", place).where(F.col("place") == goal).select("lid", F.col("best.score").alias("floor"))
+            first = pairs.withColumn("place", place).where(F.col("place") <= goal)  # cut in every task before the shuffle
+            nth = first.groupBy("lid").agg(F.count("*").alias("n"), F.min("best.score").alias("floor")).where(F.col("n") == goal).drop("n")
             floors = stage(waiting.join(nth, "lid", "left").na.fill(0, ["floor"]), "floors")
             rows = self.rows if done is None else self.rows.join(floors.select("lid"), "lid", "left_semi").select("text", "lid")
             counts = {m: self._level(rows, floors, m) for m in range(3, self.longest + 1)}

@@ -154,10 +154,14 @@ def op12(spark, sf):
 @query("op13_best_first_collocations", r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
-g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
-      FROM w, (VALUES (1), (2), (3), (4)) t(m)),
-f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+w AS (SELECT lang, row_number() OVER () AS pid, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, pid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+o AS (SELECT lang, w, lead(w, 1) OVER v AS w2, lead(w, 2) OVER v AS w3, lead(w, 3) OVER v AS w4 FROM t WINDOW v AS (PARTITION BY pid ORDER BY i)),
+f AS MATERIALIZED (
+  SELECT lang, 1 AS m, w AS phrase, count(*) AS a FROM o GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w2, count(*) FROM o WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3, count(*) FROM o WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM o WHERE w4 IS NOT NULL GROUP BY ALL),
 n AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
 c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND a >= 30),
 x AS (SELECT c.lang, c.m, c.phrase, c.a, k, one.a AS l, two.a AS r, (2000000::HUGEINT * c.a) // (one.a + two.a) AS score

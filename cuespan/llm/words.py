@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 WORD, SPACE, BREAK = 0, 1, 2
 FILTER_BITS = 1 << 24
-COMBINE_ROWS = 1_500_000
+COMBINE_ROWS = 700_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
