@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuespan.sources.lines import numbered_lines
+
 
 def first_wins(lines: DataFrame) -> DataFrame:
     """``line_no, word, freq`` → one row per word, the earliest line counts."""
     return lines.groupBy("word").agg(F.min_by("freq", "line_no").alias("freq"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) with physical line numbers.
-
-    The number is the logical clock of these files. A file is one row here, as the
-    formats bound a file to a few megabytes.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    clean = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "^\ufeff", "")
-    return whole.select("file", F.posexplode(F.split(clean, "\n")).alias("line_no", "line"))
-
-
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``word freq`` lines; an unreadable frequency counts as one."""
     lines = numbered_lines(spark, path)

@@ -9,7 +9,7 @@ from cuespan import constants as K
 from cuespan.functions import text as tx
 from cuespan.functions.keys import group_key
 from cuespan.operators.contributions import zoned_timestamp
-from cuespan.sources.dictionary import numbered_lines
+from cuespan.sources.lines import numbered_lines
 
 HEX64, HEX32, HEX40 = "^[0-9a-f]{64}$", "^[0-9a-f]{32}$", "^[0-9a-f]{40}$"
 
@@ -235,7 +235,7 @@ def check_pack(manifest: DataFrame, srt: DataFrame, keys: list[str], job_id: str
 
 def read_review_pack(spark: SparkSession, root: str) -> DataFrame:
     """Check every ``*.review-pack`` folder below ``root``."""
-    from cuespan.sources.subtitles import parse_srt
+    from cuespan.sources.subtitles import read_srt
     cue = ("cue_id: STRING, index: BIGINT, start_ms: BIGINT, end_ms: BIGINT, source_text_ocr: STRING, mapping_status: STRING, "
            "crop_status: STRING, crop_sha256_local: STRING, raw_end_ms: BIGINT, clamp_delta_ms: DOUBLE")
     pack = lambda f: F.regexp_extract(f, r"([^/]+\.review-pack)/", 1).alias("pack")
@@ -245,9 +245,7 @@ def read_review_pack(spark: SparkSession, root: str) -> DataFrame:
     cues = manifests.select("pack", F.col("m.job_id").alias("job_id"), F.explode("m.cues").alias("c")).select(
         "pack", "job_id", F.col("c.index").alias("cue_index"), "c.cue_id", "c.start_ms", "c.end_ms", F.col("c.source_text_ocr").alias("text"),
         "c.mapping_status", "c.crop_status", F.col("c.crop_sha256_local").alias("crop_sha"), "c.raw_end_ms", "c.clamp_delta_ms")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.srt").text(root, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value")
-    srt = parse_srt(files, "pack")[0].select(pack(F.col("file")), "cue_index", "start_ms", "end_ms", "text")
+    srt = read_srt(spark, root, "pack", "*.srt")[0].select(pack(F.col("file")), "cue_index", "start_ms", "end_ms", "text")
     return check_pack(cues, srt, ["pack"])
 
 

@@ -1,7 +1,8 @@
 """SRT and VTT corpora as cue tables.
 
-A file is one row (the formats bound a file to 64 MiB); its blocks are exploded
-right away and every rule after that is a column expression.
+Files are read in byte ranges as numbered lines, and blocks are gathered from
+those; a table that already holds whole texts has them split. From there on
+every rule is a column expression over blocks.
 """
 
 from __future__ import annotations
@@ -12,18 +13,14 @@ from pyspark.sql import functions as F
 from cuespan import constants as K
 from cuespan.functions import text as tx
 from cuespan.functions import times as tm
+from cuespan.sources.lines import blocks, file_names, numbered_lines, paragraphs, stripped
 from cuespan.sources.writers import numbered
 
 DIALECTS = ("strict", "fail_fast", "lenient", "token_edge", "pack")
+NUMBERED = ("strict", "fail_fast")  # cut white space around the text, then expect a number first
 ARROW = "-->"
 
 
-def read_files(spark: SparkSession, paths) -> DataFrame:
-    """(file, value) with one row per file."""
-    raw = spark.read.text(paths, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("file"), "value")
-
-
 def _unix(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, "^\ufeff", ""), "\r\n?", "\n")
 
@@ -54,18 +51,22 @@ def _join(lines: Column, sep: str) -> Column:
 
 
 def parse_srt(files: DataFrame, dialect: str = "strict") -> tuple[DataFrame, DataFrame]:
-    """(cues, rejects) of ``file, value`` rows.
+    """(cues, rejects) of ``file, value`` rows, a whole text each."""
+    text = _unix(F.col("value"))
+    text = tx.strip_ws(text) if dialect in NUMBERED else text
+    found = F.filter(F.split(text, r"\n[ \t]*\n+"), lambda b: ~_blank(b))
+    return srt_cues(files.select("file"), files.select("file", F.posexplode(found).alias("block_no", "block")), dialect)
+
+
+def srt_cues(files: DataFrame, rows: DataFrame, dialect: str = "strict") -> tuple[DataFrame, DataFrame]:
+    """(cues, rejects) of ``file, block_no, block`` rows; ``files`` names all files.
 
     strict keeps good blocks and reports the others, fail_fast and pack reject the
     whole file, lenient and token_edge drop what they cannot read.
     """
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {DIALECTS}")
-    numbered_dialect = dialect in ("strict", "fail_fast")
-    text = _unix(F.col("value"))
-    text = tx.strip_ws(text) if numbered_dialect else text
-    blocks = F.filter(F.split(text, r"\n[ \t]*\n+"), lambda b: ~_blank(b))
-    rows = files.select("file", F.posexplode(blocks).alias("block_no", "block"))
+    numbered_dialect = dialect in NUMBERED
     lines = F.split("block", "\n")
 
     if numbered_dialect:
@@ -120,15 +121,21 @@ def parse_srt(files: DataFrame, dialect: str = "strict") -> tuple[DataFrame, Dat
     return cues.select("file", F.col("cue_index").cast("bigint").alias("cue_index"), "start_ms", "end_ms", "text"), rejects
 
 
-def read_srt(spark: SparkSession, paths, dialect: str = "strict") -> tuple[DataFrame, DataFrame]:
-    return parse_srt(read_files(spark, paths), dialect)
+def read_srt(spark: SparkSession, paths, dialect: str = "strict", glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    lines = numbered_lines(spark, paths, glob)
+    return srt_cues(file_names(spark, paths, glob), blocks(stripped(lines) if dialect in NUMBERED else lines), dialect)
 
 
 def parse_vtt(files: DataFrame) -> DataFrame:
-    """Cues of VTT files. Paragraphs are separated by blank lines; one holds at
-    most one cue, and a note, style or region opening hides its paragraph."""
-    paragraphs = F.split(_unix(F.col("value")), r"\n(?U:\s*)\n|\n(?U:\s*)$|^(?U:\s*)\n")
-    rows = files.select("file", F.posexplode(paragraphs).alias("part_no", "part"))
+    """Cues of ``file, value`` rows, a whole text each."""
+    parts = F.split(_unix(F.col("value")), r"\n(?U:\s*)\n|\n(?U:\s*)$|^(?U:\s*)\n")
+    return vtt_cues(files.select("file", F.posexplode(parts).alias("part_no", "part")))
+
+
+def vtt_cues(rows: DataFrame) -> DataFrame:
+    """Cues of ``file, part_no, part`` rows. Paragraphs are separated by blank
+    lines; one holds at most one cue, and a note, style or region opening hides
+    its paragraph."""
     # header lines carry no cue; they may share the paragraph of one
     lines = F.filter(F.split("part", "\n"), lambda s: ~_blank(s) & ~tx.strip_ws(s).startswith("WEBVTT"))
     rows = rows.withColumn("lines", lines)
@@ -146,4 +153,5 @@ def parse_vtt(files: DataFrame) -> DataFrame:
 
 
 def read_vtt(spark: SparkSession, paths) -> DataFrame:
-    return parse_vtt(read_files(spark, paths))
+    parts = paragraphs(numbered_lines(spark, paths))
+    return vtt_cues(parts.withColumnsRenamed({"block_no": "part_no", "block": "part"}))
