@@ -2,12 +2,16 @@
 
 A bare overlap predicate has no equality to shuffle on, and equality on the
 episode alone compares all cues of an episode with each other. Intervals are
-therefore spread over fixed time buckets, joined on (key, bucket), and a pair is
-kept only in the first bucket both sides share, so no ``distinct`` is needed.
-
-Intervals longer than ``SPAN`` buckets meet the other side in one bucket per
-key instead. The other side only goes there when such intervals exist, which a
-scalar subquery over two columns decides inside the same query.
+therefore spread over time buckets and joined on (key, bucket); a pair is kept
+only in the first bucket both sides share, so no ``distinct`` is needed.
+
+Buckets have dyadic levels. An interval is at home on the level whose buckets
+are about as long as it is, where it fills one or two (up to eight on the lowest
+level). Of a pair the longer interval is at home and the shorter one visits its
+level, again in one or two buckets; only levels on which the other side has
+intervals are visited. All short intervals of an episode visit the bucket of one
+that is as long as the episode, so visitors are dealt out by their start and the
+interval at home stands in every part.
 """
 
 from __future__ import annotations
@@ -20,25 +24,55 @@ from pyspark.sql import functions as F
 from cuespan.functions.times import overlap_ms
 
 BUCKET_MS = 10_000
-SPAN = 64
-_WHOLE = -1
+BASE, PARTS = 8, 256
+_PLACE = ["_role", "_level", "_bucket", "_part"]
+
+
+def _fine(start: str, end: str, width: int) -> tuple[Column, Column]:
+    return F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)
+
+
+def _level(start: str, end: str, width: int) -> Column:
+    first, last = _fine(start, end, width)
+    return F.greatest(F.ceil(F.log2((last - first + 1) / BASE)), F.lit(0)).cast("int")
+
+
+def _levels(df: DataFrame, span: tuple[str, str], width: int) -> Column:
+    """The levels on which a table has intervals: a few numbers."""
+    return df.where(F.col(span[1]) > F.col(span[0])).select(F.collect_set(_level(*span, width))).scalar()
+
+
+def _parts(level: Column) -> Column:
+    return F.when(level == 0, F.lit(1)).otherwise(F.least(F.lit(BASE) * F.pow(F.lit(2.0), level), F.lit(PARTS)).cast("int"))
+
 
+def _spread(df: DataFrame, span: tuple[str, str], width: int, others: Column, leads: bool) -> DataFrame:
+    """One row per place. In role 0 the left side is at home and the right side
+    visits, on its own level too; in role 1 the right side is at home."""
+    start, end = span
+    first, _ = _fine(start, end, width)
+    home, guest = (0, 1) if leads else (1, 0)
 
-def _spread(df: DataFrame, start: str, end: str, width: int, other_has_long: Column, tag: str) -> DataFrame:
-    first = F.floor(F.col(start) / width)
-    last = F.floor((F.col(end) - 1) / width)
-    long = (last - first) >= SPAN
-    whole = F.array(F.lit(_WHOLE).cast("bigint"))
-    fine = F.sequence(first, last)
-    places = F.when(long, whole).when(other_has_long, F.concat(fine, whole)).otherwise(fine)
-    return (df.where(F.col(end) > F.col(start))
-            .withColumn(f"_{tag}_long", long).withColumn(f"_{tag}_first", first)
-            .withColumn("_bucket", F.explode(places)))
+    def filled(level: Column, part) -> Column:
+        size = F.when(level == 0, F.lit(width).cast("double")).otherwise(F.lit(width * BASE).cast("double") * F.pow(F.lit(2.0), level))
+        begin = F.floor(F.col(start) / size)
+        return F.transform(F.sequence(begin, F.floor((F.col(end) - 1) / size)), lambda b: part(level, b, begin))
 
+    def place(role: int, level: Column, bucket: Column, part: Column, begin: Column) -> Column:
+        return F.struct(F.lit(role).alias("_role"), level.alias("_level"), bucket.alias("_bucket"),
+                        part.cast("int").alias("_part"), begin.alias("_first"))
 
-def _has_long(df: DataFrame, start: str, end: str, width: int) -> Column:
-    long = F.floor((F.col(end) - 1) / width) - F.floor(F.col(start) / width) >= SPAN
-    return F.coalesce(df.where(F.col(end) > F.col(start)).select(F.max(long)).scalar(), F.lit(False))
+    own = F.col("_own")
+    wanted = F.exists("_others", (lambda o: o <= own) if leads else (lambda o: o < own))
+    at_home = F.flatten(filled(own, lambda level, b, begin: F.transform(
+        F.sequence(F.lit(0), _parts(own) - 1), lambda part: place(home, level, b, part, begin))))
+    visited = F.filter("_others", (lambda o: o > own) if leads else (lambda o: o >= own))
+    visits = F.flatten(F.transform(visited, lambda o: filled(o, lambda level, b, begin: place(
+        guest, level, b, F.pmod(first, _parts(level)), begin))))
+    none = F.filter(at_home, lambda _: F.lit(False))
+    return (df.where(F.col(end) > F.col(start)).withColumns({"_own": _level(start, end, width), "_others": others})
+            .withColumn("_stand", F.explode(F.concat(F.when(wanted, at_home).otherwise(none), visits)))
+            .select(*df.columns, "_stand.*"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -46,18 +80,16 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                   width: int = BUCKET_MS) -> DataFrame:
     """All pairs with equal ``keys`` whose half-open spans overlap, once each.
 
-    Apart from the keys, both sides must use different column names.
+    Apart from the keys, both sides must use different column names. Spans that
+    are empty or have a null end meet nothing.
     """
-    a = _spread(left, *left_span, width, _has_long(right, *right_span, width), "a")
-    b = _spread(right, *right_span, width, _has_long(left, *left_span, width), "b")
-    pairs = a.join(b, [*keys, "_bucket"])
-    either_long = F.col("_a_long") | F.col("_b_long")
-    at = F.when(either_long, F.lit(_WHOLE)).otherwise(F.greatest("_a_first", "_b_first"))
-    return (pairs
-            .where((F.col("_bucket") == at)
+    a = _spread(left, left_span, width, _levels(right, right_span, width), True).withColumnRenamed("_first", "_a_first")
+    b = _spread(right, right_span, width, _levels(left, left_span, width), False).withColumnRenamed("_first", "_b_first")
+    return (a.join(b, [*keys, *_PLACE])
+            .where((F.col("_bucket") == F.greatest("_a_first", "_b_first"))
                    & (F.col(left_span[0]) < F.col(right_span[1]))
                    & (F.col(right_span[0]) < F.col(left_span[1])))
-            .drop("_bucket", "_a_long", "_b_long", "_a_first", "_b_first"))
+            .drop(*_PLACE, "_a_first", "_b_first"))
 
 
 def renamed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:

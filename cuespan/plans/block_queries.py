@@ -42,10 +42,13 @@ def w2(spark, sf):
     return lint.chronology(v.cues_pred(spark, sf))
 
 
+# a pair meets in the ten seconds in which its later cue starts
 sql_view("overlapping", ("cues_pred",), """
 SELECT a.episode_id, a.cue_index AS first_index, b.cue_index AS second_index, a.start_ms AS first_start_ms,
        b.start_ms AS second_start_ms, least(a.end_ms, b.end_ms) - b.start_ms AS overlap_ms
-FROM cues_pred a JOIN cues_pred b ON a.episode_id = b.episode_id AND a.end_ms > b.start_ms
+FROM (SELECT *, unnest(range(start_ms // 10000, (end_ms - 1) // 10000 + 1)) AS place FROM cues_pred WHERE end_ms > start_ms) a
+JOIN (SELECT *, start_ms // 10000 AS place FROM cues_pred WHERE end_ms > start_ms) b
+ ON a.episode_id = b.episode_id AND a.place = b.place AND a.end_ms > b.start_ms
  AND (a.start_ms < b.start_ms OR (a.start_ms = b.start_ms AND a.cue_index < b.cue_index))""")
 
 
