@@ -182,6 +182,45 @@ def total_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Da
     return numbered.join(starts, "_range").select(*df.columns, place.alias(name))
 
 
+QUANTILE_BINS = 1_024
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str = "quantile") -> DataFrame:
+    """The interpolated quantile of each key, from counts in narrowing ranges.
+
+    A round counts the values of a range in 1,024 bins and goes on with the bin
+    that holds the wanted rank, from its least to its greatest value, until both
+    are equal. State is 1,024 counts per key, however many values a key has.
+    Nulls are left out; a key without values gives null. Values must be numbers.
+    """
+    keys = list(keys)
+    values = df.select(*keys, F.col(value).cast("double").alias("_x"))
+    ends = values.groupBy(*keys).agg(F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    place = F.lit(float(share)) * (F.col("_n") - 1)
+    ends = cut_lineage(ends.withColumn("_place", place))
+    ranks = F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))
+    wanted = cut_lineage(ends.where("_n > 0").select(*keys, F.explode(ranks).alias("_rank"), "_lo", "_hi").withColumn("_left", F.col("_rank")))
+    same = reduce(lambda a, b: a & b, [F.col(f"_v.{k}").eqNullSafe(F.col(f"_w.{k}")) for k in keys], F.lit(True))
+    while not wanted.where("_lo < _hi").isEmpty():
+        open_ = wanted.where("_lo < _hi")
+        inside = values.alias("_v").join(open_.alias("_w"), same & F.col("_x").between(F.col("_lo"), F.col("_hi"))).select(
+            *[F.col(f"_w.{k}").alias(k) for k in keys], "_rank", "_left", "_x", "_lo", "_hi")
+        # halves, so that a range wider than the largest double has bins too; the
+        # greatest value has a bin of its own, so every round narrows the range
+        part = F.try_divide(F.col("_x") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        bin_ = F.when(F.col("_x") == F.col("_hi"), QUANTILE_BINS).otherwise(F.coalesce(F.floor(part * (QUANTILE_BINS - 1)), F.lit(0)))
+        bins = inside.withColumn("_bin", bin_).groupBy(*keys, "_rank", "_left", "_bin").agg(
+            F.count("*").alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        before = F.coalesce(F.sum("_c").over(_before([*keys, "_rank"], ["_bin"])), F.lit(0))
+        hit = (bins.withColumn("_b", before).where((F.col("_left") >= F.col("_b")) & (F.col("_left") < F.col("_b") + F.col("_c")))
+               .select(*keys, "_rank", "_lo", "_hi", (F.col("_left") - F.col("_b")).alias("_left")))
+        wanted = cut_lineage(wanted.where("_lo = _hi").unionByName(hit))
+    found = wanted.groupBy(*keys).agg(F.min("_lo").alias("_one"), F.max("_lo").alias("_two"))
+    both = ends.alias("_v").join(found.alias("_w"), same, "left").select(*[F.col(f"_v.{k}").alias(k) for k in keys], "_place", "_one", "_two")
+    up = F.col("_place") - F.floor("_place")
+    return both.select(*keys, F.when(up == 0, F.col("_one")).otherwise((1 - up) * F.col("_one") + up * F.col("_two")).alias(name))
+
+
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """Run ``fold`` over the rows of each group, in order.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespan import constants as K
+from cuespan.functions.ordered import exact_quantile, total_rank
 from cuespan.operators.align import first_per_key
 
 
@@ -49,22 +50,17 @@ def board_totals(board: DataFrame) -> DataFrame:
 
 
 def board_order(board: DataFrame) -> DataFrame:
-    return board.orderBy(F.col("flagged").desc(), F.col("low_pct").desc_nulls_last(), "name")
+    """Place of each video in the display: flagged first, then by share, then by name."""
+    return total_rank(board, [F.col("flagged").desc(), F.col("low_pct").desc_nulls_last(), F.col("name").asc()], "position")
 
 
 def stage_timing(stages: DataFrame, stage: str = "stage", seconds: str = "seconds") -> DataFrame:
-    """Exact quartiles per stage; a null duration means the stage did not run.
+    """Exact median per stage; a null duration means the stage did not run.
     Stages overlap in time, so they are never added up."""
-    return stages.groupBy(stage).agg(
-        F.count("*").alias("runs"), F.count(seconds).alias("ran"),
-        F.expr(f"percentile({seconds}, 0.5)").alias("median"), F.max(seconds).alias("longest"))
-
-
-def stage_timing_approx(stages: DataFrame, stage: str = "stage", seconds: str = "seconds") -> DataFrame:
-    """The same with bounded state per stage."""
-    return stages.groupBy(stage).agg(
-        F.count("*").alias("runs"), F.count(seconds).alias("ran"),
-        F.percentile_approx(seconds, 0.5, 10_000).alias("median"), F.max(seconds).alias("longest"))
+    counts = stages.groupBy(stage).agg(F.count("*").alias("runs"), F.count(seconds).alias("ran"), F.max(seconds).alias("longest"))
+    middle = exact_quantile(stages, [stage], seconds, 0.5, "median").withColumnRenamed(stage, "_stage")
+    return (counts.join(middle, F.col(stage).eqNullSafe(F.col("_stage")))
+            .select(stage, "runs", "ran", "median", "longest"))
 
 
 def log_level(line: Column) -> Column:
@@ -106,6 +102,11 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
+def natural_order(files: DataFrame, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Place of each file when runs of digits count as numbers."""
+    return total_rank(files, [natural_key(F.col(name)).asc(), *[F.col(t).asc() for t in ties]], "position")
+
+
 def skip_processed(inputs: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
     return inputs if force else inputs.join(done.select("name", "size"), ["name", "size"], "left_anti")
 

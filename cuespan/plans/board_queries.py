@@ -63,12 +63,7 @@ def a9_totals(spark, sf):
 @query("t3_board_order", """
 SELECT name, flagged, low_pct, row_number() OVER (ORDER BY flagged DESC, low_pct DESC NULLS LAST, name) AS position FROM board""", ("board",))
 def t3(spark, sf):
-    """Rank of the display order, counted in ranges of the share."""
-    b = _board(spark, sf).withColumns({
-        "_flag": F.when(F.col("flagged"), 0).otherwise(1), "_pct": F.coalesce(-F.col("low_pct"), F.lit(1.0))})
-    spread_ = F.col("_flag") * 1000 + F.floor(F.col("_pct"))
-    return writers.numbered(b.withColumn("_all", F.lit(0)), ["_all"], ["_flag", "_pct", "name"], "position", chunk=spread_).select(
-        "name", "flagged", "low_pct", "position")
+    return board.board_order(_board(spark, sf)).select("name", "flagged", "low_pct", "position")
 
 
 @query("a21_stage_timing", """
@@ -123,10 +118,7 @@ SELECT c_custkey, c_name || ' ' || c_custkey % 300 || '.mkv' AS name,
        row_number() OVER (ORDER BY c_custkey % 300, c_custkey) AS position FROM (SELECT c_custkey, 'Clip' AS c_name FROM customer) c""")
 def t10(spark, sf):
     named = v.table(spark, sf, "customer").select("c_custkey", F.expr("'Clip ' || c_custkey % 300 || '.mkv'").alias("name"))
-    keyed = named.withColumn("key", board.natural_key(F.col("name"))).withColumn("_all", F.lit(0))
-    # the key orders like its characters, so its padded number is a safe chunk
-    chunk = F.floor(F.substring("key", 6, 20).cast("bigint") / 16)
-    return writers.numbered(keyed, ["_all"], ["key", "c_custkey"], "position", chunk=chunk).select("c_custkey", "name", "position")
+    return board.natural_order(named, "name", ["c_custkey"]).select("c_custkey", "name", "position")
 
 
 @query("j21_skip_processed", """
