@@ -90,12 +90,11 @@ class Forest:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part: an id, a vector without
-    null or non-finite components, not zero, of the most frequent length."""
+    """vec_id and embedding of the rows that take part: an id, and a vector
+    without null or non-finite components that is not zero."""
     ok = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(
         "NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(embedding, x -> x <> 0)")
-    length = ok.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    return ok.where(F.size("embedding") == (length.n if length else 0)).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return ok.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
@@ -105,15 +104,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TRE
 
     Both tables hold ``vec_id`` and ``embedding``; see ``usable`` for the rows
     that take part. A row with the query's own id is no candidate. Of repeated
-    ids each row is a candidate of its own. The trees are fitted on about
-    ``sample_rows`` rows by hash of the id; every row is indexed.
+    ids each row is a candidate of its own; a query that is repeated with its
+    vector is asked once. Distances are between vectors of one length: with
+    several lengths, each has a forest of its own, and a query finds rows of its
+    own length. The trees are fitted on about ``sample_rows`` rows by hash of id
+    and vector; every row is indexed.
     """
-    spark = vectors.sparkSession
-    rows, asked = stage(usable(vectors), "vectors"), stage(usable(queries), "queries")
+    rows, asked = stage(usable(vectors), "vectors"), stage(usable(queries).distinct(), "queries")
+    size = F.size("embedding")
+    lengths = sorted(r[0] for r in asked.select(size).distinct().collect())  # a few numbers
+    found = None
+    for n in lengths or [0]:
+        own = _search(rows.where(size == n), asked.where(size == n), k, trees, leaf_rows, sample_rows, share)
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, trees: int, leaf_rows: int, sample_rows: int, share: float) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
     n, q = rows.count(), asked.count()
     span = 1 << 30
-    fit = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(span)) < int(span * min(1.0, sample_rows / max(n, 1))))
-    sample = fit.orderBy("vec_id").toArrow()["embedding"].to_pylist()
+    fit = rows.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(span)) < int(span * min(1.0, sample_rows / max(n, 1))))
+    sample = fit.orderBy("vec_id", F.xxhash64("embedding")).toArrow()["embedding"].to_pylist()
     points = np.array(sample, np.float64) if sample else np.zeros((0, 1))
     shared = spark.sparkContext.broadcast(Forest(points, trees, leaf_rows))  # bounded by the sample
     blocks, chunks = max(width(rows), -(-n // BLOCK_ROWS)), max(1, -(-q // CHUNK_QUERIES))
@@ -128,7 +141,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TRE
     sent = (asked.repartition(width(rows)).mapInArrow(visits, f"query_id long, vector {kind}, leaves array<int>")
             .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    held = (rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    held = (rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding", F.lit(1)), F.lit(blocks)).cast("int"))
             .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))))
 
     def rank(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:

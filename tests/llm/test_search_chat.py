@@ -104,3 +104,17 @@ def test_rotation_edges(spark, monkeypatch):
             assert whole[r.mask_start - place:r.mask_end - place] == (body if role == view else "")
             place += len(whole)
     assert chat.rotate(talk.limit(0)).collect() == []
+
+
+def test_forest_with_several_lengths_and_repeated_queries(spark):
+    rng = np.random.default_rng(3)
+    three, two = rng.normal(size=(40, 3)), rng.normal(size=(9, 2))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(three)] + [(100 + i, [float(x) for x in v]) for i, v in enumerate(two)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id IN (0, 7, 103)")
+    got = forest.search(vectors, asked.unionByName(asked), 5).collect()
+    for query, group, first in ((0, three, 0), (7, three, 0), (103, two, 100)):
+        far = sorted((float(np.sqrt(((group[query - first] - v) ** 2).sum())), first + i) for i, v in enumerate(group) if first + i != query)[:5]
+        own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == query)
+        assert [x[:2] for x in own] == [(k, i) for k, (_, i) in enumerate(far, 1)]
+        assert [x[2] for x in own] == pytest.approx([f for f, _ in far], abs=1e-12)
