@@ -31,7 +31,8 @@ TAGS = ("other", *KINDS)
 KNOWN_WORDS = 400_000
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGIT = re.compile(r"[0-9]")
-IP = re.compile(r"[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match that began inside a run of digits would have begun at its first one
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
