@@ -189,7 +189,7 @@ def write(docs: DataFrame, vocab_path: str, end_id: int = 0) -> TokenStore:
 
     # the dictionary is fitted on blocks of a bounded sample of documents
     share = min(1.0, SAMPLE_DOCS / max(cuts.n, 1))
-    mix = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    mix = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_ids(vocab_path)
