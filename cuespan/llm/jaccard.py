@@ -459,5 +459,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     smallest doc_id; all columns. Rows that are repeated with id and text stay
     once; rows without doc_id stay."""
     kept = join(docs, words, percent).where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns, F.xxhash64("text").alias("_h"))
-    return named.dropDuplicates(["doc_id", "_h"]).drop("_h").unionByName(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    # all columns travel in one struct, so that no name of theirs can clash
+    rows = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"))
+    return rows.dropDuplicates(["key"]).select("row.*").unionByName(docs.where("doc_id IS NULL"))

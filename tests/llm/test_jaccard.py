@@ -135,3 +135,11 @@ def test_check_sql(spark):
     from cuespan.llm.queries import CHECKS, QUERIES
     name = "op10_heavy_light_jaccard"
     assert compare(spark, duck("/root/testdata/sf0.001"), name, "/root/testdata/sf0.001", QUERIES, CHECKS).startswith("ok")
+
+
+def test_one_of_each_with_any_column_names(spark):
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (2, "a b c d e f", "y"), (3, "p q r", "z"), (None, "p q r", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h string").selectExpr("*", "1 AS key", "2 AS `row`", "3 AS hash", "4 AS `a.b`")
+    got = jaccard.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r._h) for r in got.collect()) == [(0, "w"), (1, "x"), (3, "z")]
