@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from cuespan.llm.common import shared_path, slices, stage
 
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 131_072
+SHORT, NO_PAIR = 24, (1 << 62, -1)
+FORMS = 120_000  # pieces of texts whose forms a worker keeps from slice to slice
 # fixed value: the split pattern of byte-level vocabularies that name none
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Only these characters have the same classes in every library used here; a text
@@ -99,6 +101,27 @@ class Vocabulary:
         ids = [self.first[b] for b in word]
         if ids:
             ids[-1] = self.last[word[-1]]
+        return self._join_short(ids) if len(ids) <= SHORT else self._join(ids)
+
+    def _join_short(self, ids: list[int]) -> list[int]:
+        """All pairs of a short word stand in one list, and its least is looked for anew."""
+        get = self.merges.get
+        pairs = [get(p, NO_PAIR) for p in zip(ids, ids[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best is NO_PAIR:
+                break
+            at = pairs.index(best)
+            ids[at:at + 2] = [best[1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get((ids[at - 1], ids[at]), NO_PAIR)
+            if at < len(pairs):
+                pairs[at] = get((ids[at], ids[at + 1]), NO_PAIR)
+        return ids
+
+    def _join(self, ids: list[int]) -> list[int]:
+        """A heap of pairs over linked places, for words of any length."""
         n, merges = len(ids), self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*merges[pair], at, *pair) for at in range(n - 1) if (pair := (ids[at], ids[at + 1])) in merges]
@@ -224,6 +247,12 @@ def lexicon(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
+@lru_cache(maxsize=1)
+def forms(name: str) -> tuple[dict, dict]:
+    """Forms of pieces met by this worker: now, and before it was last full."""
+    return {}, {}
+
+
 def resolve(vocab: Vocabulary, lex: Lexicon | None, chunks: Iterable) -> dict:
     """The ids of distinct chunks."""
     own = {c: vocab.words(c) for c in chunks if not isinstance(c, int)}
@@ -270,8 +299,8 @@ def put_file(spark: SparkSession, data: bytes, label: str) -> str:
 
 
 def build_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Compile the at most ``words`` most frequent words of all texts; words that
-    are equally frequent are all in or all out.
+    """Compile the ``words`` most frequent words of all texts; of those equally
+    frequent with the last, the first by hash.
 
     The size of the lexicon is a parameter and does not follow the corpus; it
     decides how often a word is merged anew, never the ids.
@@ -281,12 +310,17 @@ def build_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", words: i
     # how many words have each count: a short table, from which the least count
     # follows, so that no task sends more than its share of the lexicon
     often = sorted(((r.n, r.words) for r in counted.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
-    least, held = None, 0
+    least, held, room = None, 0, 0
     for n, own in often:
-        if held + own > words:
+        least, room = n, words - held
+        held += own
+        if held >= words:
             break
-        least, held = n, held + own
-    top = counted.where(F.col("n") >= least).collect() if least is not None else []
+    by_hash = F.xxhash64("word")
+    top = []
+    if least is not None and words > 0:
+        edge = counted.where(F.col("n") == least).orderBy(by_hash, "word").limit(room)
+        top = counted.where(F.col("n") > least).unionByName(edge).collect()  # at most ``words`` rows
     data = compile_lexicon({bytes(r.word): vocab.merge(bytes(r.word)) for r in top})
     return put_file(docs.sparkSession, data, "lexicon")
 
@@ -332,27 +366,37 @@ def digests(docs: DataFrame, vocab_path: str, id_column: str = "doc_id", text: s
             words: int = LEXICON_WORDS) -> DataFrame:
     """Encode and decode every text and keep lengths and hashes of both.
 
-    One pass: a chunk's ids and tokens are written as text once per slice of
-    texts, so a document is two joins of strings and two hashes.
+    One pass: a chunk's ids and tokens are written as text when a worker meets
+    it, so a document is two joins of strings and two hashes. Forms are kept from
+    slice to slice in two generations: when one is full, what the slices since
+    have not used goes.
     """
     name = build_lexicon(docs, vocab_path, text, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lex = vocabulary(vocab_path), lexicon(name)
+        known, older = forms(name)
         for part in slices(batches):
             texts = [vocab.chunks(t or "") for t in part.column(1).to_pylist()]
-            ids = resolve(vocab, lex, {c for t in texts for c in t})
-            size = {c: len(v) for c, v in ids.items()}
-            digits = {c: " ".join(map(str, v)) for c, v in ids.items()}
-            spelt = {c: " ".join(map(vocab.tokens.__getitem__, v)) for c, v in ids.items()}
+            new = {c for t in texts for c in t}.difference(known)
+            for c in [c for c in new if c in older]:
+                known[c] = older[c]
+            new.difference_update(known)
+            for c, v in resolve(vocab, lex, new).items():
+                known[c] = (len(v), " ".join(map(str, v)), " ".join(map(vocab.tokens.__getitem__, v)))
+            rows = [[known[c] for c in t] for t in texts]
 
-            def sha(t: list, form: dict) -> str:
-                return hashlib.sha256(" ".join(map(form.__getitem__, t)).encode()).hexdigest()
+            def sha(row: list, form: int) -> str:
+                return hashlib.sha256(" ".join([f[form] for f in row]).encode()).hexdigest()
 
             yield pa.record_batch([
-                part.column(0), pa.array([sum(map(size.__getitem__, t)) for t in texts], pa.int64()),
-                pa.array([sha(t, digits) for t in texts]), pa.array([sha(t, spelt) for t in texts])],
+                part.column(0), pa.array([sum([f[0] for f in row]) for row in rows], pa.int64()),
+                pa.array([sha(row, 1) for row in rows]), pa.array([sha(row, 2) for row in rows])],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if len(known) > FORMS:
+                older.clear()
+                older.update(known)
+                known.clear()
 
     kind = dict(docs.dtypes)[id_column]
     return (docs.select(id_column, text)

@@ -79,3 +79,12 @@ def test_every_plain_character():
         for c in plain:
             text = f"a{c}1 {c}{c}b {c} 'S{c}  "
             assert ids_by_method(path, text) == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(min_size=1, max_size=40))
+def test_short_and_long_words_are_joined_alike(word):
+    vocab = bpe.vocabulary(WORD)
+    ids = [vocab.first[b] for b in word]
+    ids[-1] = vocab.last[word[-1]]
+    assert vocab._join_short(list(ids)) == vocab._join(list(ids))
