@@ -124,3 +124,7 @@ REQUIRED_METRIC_KEYS = ["duration_seconds", "frames_scanned", "cue_count", "low_
 FRAME_MIN_FILL = 20
 FADE_SHARE = 0.7
 LINE_MIN_PX = 28.0
+
+# fixed values: limits of a contribution call and of the crops of a dataset
+MAX_BODY_BYTES = 16 * 1024
+MAX_CROP_TOTAL_BYTES = 128 * 1024 * 1024

@@ -85,6 +85,33 @@ def validate_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.withColumn("problem", problem).drop("_j")
 
 
+def judge_calls(calls: DataFrame, retention_days: int = 90, max_body: int = K.MAX_BODY_BYTES) -> DataFrame:
+    """Add ``refusal``, the first reason to turn a call away before its id and
+    token matter, else null; and ``canonical``, its payload in one spelling.
+
+    ``calls`` holds payload, idempotency_key, metrics_consent, retention_policy
+    and cer_consent. A call that is refused never becomes the first of its id.
+    """
+    c = F.col
+    judged = validate_payload(calls.withColumnRenamed("problem", "_own_problem") if "problem" in calls.columns else calls)
+    keys, metrics = F.json_object_keys("payload"), F.get_json_object("payload", "$.metrics")
+    inner = F.json_object_keys(metrics)
+    twice = (F.size(keys) > F.size(F.array_distinct(keys))) | (F.size(inner) > F.size(F.array_distinct(inner)))
+    has_cer = F.coalesce(F.array_contains(inner, "cer"), F.lit(False))
+    refusal = (F.when(F.coalesce(F.octet_length("payload"), F.lit(0)) > max_body, "too_large")
+               .when(c("problem").isNotNull() | F.coalesce(twice, F.lit(True)), "payload_rejected")
+               .when(~c("idempotency_key").eqNullSafe(F.get_json_object("payload", "$.submission_id")), "key_mismatch")
+               .when(~c("metrics_consent").eqNullSafe(F.lit("v1")), "no_metrics_consent")
+               .when(~c("retention_policy").eqNullSafe(F.lit(str(retention_days))), "retention_mismatch")
+               .when(has_cer & ~c("cer_consent").eqNullSafe(F.lit("v1")), "no_cer_consent")
+               .when(~has_cer & (F.coalesce(c("cer_consent"), F.lit("")) != ""), "unexpected_cer_consent"))
+    parsed = F.from_json("payload", "schema_version STRING, submission_id STRING, created_at STRING, metrics MAP<STRING,STRING>")
+    canonical = F.to_json(F.struct(parsed["schema_version"].alias("v"), parsed["submission_id"].alias("id"), parsed["created_at"].alias("at"),
+                                   F.array_sort(F.map_entries(parsed["metrics"])).alias("metrics")))
+    out = judged.withColumn("refusal", refusal).withColumn("canonical", F.when(F.col("refusal").isNull(), canonical)).drop("problem")
+    return out.withColumnRenamed("_own_problem", "problem") if "_own_problem" in out.columns else out
+
+
 def zoned_timestamp(text: Column) -> Column:
     """ISO-8601 text with a time zone, else null."""
     return F.when(text.rlike(_ZONED), F.try_to_timestamp(text))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespan import constants as K
+from cuespan.functions.ordered import prefix_scan
 
 
 def split_sizes(n: int) -> list[int]:
@@ -147,6 +148,19 @@ def unique_bytes(cues: DataFrame) -> DataFrame:
     return one.agg(F.count("*").alias("unique_crops"), F.sum("b").alias("unique_bytes"))
 
 
+def crop_budget(cues: DataFrame, keys: Sequence[str], order: str, budget: int = K.MAX_CROP_TOTAL_BYTES) -> DataFrame:
+    """Add the bytes of distinct crops up to and with each row of a dataset
+    (``total_bytes``), and whether they pass the budget (``over_budget``): the
+    dataset is refused from its first such row on. A digest counts where it
+    stands first."""
+    keys = list(keys)
+    first = cues.groupBy(*keys, "crop_sha").agg(F.min(order).alias("_first"))
+    fresh = cues.join(first, [*keys, "crop_sha"]).withColumn(
+        "_bytes", F.when(F.col(order) == F.col("_first"), F.col("bytes")).otherwise(0).cast("bigint"))
+    total = prefix_scan(fresh, keys, [order], {"total_bytes": ("sum", F.col("_bytes"))}, inclusive=True)
+    return total.select(*cues.columns, "total_bytes", (F.col("total_bytes") > budget).alias("over_budget"))
+
+
 def seed_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(seed groups with counts, identities labelled with several episodes)."""
     c = F.col

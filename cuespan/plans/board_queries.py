@@ -173,6 +173,19 @@ def p19(spark, sf):
     return checked.select("event_id", "problem", get("device_class"), get("engine_class"))
 
 
+@query("x1_judged_calls", """
+SELECT event_id, CASE
+  WHEN round_even(value * 1000, 1) > 86400 OR (event_id % 50 > 0 AND CAST(event_id % 60 AS DOUBLE) / (event_id % 50) > 1.00005)
+       OR event_id % 60 > event_id % 50 THEN 'payload_rejected'
+  WHEN event_id % 11 = 3 THEN 'key_mismatch' WHEN event_id % 7 = 2 THEN 'no_metrics_consent'
+  WHEN event_id % 13 = 5 THEN 'retention_mismatch' WHEN event_id % 17 = 4 THEN 'unexpected_cer_consent' END AS refusal FROM events""")
+def x1_judged(spark, sf):
+    calls = _payloads(spark, sf).selectExpr(
+        "event_id", "payload", "if(event_id % 11 = 3, 'other', submission_id) AS idempotency_key", "if(event_id % 7 = 2, NULL, 'v1') AS metrics_consent",
+        "if(event_id % 13 = 5, '30', '90') AS retention_policy", "if(event_id % 17 = 4, 'v1', NULL) AS cer_consent")
+    return contributions.judge_calls(calls).select("event_id", "refusal")
+
+
 sql_view("tokens", (), """
 SELECT DISTINCT user_id AS token_hash, user_id % 3 = 0 AS revoked, user_id % 5 AS days, user_id % 7 = 0 AS unreadable FROM events""")
 

@@ -138,6 +138,15 @@ def s12(spark, sf):
     return dataset.unique_bytes(crops)
 
 
+@query("s12_crop_budget", """
+SELECT lang, doc_id, CAST(sum(CASE WHEN doc_id = least_id THEN bytes ELSE 0 END) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS total_bytes,
+       sum(CASE WHEN doc_id = least_id THEN bytes ELSE 0 END) OVER (PARTITION BY lang ORDER BY doc_id) > 134217728 AS over_budget
+FROM (SELECT lang, doc_id, length(text) AS bytes, min(doc_id) OVER (PARTITION BY lang, sha256(text)) AS least_id FROM documents) t""")
+def s12_budget(spark, sf):
+    crops = v.table(spark, sf, "documents").select("lang", "doc_id", F.sha2("text", 256).alias("crop_sha"), F.length("text").alias("bytes"))
+    return dataset.crop_budget(crops, ["lang"], "doc_id").select("lang", "doc_id", "total_bytes", "over_budget")
+
+
 @query("a20_seed_groups", """
 SELECT user_id AS episode_key, length(event_type) AS size, event_type AS sha1, count(*) FILTER (value < 100) AS candidates,
        count(*) FILTER (value >= 100) AS skipped FROM events GROUP BY 1, 2, 3""")

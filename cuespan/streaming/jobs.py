@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuespan import constants as K
 from cuespan.operators.board import low_percent
+from cuespan.operators.contributions import judge_calls
 
 DAY_MS = 86_400_000
 
@@ -54,6 +55,18 @@ def contribution_ingest(calls: DataFrame, retention_days: int = 90) -> DataFrame
         "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def contribution_calls(calls: DataFrame, retention_days: int = 90) -> DataFrame:
+    """``seq, token_hash, payload`` and the consents of each call → status per call.
+
+    Schema, key and consents are judged by columns first; only calls that pass
+    reach the state of their id, so a bad call cannot make a good one a conflict.
+    """
+    judged = judge_calls(calls, retention_days).withColumn("submission_id", F.get_json_object("payload", "$.submission_id"))
+    refused = judged.where("refusal IS NOT NULL").select("submission_id", F.col("seq").cast("bigint").alias("seq"), F.col("refusal").alias("status"))
+    passed = judged.where("refusal IS NULL").select("submission_id", "seq", "token_hash", F.col("canonical").alias("payload"))
+    return refused.unionByName(contribution_ingest(passed, retention_days))
+
+
 def drop_repeats(calls: DataFrame, time: str, delay: str, keys: list[str]) -> DataFrame:
     """Exact repeats within the watermark, without custom state."""
     return calls.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
