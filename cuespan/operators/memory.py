@@ -9,11 +9,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cuespan.functions import text as tx
 from cuespan.functions.keys import sha_id
-from cuespan.session import spread
 
 
 def memory_from_decisions(state: DataFrame) -> DataFrame:
@@ -68,55 +66,89 @@ def tm_exact(queries: DataFrame, memory: DataFrame, keys: Sequence[str] = ("scop
         F.coalesce("n", F.lit(0)).alias("entries"))
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-                                   T.StructField("touches", T.BooleanType())]))
-
-
 def _is_cjk(char: str) -> bool:
     name = unicodedata.name(char, "") if char else ""
     return any(s in name for s in ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO"))
 
 
-@F.pandas_udf(_SPANS)
-def term_spans(text: pd.Series, term: pd.Series) -> pd.Series:
-    """All places of a term, overlapping ones too, and whether a place touches
-    another CJK character (then it may be part of a longer word)."""
-    def spans(t: str, k: str):
-        return [{"start": m.start(), "end": m.start() + len(m.group(1)),
-                 "touches": (m.start() > 0 and _is_cjk(t[m.start() - 1]))
-                 or (m.start() + len(m.group(1)) < len(t) and _is_cjk(t[m.start() + len(m.group(1))]))}
-                for m in re.finditer(f"(?=({re.escape(k)}))", t, re.IGNORECASE)]
-
-    return pd.Series([spans(t, k) for t, k in zip(text, term)])
+PART_TERMS, BLOCK_CHARS = 100_000, 4_000_000
+
+
+def _fold(text: str) -> str:
+    """One character for each character; equal for all that differ in case only."""
+    def one(c: str) -> str:
+        folded = c.casefold()
+        return "i" if c in "\u0130\u0131" else folded if len(folded) == 1 else c.lower() if len(c.lower()) == 1 else c
+    return text.lower() if text.isascii() else "".join(map(one, text))
+
+
+def _find_terms(texts: pd.DataFrame, terms: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """All places of the terms of one part in the texts of one block, found by one
+    automaton that goes over each text once."""
+    import ahocorasick
+
+    automaton, by_fold = ahocorasick.Automaton(), {}
+    for i, term in enumerate(terms["source_term"]):
+        if term:
+            by_fold.setdefault(_fold(term), []).append(i)
+    for folded, own in by_fold.items():
+        automaton.add_word(folded, (len(folded), own))
+    out = []
+    if by_fold:
+        automaton.make_automaton()
+        source, norms, targets, counts = (terms[c].tolist() for c in ("source_term", "norm", "target", "targets"))
+        patterns: dict[int, re.Pattern] = {}
+        for row in texts.itertuples(index=False):
+            seen, text = set(), row.text
+            for last, (size, own) in automaton.iter(_fold(text)):
+                start, end = last - size + 1, last + 1
+                here = text[start:end]
+                touches = None
+                for i in own:
+                    if here != source[i]:  # folding is coarser than the comparison of the patterns
+                        if i not in patterns:
+                            patterns[i] = re.compile(re.escape(source[i]), re.IGNORECASE)
+                        if not patterns[i].fullmatch(here):
+                            continue
+                    if (start, end, norms[i]) in seen:
+                        continue
+                    seen.add((start, end, norms[i]))
+                    if touches is None:
+                        touches = (start > 0 and _is_cjk(text[start - 1])) or (end < len(text) and _is_cjk(text[end]))
+                    out.append((*[getattr(row, k) for k in keys], row.query_id, start, end, norms[i], targets[i], counts[i] > 1, touches))
+    return pd.DataFrame(out, columns=[*keys, "query_id", "start", "end", "norm", "target", "collides", "touches"])
 
 
 def lexicon_matches(texts: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("scope_id",)) -> DataFrame:
-    """Where glossary terms occur: (keys, query_id, start, end, term, target, collides, touches).
-
-    Terms and texts meet on their first three case-folded letters, so a text is
-    compared only with terms that can occur in it.
+    """Where glossary terms occur: (keys, query_id, start, end, norm, target,
+    collides, touches); a place touches when a CJK character stands beside it, as
+    it may be part of a longer word then.
+
+    All terms of a part of a scope's glossary are searched at once. Glossaries
+    are dealt out in parts by the hash of the term and texts in blocks by theirs,
+    both counted by size, so neither a short term nor a large scope gathers
+    anywhere. Null texts hold no term.
     """
     keys = list(keys)
-    gram = 3
     terms = lexicon.select(*keys, "line_no", "source_term", "target_term", tx.norm_memory("source_term").alias("norm"),
                            tx.norm_memory("target_term").alias("target_norm"))
     per_term = terms.groupBy(*keys, "norm").agg(
         F.count_distinct("target_norm").alias("targets"), F.max_by("target_term", "line_no").alias("target"),
         F.collect_set("source_term").alias("spellings"))
-    spelled = per_term.select(*keys, "targets", "target", "norm", F.explode("spellings").alias("source_term")).withColumn(
-        "stem", F.lower(F.substring("source_term", 1, gram)))
-    at = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-    low = F.lower(F.col("text"))
-    # shorter terms meet on shorter stems
-    stems = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[
-        F.substring(low, i, F.lit(n)) for n in range(1, gram + 1)]))))
-    met = (texts.withColumn("stem", F.explode(stems)).join(spelled, [*keys, "stem"])
-           .where(F.contains(F.lower("text"), F.lower("source_term"))))
-    found = spread(met).withColumn("span", F.explode(term_spans("text", "source_term")))
-    return (found.select(*keys, "query_id", "text", F.col("span.start").alias("start"), F.col("span.end").alias("end"),
-                         "norm", "source_term", "target", (F.col("targets") > 1).alias("collides"),
-                         F.col("span.touches").alias("touches"))
-            .dropDuplicates([*keys, "query_id", "start", "end", "norm"]))
+    sizes = per_term.groupBy(*keys).agg(F.ceil(F.count("*") / PART_TERMS).alias("_parts"))
+    blocks = texts.groupBy(*keys).agg(F.ceil((F.sum(F.length("text")) + 1) / BLOCK_CHARS).alias("_blocks"))
+    cut = sizes.join(blocks, keys)  # a row per scope
+    asked = (texts.where(F.col("text").isNotNull()).select(*keys, "query_id", "text").join(cut, keys)
+             .withColumn("_block", F.pmod(F.xxhash64("query_id", "text"), F.col("_blocks")))
+             .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts", "_blocks"))
+    spelled = (per_term.join(cut, keys).withColumn("_part", F.pmod(F.xxhash64("norm"), F.col("_parts")))
+               .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+               .select(*keys, "_part", "_block", "targets", "target", "norm", F.explode("spellings").alias("source_term")))
+    place, types = [*keys, "_part", "_block"], dict(texts.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in [*keys, "query_id"]],
+                        "start int, end int, norm string, target string, collides boolean, touches boolean"])
+    return asked.groupBy(*place).cogroup(spelled.groupBy(*place)).applyInPandas(
+        lambda one, two: _find_terms(one, two, keys), schema)
 
 
 def lexicon_suggest(texts: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("scope_id",)) -> DataFrame:
@@ -126,9 +158,9 @@ def lexicon_suggest(texts: DataFrame, lexicon: DataFrame, keys: Sequence[str] =
     matches = lexicon_matches(texts, lexicon, keys)
     # the matches of one text are bounded by its length
     per_text = matches.groupBy(*ids).agg(
-        F.first("text").alias("text"), F.bool_or(F.col("collides") | F.col("touches")).alias("unsure"),
+        F.bool_or(F.col("collides") | F.col("touches")).alias("unsure"),
         F.array_sort(F.collect_list(F.when(~F.col("collides"), F.struct(
-            "start", (-F.col("end")).alias("neg_end"), "target", "norm")))).alias("m"))
+            "start", (-F.col("end")).alias("neg_end"), "target", "norm")))).alias("m")).join(texts.select(*ids, "text"), ids)
 
     step = lambda acc, x: F.struct(
         F.when(x["start"] >= acc["end"], -x["neg_end"]).otherwise(acc["end"]).alias("end"),

@@ -237,17 +237,18 @@ def j7(spark, sf):
 
 
 def _glossary(spark, sf):
-    """Frequent words of each language and the source that uses them most."""
+    """Every word of each language, with its first document as its place."""
     words = v.table(spark, sf, "documents").select("lang", "doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
-    common = words.where("length(w) >= 5").groupBy("lang", "w").agg(F.count("*").alias("n"), F.min("doc_id").alias("line_no"))
-    return common.where("n >= 8").select(F.col("lang").alias("scope_id"), "line_no", F.col("w").alias("source_term"),
+    first = words.where("w <> ''").groupBy("lang", "w").agg(F.min("doc_id").alias("line_no"))
+    return first.select(F.col("lang").alias("scope_id"), "line_no", F.col("w").alias("source_term"),
                                          F.upper("w").alias("target_term"))
 
 
 @query("j8_lexicon_match")
 def j8(spark, sf):
+    languages = v.table(spark, sf, "documents").select(F.collect_set("lang")).scalar()  # each text in every scope
     texts = v.table(spark, sf, "conversations").selectExpr("conv_id * 100 + turn AS query_id", "text").withColumn(
-        "scope_id", F.explode(F.array(F.lit("en"), F.lit("de"))))
+        "scope_id", F.explode(languages))
     return memory.lexicon_suggest(texts, _glossary(spark, sf))
 
 
