@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuespan.functions import text as tx
 from cuespan.functions.keys import scope_id
+from cuespan.functions.ordered import with_neighbours
 from cuespan.operators import journal, memory
 from cuespan.plans import views as v
 from cuespan.plans.registry import query, sql_view
@@ -291,6 +292,20 @@ def f4(spark, sf):
         "doc_id", tx.rep_norm(t).alias("rep_norm"), tx.tr_lower(t).alias("tr_lower"), tx.dot_norm(tx.tr_lower(t)).alias("dot_norm"))
 
 
+# every word of a pair becomes one letter of one byte; no cue of the tables has ninety different words
+@query("f9_word_edits", """
+SELECT episode_id, cue_index, CAST(levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), ''),
+  array_to_string(list_transform(b, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), '')) AS BIGINT) AS words
+FROM (SELECT *, list_distinct(list_concat(a, b)) AS v FROM (
+  SELECT episode_id, cue_index, a, lag(a) OVER (PARTITION BY episode_id ORDER BY cue_index) AS b FROM (
+    SELECT episode_id, cue_index, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS a
+    FROM cues_ref) w) p WHERE b IS NOT NULL) t""", ("cues_ref",))
+def f9_edits(spark, sf):
+    """Each cue against the one before it: insertions, deletions and exchanges."""
+    near = with_neighbours(v.cues_ref(spark, sf), ["episode_id"], ["cue_index"], ["text"]).where("prev IS NOT NULL")
+    return near.select("episode_id", "cue_index", tx.word_distance(F.col("text"), F.col("prev.text")).cast("bigint").alias("words"))
+
+
 @query("f9_edit_distance", """
 SELECT r.episode_id, r.cue_index, CAST(len(string_split(trim(regexp_replace(r.text, '\\s+', ' ', 'g')), ' ')) AS BIGINT) AS words FROM cues_ref r""", ("cues_ref",))
 def f9(spark, sf):

@@ -81,7 +81,7 @@ def s3(spark, sf):
     return records.check_pack(manifest, srt, ["pack"]).drop("cue_id")
 
 
-def _event_lines(spark, sf):
+def _event_lines(spark, sf, files=50):
     e = v.table(spark, sf, "events")
     body = F.to_json(F.struct(
         F.lit(1).alias("schema_version"), F.when(F.col("event_type") == "click", "undo").otherwise("review").alias("event_type"),
@@ -91,7 +91,7 @@ def _event_lines(spark, sf):
         F.when(F.col("event_type") != "click", "corrected").alias("status"), F.when(F.col("event_type") != "click", F.when(F.col("value") < 5, " ").otherwise("text")).alias("verified_source_text"),
         F.when(F.col("event_type") == "click", F.md5(F.lit("x"))).alias("undo_event_id")))
     line = F.when(F.col("event_id") % 40 == 7, F.expr("left(b, length(b) - 3)")).when(F.col("event_id") % 40 == 9, F.lit("[1]")).otherwise(F.col("b"))
-    return e.withColumn("b", body).select(F.concat(F.lit("f"), F.col("user_id") % 50).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return e.withColumn("b", body).select(F.concat(F.lit("f"), F.col("user_id") % files).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
 @query("s4_read_journal", """
@@ -108,6 +108,14 @@ def s4_strict(spark, sf):
     return records.parse_journal(_event_lines(spark, sf), "memory")[0].groupBy("file").agg(F.count("*").alias("n"))
 
 
+@query("s4_strict_file_per_user", """
+SELECT 'f' || user_id % 100000000 AS file, event_id AS line_no, CASE WHEN event_type = 'click' THEN 'undo' ELSE 'review' END AS event_type FROM events e
+WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id % 100000000 = e.user_id % 100000000 AND b.event_id % 40 IN (7, 9))""")
+def s4_strict_users(spark, sf):
+    """A file for each user, so that files without a bad line are there too."""
+    return records.parse_journal(_event_lines(spark, sf, 100_000_000), "memory")[0].select("file", "line_no", "event_type")
+
+
 @query("s5_read_verified_dataset", """
 SELECT doc_id AS line_no, CASE WHEN n_chars % 13 = 0 THEN 'keys' WHEN n_chars % 11 = 0 THEN 'interval' WHEN n_chars % 7 = 0 THEN 'confidence' END AS problem FROM documents""")
 def s5(spark, sf):

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuespan.operators import align, intervals
+from cuespan.plans import align_queries, views
+from cuespan.plans.catalog import QUERIES
 
 
 def edges_of(seed, episodes, cues=7, near=4):
@@ -125,3 +127,23 @@ def test_a_span_as_long_as_its_episode_fills_no_place(spark):
     placed = intervals._spread(left, ("s", "e"), 10_000, intervals._levels(right, ("t", "f"), 10_000), True)
     rows = placed.groupBy(*intervals._PLACE).count().agg(F.max("count"), F.sum("count")).first()
     assert rows[0] <= 200 and rows[1] <= 20_000 * 4
+
+
+def test_the_matching_of_whole_tables(spark):
+    """J3 as A4 to A7 and J9 use it, with screen texts, on every edge of the tables."""
+    sf = "/root/testdata/sf0.001"
+    pred = views.engine_preds(spark, sf)
+    ref = views.cues_ref(spark, sf).withColumn("engine_id", F.explode(F.array(*map(F.lit, views.ENGINES))))
+    cues = [[(r.engine_id, r.episode_id, r.cue_index, r.start_ms, r.end_ms) for r in t.collect()] for t in (pred, ref)]
+    by_episode, rows = {}, []
+    for k, e, i, s, t in cues[0]:
+        by_episode.setdefault((k, e), []).append((i, s, t))
+    for k, e, j, a, b in cues[1]:
+        rows += [((k, e), i, j, min(t, b) - max(s, a)) for i, s, t in by_episode.get((k, e), ()) if s < b and a < t and 2 * (min(t, b) - max(s, a)) >= b - a]
+    got = sorted(((r.engine_id, r.episode_id), r.p_cue_index, r.r_cue_index) for r in QUERIES["j3_max_cardinality_align"](spark, sf).collect())
+    assert got == one_after_another(rows)
+    scores = {(r.engine_id, r.episode_id): r.matched_cues for r in align_queries.a4(spark, sf).collect()}
+    want = {}
+    for key, _, _ in got:
+        want[key] = want.get(key, 0) + 1
+    assert {k: n for k, n in scores.items() if n} == want
