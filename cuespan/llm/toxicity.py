@@ -192,14 +192,14 @@ class Scorer:
     """Ratios of the two models and the curve that makes their features a probability."""
 
     def __init__(self, models: KneserNey | Ratios | None, curve: np.ndarray | None, share: float):
-        self.ratios = Ratios(models) if isinstance(models, KneserNey) else models
+        self.models = Ratios(models) if isinstance(models, KneserNey) else models
         self.curve, self.share = curve, share
 
     def worker(self):
         """A function from texts to scores, with a memory of its own."""
-        if self.ratios is None or self.curve is None:
+        if self.models is None or self.curve is None:
             return lambda texts: np.full(len(texts), self.share)
-        known = Known(self.ratios)
+        known = Known(self.models)
 
         def scores(texts: list[str]) -> np.ndarray:
             z = known.features(texts) @ self.curve[:-1] + self.curve[-1]
@@ -300,7 +300,7 @@ def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float) -> DataFram
     """The rows of ``docs`` whose score is below ``threshold``, all columns; all
     rows when there are no models, as the share alone says nothing about a text.
     """
-    if scorer.ratios is None:
+    if scorer.models is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
