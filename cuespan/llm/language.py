@@ -29,7 +29,7 @@ from cuespan.llm.common import slices
 SAMPLE_ROWS = 64  # texts per language, at most
 WINDOW = 600  # letters taken from each of them, at a place its hash decides
 LETTERS = 60  # most frequent letters of a language, with a column each; the others are searched for
-BLOCK = 256  # phrases end at the end of a block
+BLOCK = 256  # letters that are parsed side by side; phrases go on from block to block
 TABLE_STATES = 1_000_000  # over all languages; beyond 13 with full samples each trains on an equal part
 SHARPNESS = 4.0
 GAP = re.compile(r"[\W\d_]+")
@@ -145,23 +145,34 @@ class CrossParser:
         for j in range(BLOCK):
             on = left > j
             grid[j, on] = flat[begin[on] + j]
+        later = np.flatnonzero(inside > 0)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         for at, start in enumerate(self.start):
-            seen = self.rare[at][0]
-            searched = seen.any()
-            state = np.full(len(owner), start, np.int32)
-            breaks = np.ones(len(owner), np.int64)
-            for row in grid:
-                before = state
-                state = self.table.take(before + self.column_of[at].take(row))
-                if searched and len(which := np.flatnonzero(seen.take(row))):
-                    state[which] = self.search(at, before[which], row[which])
-                sign = state >> 31
-                breaks -= sign
-                state ^= sign
-            out[:, at] = np.bincount(owner, breaks, len(texts)) if len(owner) else 0
+            # all blocks as if a phrase began in each; then again from where the
+            # block before really ended, until no block ends elsewhere than before
+            entry = np.full(len(owner), start, np.int32)
+            breaks, end = self._parse(at, grid, entry)
+            while len(moved := later[end[later - 1] != entry[later]]):
+                entry[moved] = end[moved - 1]
+                breaks[moved], end[moved] = self._parse(at, grid[:, moved], entry[moved])
+            out[:, at] = (np.bincount(owner, breaks, len(texts)) if len(owner) else 0) + (size > 0)
         return size, out
 
+    def _parse(self, at: int, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin behind the first letter of a block, and the states at its end."""
+        seen = self.rare[at][0]
+        searched = seen.any()
+        breaks = np.zeros(grid.shape[1], np.int64)
+        for row in grid:
+            before = state
+            state = self.table.take(before + self.column_of[at].take(row))
+            if searched and len(which := np.flatnonzero(seen.take(row))):
+                state[which] = self.search(at, before[which], row[which])
+            sign = state >> 31
+            breaks -= sign
+            state ^= sign
+        return breaks, state
+
     def search(self, at: int, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """Next states by letters without a column, or the complement after a break."""
         _, keys, targets = self.rare[at]

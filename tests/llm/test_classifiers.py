@@ -160,3 +160,17 @@ def test_no_document_goes_without_models(spark):
     docs, labels = labelled(spark, [(i, f"text {i}", 1) for i in range(9)])
     scorer = toxicity.train(docs, labels, F.lit(True))
     assert scorer.models is None and toxicity.without_toxic(docs, scorer, toxicity.THRESHOLD).count() == 9
+
+
+def test_phrases_go_on_over_blocks(monkeypatch):
+    import random
+    rng = random.Random(4)
+    train = {"x": "".join(rng.choices("abc ", k=400)) + "a" * 700, "y": "".join(rng.choices("abd ", k=900))}
+    texts = ["a" * 3000, train["x"][:300] * 5, "".join(rng.choices("abcd ", k=5000)), train["y"][100:800] + "zz" + train["y"], "b", "", "a" * 511 + "d"]
+    parser = language.CrossParser(train)
+    own = {lang: language.plain(t) for lang, t in train.items()}
+    for block in (256, 7):
+        monkeypatch.setattr(language, "BLOCK", block)
+        size, phrases = parser.phrases(texts)
+        assert size.tolist() == [len(t) for t in texts]
+        assert phrases.tolist() == [[parse_by_hand(own[lang], t) for lang in parser.languages] for t in texts]
