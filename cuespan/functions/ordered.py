@@ -221,12 +221,16 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, share: float,
     return both.select(*keys, F.when(up == 0, F.col("_one")).otherwise((1 - up) * F.col("_one") + up * F.col("_two")).alias(name))
 
 
-def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable, schema: str,
+                close: Callable[[object], list[tuple]] | None = None) -> DataFrame:
     """Run ``fold`` over the rows of each group, in order.
 
     Rows arrive as tuples in column order. Groups stream out of partitions that
-    are sorted by key; only the group in progress is held.
+    are sorted by key. With ``close``, a group streams too: ``fold(rows, state)``
+    gets the rows of one Arrow batch and returns its output and the state for the
+    next (None at first), and ``close(state)`` ends the group, so a group of any
+    size is held as a batch and a state. Without it, ``fold(rows)`` gets the whole
+    group.
     """
     keys, columns = list(keys), df.columns
     at = [columns.index(k) for k in keys]
@@ -236,21 +240,32 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         return pd.DataFrame.from_records(rows, columns=names)
 
     def run(batches):
-        current, group, done = None, [], []
+        current, group, done, state = None, [], [], None
+
+        def end():
+            if close is None:
+                return fold(group)
+            out, last = fold(group, state) if group else ([], state)
+            return [*out, *close(last)]
+
         for pdf in batches:
             lists = [pdf[c].array.tolist() if hasattr(pdf[c].array, "tolist") else list(pdf[c]) for c in columns]
             for row in zip(*lists):
                 key = tuple(row[i] for i in at)
                 if key != current:
-                    if group:
-                        done.extend(fold(group))
-                    current, group = key, []
+                    if current is not None:
+                        done.extend(end())
+                    current, group, state = key, [], None
                 group.append(row)
+            if close is not None and group:
+                out, state = fold(group, state)
+                done.extend(out)
+                group = []
             if done:
                 yield frame(done)
                 done = []
-        if group:
-            done = fold(group)
+        if current is not None:
+            done = end()
             if done:
                 yield frame(done)
 

@@ -46,14 +46,17 @@ def merge_readings(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_
     keys, fps = list(keys), float(fps)
     n = len(keys)
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        out: list[list] = []  # start, end, text, conf, length of the chosen reading, readings
-        for row in rows:
+    def final(held: list) -> tuple:
+        start, end, text, conf, _, count, head = held
+        return (*head, start, end, text, conf, count)
+
+    def fold(rows: list[tuple], held: list | None) -> tuple[list[tuple], list]:
+        out = []
+        for row in rows:  # held: start, end, text, conf, length of the chosen reading, readings, keys
             start, end, text, conf, count = row[n:n + 5]
             length = (end - start + 1) / fps
-            held = out[-1] if out else None
             if held is None:
-                out.append([start, end, text, conf, length, count])
+                held = [start, end, text, conf, length, count, row[:n]]
                 continue
             likeness = SequenceMatcher(None, text, held[2]).ratio()
             shared = min(held[1], end) - max(held[0], start) + 1
@@ -70,10 +73,11 @@ def merge_readings(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_
                 if length > held[4]:
                     held[2], held[3], held[4] = text, conf, length
             else:
-                out.append([start, end, text, conf, length, count])
+                out.append(final(held))
+                held = [start, end, text, conf, length, count, row[:n]]
                 continue
             held[5] += count
-        return [(*rows[0][:n], a, b, t, c, k) for a, b, t, c, _, k in out]
+        return out, held
 
     same = same_text_islands(blocks, fps, keys)
     # no rule reaches over a longer silence than MERGE_LONG_GAP
@@ -83,7 +87,7 @@ def merge_readings(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys],
                         "start_f bigint, end_f bigint, text string, conf double, readings bigint"])
     ready = cut.select(*keys, "start_f", "end_f", "text", "conf", "readings", "_cut", "island")
-    return fold_sorted(ready, [*keys, "_cut"], ["start_f", "island"], fold, schema)
+    return fold_sorted(ready, [*keys, "_cut"], ["start_f", "island"], fold, schema, lambda held: [final(held)])
 
 
 def micro_cleanup(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_id",)) -> DataFrame:
@@ -95,45 +99,62 @@ def micro_cleanup(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_i
     keys, fps = list(keys), float(fps)
     n = len(keys)
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        out, moved, waiting = [], [], None
+    def length(block):
+        return (block[1] - block[0] + 1) / fps
+
+    def merged(old, new):
+        text = old if length(old) >= length(new) else new
+        return [min(old[0], new[0]), max(old[1], new[1]), *text[2:]]
 
-        def length(block):
-            return (block[1] - block[0] + 1) / fps
+    def match(new, old):
+        return bool(old[2].strip()) and alike(new[2], old[2], K.MICRO_SIM)
 
-        def merged(old, new):
-            text = old if length(old) >= length(new) else new
-            return [min(old[0], new[0]), max(old[1], new[1]), *text[2:]]
+    class Open:
+        """The last dialogue block, which the next may still join, and one that waits."""
 
-        def match(new, old):
-            return bool(old[2].strip()) and alike(new[2], old[2], K.MICRO_SIM)
+        def __init__(self, head: tuple):
+            self.head, self.last, self.waiting, self.done = head, None, None, []
 
-        def release(block):
-            (moved if block[4] else out).append(block)
+        def emit(self, block, stream):
+            self.done.append((*self.head, *block[:4], stream))
 
+        def put(self, block):
+            if self.last is not None:
+                self.emit(self.last, "dialogue")
+            self.last = block
+
+        def release(self):
+            if self.waiting is not None:
+                if self.waiting[4]:
+                    self.emit(self.waiting, "screen")
+                else:
+                    self.put(self.waiting)
+                self.waiting = None
+
+    def fold(rows: list[tuple], state: Open | None) -> tuple[list[tuple], Open]:
+        state = state or Open(rows[0][:n])
         for row in rows:
             block = list(row[n:n + 5])
             if length(block) < K.MICRO_MAX_SECONDS and block[2].strip():
-                if out and match(block, out[-1]):
-                    out[-1] = merged(out[-1], block)
-                elif waiting is not None and match(block, waiting):
-                    waiting = merged(waiting, block)
+                if state.last is not None and match(block, state.last):
+                    state.last = merged(state.last, block)
+                elif state.waiting is not None and match(block, state.waiting):
+                    state.waiting = merged(state.waiting, block)
                 else:
-                    if waiting is not None:
-                        release(waiting)
-                    waiting = block
+                    state.release()
+                    state.waiting = block
                 continue
-            if waiting is not None:
-                if block[2].strip() and match(waiting, block):
-                    block = merged(waiting, block)
-                else:
-                    release(waiting)
-                waiting = None
-            out.append(block)
-        if waiting is not None:
-            release(waiting)
-        return ([(*rows[0][:n], *b[:4], "dialogue") for b in out]
-                + [(*rows[0][:n], *b[:4], "screen") for b in moved])
+            if state.waiting is not None and block[2].strip() and match(state.waiting, block):
+                block, state.waiting = merged(state.waiting, block), None
+            state.release()
+            state.put(block)
+        done, state.done = state.done, []
+        return done, state
+
+    def close(state: Open) -> list[tuple]:
+        state.release()
+        state.put(None)
+        return state.done
 
     micro = (filters.seconds(fps) < K.MICRO_MAX_SECONDS) & (tx.strip_ws(F.col("text")) != "")
     marked = blocks.withColumn("micro", micro)
@@ -143,7 +164,7 @@ def micro_cleanup(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_i
                         "start_f bigint, end_f bigint, text string, conf double, stream string"])
     ready = runs.select(*keys, "start_f", "end_f", "text", "conf",
                         filters.micro_junk(F.col("text"), F.col("conf")).alias("junk"), "_run", "block_no")
-    return fold_sorted(ready, [*keys, "_run"], ["block_no"], fold, schema)
+    return fold_sorted(ready, [*keys, "_run"], ["block_no"], fold, schema, close)
 
 
 def repeat_clusters(blocks: DataFrame, fps: float, keys: Sequence[str] = ("video_id",)) -> DataFrame:

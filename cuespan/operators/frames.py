@@ -42,22 +42,28 @@ def frame_segments(frames: DataFrame, limit: float, min_fill: int = K.FRAME_MIN_
     together = lambda a, b: (b["frame_no"] == a["frame_no"] + 1) & (xor_ratio(b["mask"], a["mask"]) <= limit)
     runs = adjacent_islands(filled, keys, ["frame_no"], ["frame_no", "mask"], together, "_run")
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        out, anchor = [], None
-        for row in rows:
+    def close(state: list) -> list[tuple]:
+        _, row = state
+        return [tuple(row)] if row[n + 1] - row[n] + 1 >= min_frames else []
+
+    def fold(rows: list[tuple], state: list | None) -> tuple[list[tuple], list]:
+        out = []
+        for row in rows:  # state: the first mask of the segment, and the segment so far
             frame, mask = row[n], row[n + 1]
-            if anchor is not None:
-                union = sum((int(x) | int(y)).bit_count() for x, y in zip(mask, anchor))
-                moved = sum((int(x) ^ int(y)).bit_count() for x, y in zip(mask, anchor))
-            if anchor is None or (union and moved / union > limit):
-                anchor = mask
-                out.append([*row[:n], frame, frame])
-            out[-1][n + 1] = frame
-        return [tuple(r) for r in out if r[n + 1] - r[n] + 1 >= min_frames]
+            if state is not None:
+                union = sum((int(x) | int(y)).bit_count() for x, y in zip(mask, state[0]))
+                moved = sum((int(x) ^ int(y)).bit_count() for x, y in zip(mask, state[0]))
+                if union and moved / union > limit:
+                    out += close(state)
+                    state = None
+            if state is None:
+                state = [mask, [*row[:n], frame, frame]]
+            state[1][n + 1] = frame
+        return out, state
 
     types = dict(frames.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "start_f bigint, end_f bigint"])
-    return fold_sorted(runs.select(*keys, "frame_no", "mask", "_run"), [*keys, "_run"], ["frame_no"], fold, schema)
+    return fold_sorted(runs.select(*keys, "frame_no", "mask", "_run"), [*keys, "_run"], ["frame_no"], fold, schema, close)
 
 
 def fade_refine(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
