@@ -31,7 +31,7 @@ from cuespan.llm.common import shared_path, slices, stage
 
 LEXICON_WORDS = 131_072
 SHORT, NO_PAIR = 24, (1 << 62, -1)
-FORMS = 120_000  # pieces of texts whose forms a worker keeps from slice to slice
+FORMS = 180_000  # pieces of texts whose forms a worker keeps from slice to slice
 # fixed value: the split pattern of byte-level vocabularies that name none
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Only these characters have the same classes in every library used here; a text
