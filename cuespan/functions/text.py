@@ -25,9 +25,13 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+# what \s stands for in a pattern with (?U)
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(text: Column) -> Column:
     """Trim every kind of white space at both ends, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def dense_chars(text: Column) -> Column:

@@ -70,7 +70,8 @@ def s2(spark, sf):
 SELECT 'ep' || episode_id AS pack, pos AS cue_index, CASE WHEN pos % 5 = 4 THEN 'differs_from_srt' END AS problem, pos % 3 <> 0 AS crop_valid
 FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY cue_index) - 1 AS pos FROM cues_ref WHERE cue_index % 7 <> 3 AND cue_index % 11 <> 5) t""", ("cues_ref",))
 def s3(spark, sf):
-    srt = subtitles.parse_srt(_files(spark, sf, sep="."), "token_edge")[0].withColumnRenamed("file", "pack")
+    # stored once: the manifest and the files are compared, and both come from these cues
+    srt = cut_lineage(subtitles.parse_srt(_files(spark, sf, sep="."), "token_edge")[0].withColumnRenamed("file", "pack"))
     job = F.md5("pack")
     manifest = srt.select(
         "pack", "cue_index", job.alias("job_id"), F.concat(job, F.lit("-cue-"), F.lpad(F.col("cue_index").cast("string"), 6, "0")).alias("cue_id"),

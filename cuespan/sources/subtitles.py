@@ -7,7 +7,7 @@ every rule is a column expression over blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuespan import constants as K
@@ -50,16 +50,25 @@ def _join(lines: Column, sep: str) -> Column:
     return F.array_join(lines, sep)
 
 
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once a row. A filter or a column that uses
+    them would otherwise repeat their expressions, and those they are made of."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_srt(files: DataFrame, dialect: str = "strict") -> tuple[DataFrame, DataFrame]:
     """(cues, rejects) of ``file, value`` rows, a whole text each."""
     text = _unix(F.col("value"))
     text = tx.strip_ws(text) if dialect in NUMBERED else text
     found = F.filter(F.split(text, r"\n[ \t]*\n+"), lambda b: ~_blank(b))
-    return srt_cues(files.select("file"), files.select("file", F.posexplode(found).alias("block_no", "block")), dialect)
+    # outer, as the plain form splits each text once more to see whether there are blocks
+    rows = files.select("file", F.posexplode_outer(found).alias("block_no", "block")).where("block IS NOT NULL")
+    return srt_cues(files.select("file"), rows, dialect, whole=True)
 
 
-def srt_cues(files: DataFrame, rows: DataFrame, dialect: str = "strict") -> tuple[DataFrame, DataFrame]:
+def srt_cues(files: DataFrame, rows: DataFrame, dialect: str = "strict", whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cues, rejects) of ``file, block_no, block`` rows; ``files`` names all files.
+    With ``whole`` each file came as one value, so its blocks also fit in one task.
 
     strict keeps good blocks and reports the others, fail_fast and pack reject the
     whole file, lenient and token_edge drop what they cannot read.
@@ -68,26 +77,25 @@ def srt_cues(files: DataFrame, rows: DataFrame, dialect: str = "strict") -> tupl
         raise ValueError(f"dialect must be one of {DIALECTS}")
     numbered_dialect = dialect in NUMBERED
     lines = F.split("block", "\n")
+    after = lambda at: _tail(F.col("body"), at)
 
     if numbered_dialect:
-        body = F.when(tx.strip_ws(lines[0]).rlike(r"^\d+$"), _tail(lines, F.lit(2))).otherwise(lines)
-        rows = rows.withColumn("body", body).withColumn("stamp", tx.strip_ws(F.get("body", F.lit(0))))
-        left, right = _before(F.col("stamp")), _after(F.col("stamp"))
-        rows = rows.withColumns({"start_ms": tm.srt_ms(left), "end_ms": tm.srt_ms(right)})
-        rest = _tail(F.col("body"), F.lit(2))
+        rows = _once(rows, {"body": tm.bind(lines, lambda x: F.when(
+            tx.strip_ws(x[0]).rlike(r"^\d+$"), _tail(x, F.lit(2))).otherwise(x))})
+        rows = _once(rows, {"stamp": tx.strip_ws(F.get("body", F.lit(0)))})
+        rest = after(F.lit(2))
         cue_text = (tx.strip_ws(_join(rest, "\n")) if dialect == "strict" else
                     tx.strip_ws(_join(F.filter(F.transform(rest, tx.strip_ws), lambda t: t != ""), " ")))
-        rows = rows.withColumn("text", cue_text)
+        rows = _once(rows, {"start_ms": tm.srt_ms(_before(F.col("stamp"))), "end_ms": tm.srt_ms(_after(F.col("stamp"))), "text": cue_text})
         problem = (F.when(F.size("body") < 2, "missing_text")
                    .when(~F.col("stamp").contains(ARROW) | F.col("start_ms").isNull() | F.col("end_ms").isNull(), "bad_stamp")
                    .when(F.col("end_ms") <= F.col("start_ms"), "end_not_after_start")
                    .when(F.col("text") == "", "empty_text"))
     else:
-        body = F.filter(lines, lambda t: ~_blank(t))
-        rows = rows.withColumn("body", body).withColumn(
-            "at", F.array_position(F.transform("body", lambda t: t.contains(ARROW)), True))
-        rows = rows.where("at > 0")  # a block without an arrow is not a cue
-        rows = rows.withColumn("stamp", F.get("body", F.col("at").cast("int") - 1))
+        # a block without an arrow is not a cue
+        rows = _once(rows.where(F.col("block").contains(ARROW)), {"body": F.filter(lines, lambda t: ~_blank(t))})
+        rows = _once(rows, {"at": F.array_position(F.transform("body", lambda t: t.contains(ARROW)), True).cast("int")})
+        rows = _once(rows, {"stamp": F.get("body", F.col("at") - 1)})
         left, right = _before(F.col("stamp")), _after(F.col("stamp"))
         if dialect == "lenient":
             start, end = tm.loose_ms(tx.strip_ws(left)), tm.loose_ms(tx.strip_ws(right))
@@ -96,28 +104,32 @@ def srt_cues(files: DataFrame, rows: DataFrame, dialect: str = "strict") -> tupl
             end = tm.loose_ms(F.try_element_at(_tokens(right), F.lit(1)), True)
         else:
             start, end = tm.srt_ms(left), tm.srt_ms(F.try_element_at(_tokens(right), F.lit(1)))
-        rest = _tail(F.col("body"), F.col("at").cast("int") + 1)
+        rest = after(F.col("at") + 1)
         cue_text = tx.norm_qa(_join(rest, " ")) if dialect == "lenient" else tx.strip_ws(_join(rest, "\n"))
-        rows = rows.withColumns({"start_ms": start, "end_ms": end, "text": cue_text})
+        rows = _once(rows, {"start_ms": start, "end_ms": end, "text": cue_text})
         problem = (F.when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "bad_stamp")
                    .when(F.col("text") == "", "empty_text"))
     judged = rows.withColumn("problem", problem).select("file", "block_no", "start_ms", "end_ms", "text", "problem")
 
-    per_file = judged.groupBy("file").agg(F.count_if(F.col("problem").isNotNull()).alias("bad"))
-    strict_file = F.lit(dialect in ("fail_fast", "pack"))
-    refused = F.when(strict_file & (F.col("bad") > 0), "file_rejected")
-    gone = per_file.withColumn("problem", refused).where("problem IS NOT NULL").select("file", "problem")
+    strict_file = dialect in ("fail_fast", "pack")
+    bad = F.count_if(F.col("problem").isNotNull())
+    refused = judged.groupBy("file").agg(bad.alias("bad")).where((F.col("bad") > 0) & F.lit(strict_file))
+    gone = refused.select("file", F.lit("file_rejected").alias("problem"))
     empty = files.join(judged.select("file").distinct(), "file", "left_anti").select("file", F.lit("empty_file").alias("problem"))
     kept = judged.join(gone.select("file"), "file", "left_anti")
-    good = kept.where("problem IS NULL")
+    # one window over a whole file, where there is one, reads it once instead of twice
+    passed = kept if not (whole and strict_file) else judged.withColumn("_bad", bad.over(Window.partitionBy("file"))).where("_bad = 0").drop("_bad")
+    good = passed.where("problem IS NULL")
     if dialect == "strict":
         cues = good.withColumn("cue_index", F.col("block_no") + 1)
     elif dialect == "fail_fast":
         cues = good.withColumn("cue_index", F.col("block_no"))
+    elif whole:
+        cues = good.withColumn("cue_index", F.row_number().over(Window.partitionBy("file").orderBy("block_no")) - 1)
     else:
         cues = numbered(good, ["file"], ["block_no"], "cue_index").withColumn("cue_index", F.col("cue_index") - 1)
-    whole = gone.unionByName(empty).select("file", F.lit(None).cast("int").alias("block_no"), "problem")
-    rejects = kept.where("problem IS NOT NULL").select("file", "block_no", "problem").unionByName(whole)
+    files_off = gone.unionByName(empty).select("file", F.lit(None).cast("int").alias("block_no"), "problem")
+    rejects = kept.where("problem IS NOT NULL").select("file", "block_no", "problem").unionByName(files_off)
     return cues.select("file", F.col("cue_index").cast("bigint").alias("cue_index"), "start_ms", "end_ms", "text"), rejects
 
 
