@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from cuespan.plans import views as v
 from cuespan.plans.registry import query
+from cuespan.session import cut_lineage
 from cuespan.sources import records, subtitles, writers
 
 def _files(spark, sf, sep=",", header=""):
     """One subtitle file per document, every seventh block without text and every
     eleventh with a broken stamp."""
     cues = v.cues_ref(spark, sf)
-    blocks = writers.srt_blocks(cues).join(cues.select("episode_id", "cue_index"), ["episode_id", "cue_index"])
+    blocks = writers.srt_blocks(cues)
     text = F.col("value")
     broken = (F.when(F.col("cue_index") % 7 == 3, F.regexp_replace(text, r"\n[^\n]*\n$", "\n"))
               .when(F.col("cue_index") % 11 == 5, F.regexp_replace(text, "-->", "->")).otherwise(text))
