@@ -11,7 +11,7 @@ from cuespan import constants as K
 from cuespan.functions import text as tx
 from cuespan.functions.similarity import edit_substitutions
 from cuespan.operators.align import first_per_key
-from cuespan.session import spread
+from cuespan.session import cut_lineage, spread
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -92,13 +92,25 @@ def worst_pairs(pairs: DataFrame, keys: Sequence[str] = ("episode_id",), n: int
     return first_per_key(scored, keys, [F.col("cer").desc(), F.col("p_cue_index")], n)
 
 
+def _substitutions(truth: str, read: str) -> Column:
+    """The replaced letters of each pair of lines. Where two lines of one length
+    are no nearer than their differing places are many, every place is replaced or
+    kept, which is the script Python would find; it gets the other pairs only."""
+    letters = lambda c: F.split(c, "")
+    places = F.filter(F.zip_with(letters(truth), letters(read), lambda x, y: F.struct(x.alias("gt"), y.alias("ocr"))),
+                      lambda s: s["gt"] != s["ocr"])
+    level = (F.length(truth) == F.length(read)) & (F.levenshtein(truth, read) == F.size(places))
+    open_ = lambda c: F.when(~level, F.col(c))
+    return F.when(level, places).otherwise(edit_substitutions(open_(truth), open_(read)))
+
+
 def confusions(pairs: DataFrame, keys: Sequence[str] = ("episode_id",), top: int = 10) -> DataFrame:
     """Watched confusions by name, the ``top`` other ones, and lost ellipses."""
     keys = list(keys)
     differing = pairs.where((F.length("r_text") > 0) & (F.col("r_text") != F.col("p_text")))
     # Python sees each distinct pair of lines once
     lines = differing.groupBy(*keys, "r_text", "p_text").agg(F.count("*").alias("times"))
-    subs = spread(lines).select(*keys, "times", F.explode(edit_substitutions("r_text", "p_text")).alias("s"))
+    subs = spread(lines).select(*keys, "times", F.explode_outer(_substitutions("r_text", "p_text")).alias("s")).where("s IS NOT NULL")
     counted = subs.groupBy(*keys, F.col("s.gt").alias("gt"), F.col("s.ocr").alias("ocr")).agg(
         F.sum("times").alias("n"))
     watched = F.create_map(*[x for g, o in K.WATCHED_CONFUSIONS for x in (
@@ -107,6 +119,7 @@ def confusions(pairs: DataFrame, keys: Sequence[str] = ("episode_id",), top: int
     labelled = (counted.withColumn("watched", named.isNotNull())
                 .withColumn("confusion", F.coalesce(named, F.concat_ws("→", "gt", "ocr")))
                 .groupBy(*keys, "watched", "confusion").agg(F.sum("n").alias("n")))
+    labelled = cut_lineage(labelled)  # a row per confusion, used twice
     others = first_per_key(labelled.where("not watched"), keys, [F.col("n").desc(), F.col("confusion")], top)
     dots = lambda c: F.size(F.split(F.col(c), r"\.\.\.")) - 1
     lost = (differing.select(*keys, F.greatest(dots("r_text") - dots("p_text"), F.lit(0)).cast("bigint").alias("n"))
