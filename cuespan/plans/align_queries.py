@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuespan.operators import align, intervals, scoring
 from cuespan.plans import views as v
 from cuespan.plans.registry import query, sql_view
+from cuespan.session import cut_lineage
 
 # DuckDB's levenshtein counts bytes. The tables use these non-ASCII letters and
 # none of the control characters below, so a one-to-one exchange makes bytes and
@@ -62,7 +63,8 @@ def _edges(spark, sf, share_of="pred"):
 
 def _greedy(spark, sf):
     pred, ref = v.cues_pred(spark, sf), v.cues_ref(spark, sf)
-    pairs = align.greedy_align(intervals.overlap_candidates(pred, ref))
+    # stored, as numbers: reports use the pairs more than once
+    pairs = cut_lineage(align.greedy_align(intervals.overlap_candidates(pred, ref)))
     return align.attach_pairs(pairs, pred, ref), pred, ref
 
 
