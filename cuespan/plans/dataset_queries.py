@@ -10,6 +10,7 @@ from cuespan.plans import views as v
 from cuespan.plans.align_queries import _episode_scores, lev
 from cuespan.plans.journal_queries import _active
 from cuespan.plans.registry import query, sql_view
+from cuespan.session import cut_lineage
 
 SEED = "seed-1"
 _FOLD = "replace(lower(trim(regexp_replace(nfc_normalize({0}), '\\s+', ' ', 'g'))), 'ß', 'ss')"
@@ -166,8 +167,12 @@ def a20_clash(spark, sf):
 
 # --- gates ------------------------------------------------------------------------
 def _scores(spark, sf, matches=None):
-    """Scores per group on the largest matching; ``indexed`` is the form that check SQL can say."""
-    return _episode_scores(spark, sf, matches).withColumn("group_key", F.col("episode_id").cast("string"))
+    """Scores per group on the largest matching; ``indexed`` is the form that check SQL can say.
+
+    Stored, a row per engine and episode with what gates look at: a gate asks for them up to six times."""
+    return cut_lineage(_episode_scores(spark, sf, matches).select(
+        "engine_id", F.col("episode_id").cast("string").alias("group_key"), "reference_cues", "matched_cues",
+        "reference_chars", "character_edits", "cer"))
 
 
 def _reference_groups(spark, sf):
@@ -227,9 +232,10 @@ def a7_matched(spark, sf):
 
 
 def _compare(spark, sf, scores):
-    from cuespan.operators.scoring import micro_macro
+    from cuespan.operators.scoring import ratio
+    corpus = scores.groupBy("engine_id").agg(ratio(F.sum("character_edits"), F.sum("reference_chars")).alias("cer"))
     cover = dataset.coverage_gate(scores, _reference_groups(spark, sf), 0.75)[1]
-    return dataset.comparison_gate(micro_macro(scores, ["engine_id"]), dataset.baseline_vs_candidate(scores, "base", "cand"),
+    return dataset.comparison_gate(corpus, dataset.baseline_vs_candidate(scores, "base", "cand"),
                                    cover, "base", "cand", 0.01)
 
 
@@ -244,7 +250,7 @@ def a17(spark, sf):
     from cuespan.operators import align, intervals, scoring
     ref = v.cues_ref(spark, sf).where("start_ms < 240000")  # the case's time window
     pred = v.cues_pred(spark, sf)
-    pairs = align.attach_pairs(align.greedy_align(intervals.overlap_candidates(pred, ref)), pred, ref)
+    pairs = align.attach_pairs(cut_lineage(align.greedy_align(intervals.overlap_candidates(pred, ref))), pred, ref)
     report = scoring.vtt_report(pairs, pred, ref).where("vtt_cues > 0")
     return dataset.case_gate(report, 8, 6, 201, 0.035).select("episode_id", "reasons")
 
