@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from cuespan import constants as K
 from cuespan.functions import text as tx
+from cuespan.functions.reach import near_cuts, reach_field
 from cuespan.session import cut_lineage, spread
 
 
@@ -237,8 +238,14 @@ def split_fused(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.when(F.length("token") > cut + 3, F.expr(f"left(token, length(token) - {cut})")) for cut in (3, 4)])).alias("word"))
     inflected = stems.join(dictionary.select("word"), "word", "left_semi").select("token")
     long = long.join(inflected, "token", "left_anti")
-    at = F.sequence(F.lit(K.SPLIT_PART_MIN), F.length("token") - K.SPLIT_PART_MIN)
-    cuts = long.where(F.length("token") >= 2 * K.SPLIT_PART_MIN).select("token", F.explode(at).alias("k")).select(
+    # A part counts with a frequency of SPLIT_SCORE_MIN as it is, or of SPLIT_SCORE_MIN / SPLIT_PENALTY as the
+    # repair of one step; the other cuts, nearly all of them, are never written out.
+    strong = (F.col("freq") * K.SPLIT_PENALTY >= K.SPLIT_SCORE_MIN).alias("strong")
+    words = dictionary.where(F.col("freq") >= K.SPLIT_SCORE_MIN).select(tx.dot_norm(F.col("word")).alias("word"), strong)
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    field = long.sparkSession.sparkContext.broadcast(reach_field(words))
+    folded = spread(long.where(F.length("token") >= 2 * K.SPLIT_PART_MIN), "token").withColumn("folded", tx.dot_norm(F.col("token")))
+    cuts = cut_lineage(near_cuts(folded, field, K.SPLIT_PART_MIN, longest, K.WIDE_MAX)).select(
         "token", "k", F.expr("left(token, k)").alias("a"), F.expr("substr(token, k + 1)").alias("b"))
     pieces = cuts.select(F.explode(F.array("a", "b")).alias("token")).distinct()
     fixed = piece_repair(pieces, dictionary)
