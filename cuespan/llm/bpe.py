@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from cuespan.llm.common import shared_path, slices, stage
 
 LEXICON_WORDS = 131_072
-SHORT, NO_PAIR = 24, (1 << 62, -1)
+SHORT, NO_PAIR = 24, 1 << 62
 FORMS = 180_000  # pieces of texts whose forms a worker keeps from slice to slice
 # fixed value: the split pattern of byte-level vocabularies that name none
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# fixed value: a split pattern by which a run of letters, and one other character behind it, are a word each
+LETTER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Only these characters have the same classes in every library used here; a text
 # with any other is normalised and split by the tokenizers library itself.
 ODD = re.compile("[^\t-\r -~\u00a0-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
@@ -67,12 +69,13 @@ class Vocabulary:
         self.merges = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        self.ranked = {pair: rank << 32 | whole for pair, (rank, whole) in self.merges.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.added.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.lowers = spec["normalizer"] is not None
-        self.pattern = regex.compile(
-            spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.lowers else BYTE_PATTERN)
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.lowers else BYTE_PATTERN
+        self.pattern, self.by_letters = regex.compile(pattern), pattern == LETTER_PATTERN
 
     def chunks(self, text: str) -> list:
         """Pieces whose ids do not depend on each other: a text between white
@@ -93,6 +96,11 @@ class Vocabulary:
 
     def words(self, chunk) -> list[bytes]:
         if isinstance(chunk, str):
+            if self.by_letters:  # most chunks, and the pattern would say the same
+                if chunk.isalpha():
+                    return [chunk.encode()]
+                if chunk[:-1].isalpha() and not chunk[-1].isalpha():
+                    return [chunk[:-1].encode(), chunk[-1].encode()]
             return [w.encode() for w in self.pattern.findall(chunk)]
         return [bytes(self.byte_of[c] for c in chunk[0])]
 
@@ -105,14 +113,14 @@ class Vocabulary:
 
     def _join_short(self, ids: list[int]) -> list[int]:
         """All pairs of a short word stand in one list, and its least is looked for anew."""
-        get = self.merges.get
+        get = self.ranked.get
         pairs = [get(p, NO_PAIR) for p in zip(ids, ids[1:], strict=False)]
         while pairs:
             best = min(pairs)
-            if best is NO_PAIR:
+            if best == NO_PAIR:
                 break
             at = pairs.index(best)
-            ids[at:at + 2] = [best[1]]
+            ids[at:at + 2] = [best & 0xFFFFFFFF]
             del pairs[at]
             if at:
                 pairs[at - 1] = get((ids[at - 1], ids[at]), NO_PAIR)

@@ -88,3 +88,18 @@ def test_short_and_long_words_are_joined_alike(word):
     ids = [vocab.first[b] for b in word]
     ids[-1] = vocab.last[word[-1]]
     assert vocab._join_short(list(ids)) == vocab._join(list(ids))
+
+
+def test_letters_and_one_other_character_need_no_pattern():
+    vocab = bpe.Vocabulary(WORD)
+    chunks = ["word", "naïve", "word,", "don't", "word'", "x²", "ª", "café½", "5cm", "cm5", "ȧ", "été!", "­", "abc­", "a,,"]
+    asked = []
+
+    class Counted:
+        def findall(self, text):
+            asked.append(text)
+            return pattern.findall(text)
+
+    pattern, vocab.pattern = vocab.pattern, Counted()
+    assert [vocab.words(c) for c in chunks] == [[w.encode() for w in pattern.findall(c)] for c in chunks]
+    assert "word" not in asked and "word," not in asked and "don't" in asked
