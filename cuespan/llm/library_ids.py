@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from cuespan.llm.bpe import Vocabulary
+from cuespan.llm.bpe import BYTE_PATTERN, Vocabulary
 
 KNOWN_PIECES = 400_000
 
@@ -26,6 +26,7 @@ class LibraryIds:
         self.vocab = Vocabulary(path)
         self.plain = Vocabulary(path).library
         self.plain.encode_special_tokens = True  # an added token in a text is a piece of its own
+        self.splits = self.vocab.pattern.pattern == BYTE_PATTERN
         self.known: dict = {}
         self.older: dict = {}
 
@@ -37,9 +38,20 @@ class LibraryIds:
         for c in [c for c in new if c in older]:
             known[c] = older[c]
         new.difference_update(known)
-        strings = [c for c in new if isinstance(c, str)]
-        for c, e in zip(strings, self.plain.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+        strings = {c for c in new if isinstance(c, str)}
+        # letters and one other character behind them are a word each, so both are looked up
+        halves = [c for c in strings if not c[-1].isalpha() and c[:-1].removeprefix(" ").isalpha()] if self.splits else []
+        lone = strings.difference(halves)
+        lone.update([c[:-1] for c in halves])
+        lone.update({c[-1] for c in halves})
+        lone.difference_update(known)
+        for c in [c for c in lone if c in older]:
+            known[c] = older[c]
+        lone = list(lone.difference(known) if older else lone)
+        for c, e in zip(lone, self.plain.encode_batch_fast(lone, add_special_tokens=False), strict=True):
             known[c] = array("I", e.ids).tobytes()  # four bytes, as workers are little-endian
+        for c in halves:
+            known[c] = known[c[:-1]] + known[c[-1]]
         for c in new.difference(strings):
             ids = [c] if isinstance(c, int) else [t.id for t in self.plain.model.tokenize(c[0])]
             known[c] = np.array(ids, "<u4").tobytes()

@@ -92,3 +92,23 @@ def test_another_dictionary_is_refused(spark):
     except ValueError:
         return
     raise AssertionError("read with a wrong dictionary")
+
+
+def test_the_library_sees_a_word_once_whatever_stands_behind_it():
+    from cuespan.llm.library_ids import LibraryIds
+
+    coder, plain, sent = LibraryIds(BYTE), Tokenizer.from_file(BYTE), []
+    library = coder.plain
+
+    class Counted:
+        model = library.model
+
+        def encode_batch_fast(self, pieces, **rest):
+            sent.extend(pieces)
+            return library.encode_batch_fast(pieces, **rest)
+
+    coder.plain = Counted()
+    texts = ["a word, word. word! it's word' x2 naïve; cm5 café½ ª, c. word", "word, word? a­"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [coder.encode([t])[0] for t in texts] == want
+    assert sent.count(" word") == 1 and " word," not in sent and " it's" in sent
