@@ -40,6 +40,7 @@ from cuespan.llm.words import Combined, byte_classes, cut, digests, filter_of, h
 
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 LEAST, LONGEST, LIMIT, SCALE, WITHIN, WIDER = 30, 4, 2_000, 2_000_000, 80, 4
+SLICE = 3_000_000  # bytes of texts cut into words at once; two workers share an executor with a full heap
 TURN = 21  # bits by which the digest of each further word is turned in the key of a phrase
 
 
@@ -63,7 +64,7 @@ def _words(part: pa.RecordBatch):
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = Combined(["h", "lid", "word"], ["n"])
-    for part in slices(batches):
+    for part in slices(batches, SLICE):
         kind, _, digest, lid, names = _words(part)
         yield from out.add({"h": digest, "lid": lid, "word": names.cast(pa.string()), "n": np.bincount(kind, minlength=len(digest))})
     yield from out.rest()
@@ -97,7 +98,7 @@ def _count_phrases(m: int, alive, pairs=None, grow=None, settle=None, only=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Combined(names, ["n"])
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             kind, piece, digest, _, _ = _words(part)
             count = len(kind) - m + 1
             if count <= 0:

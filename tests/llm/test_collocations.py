@@ -100,3 +100,15 @@ def test_phrase_keys_agree(spark):
     for m in (2, 3, 4):
         have = [r[0] for r in df.select(collocations.phrase_key([f"w{j}" for j in range(1, m + 1)])).collect()]
         assert have == collocations.phrase_keys(words, m)[:47].tolist()
+
+
+def test_words_are_cut_from_small_slices(monkeypatch):
+    import pyarrow as pa
+
+    from cuespan.llm import collocations
+
+    seen, words = [], collocations._words
+    monkeypatch.setattr(collocations, "_words", lambda part: seen.append(part.nbytes) or words(part))
+    batch = pa.record_batch([["one two. " * 1_000] * 1_000, pa.array([1] * 1_000, pa.int64())], ["text", "lid"])
+    assert sum(n for b in collocations._count_words(iter([batch])) for n in b["n"].to_pylist()) == 2_000_000
+    assert len(seen) > 2 and max(seen) < 4_000_000
