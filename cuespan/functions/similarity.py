@@ -14,12 +14,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio; the order of the arguments matters."""
-    return pd.Series([
-        None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
-        for x, y in zip(a, b)], dtype="float64")
+SHORT = 200  # from this length on the second text's frequent letters count as junk
+
+
+def _common(a: str, b: str) -> int:
+    """Letters in the matching blocks of a pair whose second text is short: the
+    longest block, earliest in ``a``, then in ``b``, and so on left and right of it.
+    """
+    if len(a) == len(b):
+        places = [(x, y) for x, y in zip(a, b) if x != y]
+        # replaced letters that the other text lacks cut both texts into the same
+        # pieces; the longest piece, and the first of those, always meets itself
+        if not any(x in b or y in a for x, y in places):
+            return len(a) - len(places)
+    letters, total, open_ = set(b), 0, [(0, len(a), 0, len(b))]
+    while open_:
+        a_from, a_to, b_from, b_to = open_.pop()
+        size, i = 0, a_from
+        while i + size < a_to:
+            j = b.find(a[i:i + size + 1], b_from, b_to)
+            if j >= 0:
+                size += 1
+                while i + size < a_to and j + size < b_to and a[i + size] == b[j + size]:
+                    size += 1
+                at, to = i, j
+            elif a[i + size] in letters:
+                i += 1
+            else:  # no block holds that letter
+                i += size + 1
+        if size:
+            total += size
+            if at > a_from and to > b_from:
+                open_.append((a_from, at, b_from, to))
+            if at + size < a_to and to + size < b_to:
+                open_.append((at + size, a_to, to + size, b_to))
+    return total
+
+
+def ratio(x: str, y: str) -> float:
+    """``SequenceMatcher(None, x, y).ratio()``, to the last bit."""
+    if x == y:
+        return 1.0
+    if len(y) >= SHORT:
+        return SequenceMatcher(None, x, y).ratio()
+    return 2.0 * _common(x, y) / (len(x) + len(y))
 
 
 def alike(x: str, y: str, limit: float) -> bool:
@@ -32,7 +70,30 @@ def alike(x: str, y: str, limit: float) -> bool:
     shared = sum((Counter(x) & Counter(y)).values())
     if 2.0 * shared / total < limit:
         return False
-    return SequenceMatcher(None, x, y).ratio() >= limit
+    return ratio(x, y) >= limit
+
+
+@F.pandas_udf(T.IntegerType())
+def consensus(places: pd.Series, texts: pd.Series) -> pd.Series:
+    """Which of several texts is most like all of them, itself included; ties go
+    to the longer, then to the earlier place. The order of a ratio's two texts
+    matters; ratios are added by place. Null stays null."""
+    def pick(at, rows) -> int:
+        at, rows = [int(p) for p in at], list(rows)
+        known: dict[tuple[str, str], float] = {}
+
+        def total(x: str) -> float:
+            for y in rows:
+                if (x, y) not in known:
+                    known[x, y] = ratio(x, y)
+            out = 0.0  # sum() would round otherwise
+            for _, r in sorted((p, known[x, y]) for p, y in zip(at, rows)):
+                out += r
+            return out
+
+        return max(range(len(rows)), key=lambda i: (total(rows[i]), len(rows[i]), -at[i]))
+
+    return pd.Series([None if t is None else pick(p, t) for p, t in zip(places, texts)], dtype="Int32")
 
 
 def similar(a: Column, b: Column, limit: float) -> Column:
