@@ -35,7 +35,7 @@ def strip_ws(text: Column) -> Column:
 
 
 def dense_chars(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+", "")
+    return F.translate(text, WHITE, "")
 
 
 def strip_markup(text: Column) -> Column:
@@ -51,11 +51,11 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def letter_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\P{L}", ""))
+    return F.length(F.regexp_replace(text, r"\P{L}+", ""))
 
 
 def cjk_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^　-鿿]", ""))
+    return F.length(F.regexp_replace(text, "[^　-鿿]+", ""))
 
 
 def letter_ratio(text: Column) -> Column:
@@ -63,7 +63,8 @@ def letter_ratio(text: Column) -> Column:
 
 
 def cjk_ratio(text: Column) -> Column:
-    return _share(cjk_count(dense_chars(text)), F.length(dense_chars(text)))
+    return F.when(has_cjk(text), _share(cjk_count(text) - F.length(F.regexp_replace(text, "[^\u3000]+", "")),
+                                        F.length(dense_chars(text)))).otherwise(F.lit(0.0))
 
 
 def cjk_majority(text: Column) -> Column:
@@ -75,7 +76,7 @@ def has_cjk(text: Column) -> Column:
 
 
 def vowel_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{K.VOWELS}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{K.VOWELS}]+", ""))
 
 
 def rep_norm(text: Column) -> Column:
