@@ -4,7 +4,6 @@ first, so they only ever see pairs that survived a join."""
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -67,7 +66,7 @@ def alike(x: str, y: str, limit: float) -> bool:
         return True
     if 2.0 * min(len(x), len(y)) / total < limit:
         return False
-    shared = sum((Counter(x) & Counter(y)).values())
+    shared = sum(min(x.count(c), y.count(c)) for c in set(x))
     if 2.0 * shared / total < limit:
         return False
     return ratio(x, y) >= limit
