@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -124,10 +125,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def word_distance(a: Column, b: Column) -> Column:
+NEAR = 8
+
+
+def char_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance; a narrow band is tried first, as most pairs are near."""
+    return F.coalesce(F.nullif(F.levenshtein(a, b, NEAR), F.lit(-1)), F.levenshtein(a, b))
+
+
+def word_distance(a: Column, b: Column, words: Callable[[Column], Column] = words) -> Column:
     """Levenshtein distance over tokens.
 
-    Each distinct word of the pair becomes one private code point, so the
+    Where as many words of the first text are foreign to the second as there are
+    places at which two equally long texts differ, each of those is one edit.
+    Otherwise each distinct word of the pair becomes one private code point, so the
     built-in character distance counts whole words.
     """
     def encode(tokens: Column, vocabulary: Column) -> Column:
@@ -135,19 +146,30 @@ def word_distance(a: Column, b: Column) -> Column:
             tokens, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0x4E00), 4, "0"))
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
-    # the one-element array binds both word lists and their vocabulary once per row
+    # the one-element array binds both word lists, and then their vocabulary, once per row
     bound = F.transform(F.array(F.struct(words(a).alias("a"), words(b).alias("b"))), lambda s: F.struct(
-        s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(F.concat(s["a"], s["b"])).alias("v")))
-    distance = F.transform(bound, lambda s: F.levenshtein(encode(s["a"], s["v"]), encode(s["b"], s["v"])))
+        s["a"].alias("a"), s["b"].alias("b"),
+        F.when(F.size(s["a"]) == F.size(s["b"]), F.size(F.filter(F.zip_with(s["a"], s["b"], lambda x, y: x != y), lambda d: d))).alias("places"),
+        F.size(F.filter(s["a"], lambda w: ~F.array_contains(s["b"], w))).alias("foreign")))
+    coded = lambda s: F.get(F.transform(
+        F.array(F.array_distinct(F.concat(s["a"], s["b"]))), lambda v: F.levenshtein(encode(s["a"], v), encode(s["b"], v))), F.lit(0))
+    distance = F.transform(bound, lambda s: F.when(s["places"] == s["foreign"], s["places"]).otherwise(coded(s)))
     return F.when(a == b, F.lit(0)).otherwise(F.get(distance, F.lit(0)))
 
 
 @F.pandas_udf(T.StringType())
-def norm_nfc(text: pd.Series) -> pd.Series:
-    """NFC with collapsed white space; case is kept."""
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFC", s).split()))
 
 
+def norm_nfc(text: Column | str) -> Column:
+    """NFC with collapsed white space; case is kept. A line of plain ASCII words
+    is its own normal form and does not go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    other = text.rlike(r"[^ !-~]|  |\A | \z")
+    return F.when(other, _nfc(F.when(other, text))).otherwise(text)
+
+
 @F.pandas_udf(T.StringType())
 def norm_memory(text: pd.Series) -> pd.Series:
     """NFKC, case folded, collapsed: the key under which memory entries meet."""

@@ -55,6 +55,8 @@ def greedy_align(edges: DataFrame, keys: Sequence[str] = ("episode_id",), fold_e
     n = len(keys)
 
     def take(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:
+            return [rows[0][:n + 3]]
         used_p, used_r, out = set(), set(), []
         for row in rows:
             p, r = row[n], row[n + 1]
@@ -151,6 +153,8 @@ def largest_align(edges: DataFrame, keys: Sequence[str] = ("episode_id",), fold_
     n = len(keys)
 
     def solve(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:
+            return [rows[0][:n + 3]]
         options: dict[int, list[int]] = {}
         overlap = {}
         for row in rows:  # sorted by reference, -overlap, prediction

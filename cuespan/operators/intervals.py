@@ -75,6 +75,20 @@ def _spread(df: DataFrame, span: tuple[str, str], width: int, others: Column, le
             .select(*df.columns, "_stand.*"))
 
 
+def _short(df: DataFrame, span: tuple[str, str], width: int) -> bool:
+    """Whether every interval of a table is of the lowest level."""
+    first, last = _fine(*span, width)
+    most = df.where(F.col(span[1]) > F.col(span[0])).agg(F.max(last - first + 1)).first()[0]
+    return most is None or most <= BASE
+
+
+def _filled(df: DataFrame, span: tuple[str, str], width: int) -> DataFrame:
+    """One row per bucket of the lowest level."""
+    first, last = _fine(*span, width)
+    return (df.where(F.col(span[1]) > F.col(span[0])).withColumns({"_first": first, "_last": last})
+            .select(*df.columns, "_first", F.explode(F.sequence("_first", "_last")).alias("_bucket")))
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                   left_span: tuple[str, str], right_span: tuple[str, str],
                   width: int = BUCKET_MS) -> DataFrame:
@@ -83,13 +97,19 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     Apart from the keys, both sides must use different column names. Spans that
     are empty or have a null end meet nothing.
     """
-    a = _spread(left, left_span, width, _levels(right, right_span, width), True).withColumnRenamed("_first", "_a_first")
-    b = _spread(right, right_span, width, _levels(left, left_span, width), False).withColumnRenamed("_first", "_b_first")
-    return (a.join(b, [*keys, *_PLACE])
+    if _short(left, left_span, width) and _short(right, right_span, width):
+        place = ["_bucket"]
+        a, b = _filled(left, left_span, width), _filled(right, right_span, width)
+    else:
+        place = _PLACE
+        a = _spread(left, left_span, width, _levels(right, right_span, width), True)
+        b = _spread(right, right_span, width, _levels(left, left_span, width), False)
+    a, b = a.withColumnRenamed("_first", "_a_first"), b.withColumnRenamed("_first", "_b_first")
+    return (a.join(b, [*keys, *place])
             .where((F.col("_bucket") == F.greatest("_a_first", "_b_first"))
                    & (F.col(left_span[0]) < F.col(right_span[1]))
                    & (F.col(right_span[0]) < F.col(left_span[1])))
-            .drop(*_PLACE, "_a_first", "_b_first"))
+            .drop(*place, "_a_first", "_b_first"))
 
 
 def renamed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:

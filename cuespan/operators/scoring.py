@@ -18,6 +18,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b)
 
 
+def _blank_words(text: Column) -> Column:
+    """Words of a normal form: one blank stands between two words, and no other white space."""
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
 def pair_measures(pairs: DataFrame, ref: str = "reference", pred: str = "prediction") -> DataFrame:
     """Edit counts of each pair; a missing prediction reads as empty."""
     normal = pairs.withColumn("_ref", tx.norm_nfc(ref)).withColumn(
@@ -28,9 +33,9 @@ def pair_measures(pairs: DataFrame, ref: str = "reference", pred: str = "predict
     return normal.select(
         *pairs.columns,
         F.length(r).cast("bigint").alias("ref_chars"),
-        F.when(scored & (r != p), F.levenshtein(r, p)).otherwise(zero).cast("bigint").alias("char_edits"),
-        F.size(tx.words(r)).cast("bigint").alias("ref_words"),
-        F.when(scored, tx.word_distance(r, p)).otherwise(zero).cast("bigint").alias("word_edits"),
+        F.when(scored & (r != p), tx.char_distance(r, p)).otherwise(zero).cast("bigint").alias("char_edits"),
+        F.size(_blank_words(r)).cast("bigint").alias("ref_words"),
+        F.when(scored & (r != p), tx.word_distance(r, p, _blank_words)).otherwise(zero).cast("bigint").alias("word_edits"),
         (r == p).alias("exact"), (p != "").alias("covered"))
 
 
@@ -139,11 +144,17 @@ def score_sums(matches: DataFrame, pred: DataFrame, ref: DataFrame, keys: Sequen
     """
     keys = list(keys)
     ref_keys = [k for k in keys if k in ref.columns]
-    r = ref.select(*ref_keys, *[F.col(c).alias("r_" + c) for c in ("cue_index", "text", "start_ms", "end_ms")])
-    p = pred.select(*keys, *[F.col(c).alias("p_" + c) for c in ("cue_index", "text", "start_ms", "end_ms")])
+    place = [*ref_keys, "r_cue_index"]
+    sides = ("cue_index", "text", "start_ms", "end_ms")
+    r = ref.select(*ref_keys, *[F.col(c).alias("r_" + c) for c in sides])
+    p = pred.select(*keys, *[F.col(c).alias("p_" + c) for c in sides])
     hit = matches.select(*keys, "r_cue_index", "p_cue_index").join(p, [*keys, "p_cue_index"])
-    runs = r.withColumn("engine_id", F.explode(F.array(*map(F.lit, engines))))
-    joined = runs.join(hit, [*keys, "r_cue_index"], "left")
+    # a reference cue is one row until its engines part, so its text travels once
+    found = hit.groupBy(*place).agg(F.collect_list(F.struct("engine_id", *[f"p_{c}" for c in sides])).alias("_found"))
+    runs = r.join(found, place, "left").withColumn("engine_id", F.explode(F.array(*map(F.lit, engines))))
+    mine = F.filter("_found", lambda x: x["engine_id"] == F.col("engine_id"))
+    joined = runs.withColumn("_p", F.get(mine, F.lit(0))).select(
+        *keys, *[f"r_{c}" for c in sides], *[F.col(f"_p.p_{c}").alias(f"p_{c}") for c in sides])
     start_error = F.abs(F.col("r_start_ms") - F.col("p_start_ms"))
     end_error = F.abs(F.col("r_end_ms") - F.col("p_end_ms"))
     rows = pair_measures(

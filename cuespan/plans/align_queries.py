@@ -61,6 +61,11 @@ def _edges(spark, sf, share_of="pred"):
     return intervals.overlap_candidates(v.cues_pred(spark, sf), v.cues_ref(spark, sf), share_of=share_of)
 
 
+def _stored(spark, sf):
+    """The cues, split and timed once; readings and both sides of a join follow from them."""
+    return cut_lineage(v.cues_ref(spark, sf))
+
+
 def _greedy(spark, sf):
     pred, ref = v.cues_pred(spark, sf), v.cues_ref(spark, sf)
     # stored, as numbers: reports use the pairs more than once
@@ -90,9 +95,10 @@ def j2(spark, sf):
 
 @query("j3_max_cardinality_align")
 def j3(spark, sf):
-    pred = v.engine_preds(spark, sf)
+    cues = _stored(spark, sf)
+    pred = v.engine_preds(spark, sf, cues)
     edges = intervals.overlap_candidates(
-        pred, v.cues_ref(spark, sf).withColumn("engine_id", F.explode(F.array(*map(F.lit, v.ENGINES)))),
+        pred, cues.withColumn("engine_id", F.explode(F.array(*map(F.lit, v.ENGINES)))),
         keys=("engine_id", "episode_id"), share_of="ref")
     return align.largest_align(edges, ("engine_id", "episode_id"))
 
@@ -151,8 +157,8 @@ def a3(spark, sf):
 
 
 def _episode_scores(spark, sf, matches=None):
-    pred = v.engine_preds(spark, sf)
-    ref = v.cues_ref(spark, sf)
+    ref = _stored(spark, sf)
+    pred = v.engine_preds(spark, sf, ref)
     keys = ("engine_id", "episode_id")
     edges = intervals.overlap_candidates(
         pred, ref.withColumn("engine_id", F.explode(F.array(*map(F.lit, v.ENGINES)))), keys=keys, share_of="ref")

@@ -77,11 +77,12 @@ FROM cues_ref WHERE text LIKE '%, %'"""
 sql_view("cues_pred", ("cues_ref",), _PRED)
 
 
-def cues_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cues_pred(spark: SparkSession, sf_dir: str, ref: DataFrame | None = None) -> DataFrame:
     """Shifted readings: flashes under 12 characters are lost, letters are
-    misread, and lines with a comma also appear as screen text."""
+    misread, and lines with a comma also appear as screen text. ``ref`` is
+    ``cues_ref``, if it is at hand."""
     c = F.col
-    ref = cues_ref(spark, sf_dir)
+    ref = cues_ref(spark, sf_dir) if ref is None else ref
     misread = (F.when(F.length("text") % 3 == 0, F.expr("replace(text, 'o', '0')"))
                .when(F.length("text") % 3 == 1, F.expr("replace(text, 'ü', 'u')")).otherwise(c("text")))
     reading = F.struct(
@@ -106,8 +107,8 @@ SELECT 'cand' AS engine_id, episode_id, cue_index,
 sql_view("engine_preds", ("cues_pred",), _ENGINES)
 
 
-def engine_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred = cues_pred(spark, sf_dir)
+def engine_preds(spark: SparkSession, sf_dir: str, ref: DataFrame | None = None) -> DataFrame:
+    pred = cues_pred(spark, sf_dir, ref)
     repaired = F.when(F.col("cue_index") % 2 == 0, F.expr("replace(text, '0', 'o')")).otherwise(F.col("text"))
     # one pass over the readings instead of one per engine
     return (pred.withColumn("engine_id", F.explode(F.array(*map(F.lit, ENGINES))))
