@@ -97,6 +97,15 @@ def _two_masks(word: Column) -> Column:
             F.substring(word, j + 1, n)))))
 
 
+def _thirds(word: Column) -> Column:
+    """The three parts of a word with their places: of two words of one length
+    that differ in two letters at most, one part is the same."""
+    n = F.length(word)
+    a, b = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    part = lambda i, start, stop: F.concat_ws("_", n, F.lit(i), F.substring(word, start + 1, stop - start))
+    return F.array(part(0, F.lit(0), a), part(1, a, b), part(2, b, n))
+
+
 def rivals(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Every dictionary word one repair family away: (token, cand, freq).
 
@@ -118,8 +127,10 @@ def rivals(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
                  words.withColumn("key", fold(c)), "key").select(*cols))).distinct()
     heavy = spread(heavy.where((w != c) & (F.levenshtein(w, c, K.MAX_FLIPS + 1) >= 0))).where(
         repair._piece_ops(w, c).isNotNull())
-    double = (keyed(short.where(F.length("token") >= 2), _two_masks(w)).join(
-        keyed(words.where(F.length("cand").between(2, K.WIDE_MAX)), _two_masks(c)), "key").select(*cols).distinct()
+    # masks are many, so words that share no third with a token go first
+    asked = cut_lineage(keyed(short.where(F.length("token") >= 2), _thirds(w)).select("key").distinct())
+    able = keyed(words.where(F.length("cand").between(2, K.WIDE_MAX)), _thirds(c)).join(asked, "key", "left_semi").select("cand", "freq").distinct()
+    double = (keyed(short.where(F.length("token") >= 2), _two_masks(w)).join(keyed(able, _two_masks(c)), "key").select(*cols).distinct()
         .where((w != c) & _two_letters(w, c)))
     return near.unionByName(heavy).unionByName(double).distinct()
 

@@ -137,7 +137,8 @@ def r6(spark, sf):
 
 def _lessons(spark, sf):
     """Cues whose reading lost letters, next to what an editor restored."""
-    cues = v.cues_ref(spark, sf)
+    # stored: both sides of the alignment and their texts follow from one pass
+    cues = cut_lineage(v.cues_ref(spark, sf))
     auto = cues.withColumn("text", F.when(F.length("text") % 3 == 0, F.expr("replace(text, 'the', 'tke')"))
                            .when(F.length("text") % 3 == 1, F.translate("text", "sg", "şğ"))
                            .otherwise(F.expr("replace(text, ' ere', 'ere')")))
