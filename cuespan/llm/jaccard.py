@@ -16,6 +16,10 @@ up cost time and nothing else.
 Only connected groups are wanted, so pairs within a group are not listed: each
 list first links its members with one of them, groups are joined, and only pairs
 that share a list and still lie in different groups are compared afterwards.
+
+Before whole sets are brought together, pairs are compared by their marks, a few
+bits per shingle that count at least part of what two sets do not share. What
+the marks leave open is decided by the sets, so only they meet in full.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ COUNTERS, CHUNK = 1 << 20, 1 << 14
 LIGHT_AT_MOST = 16
 HOT_LIST, STAR_ROUNDS = 4_096, 2
 FILTER_BITS = 1 << 24
+SLICE = 500_000  # bytes of text cut into shingles at once: their arrays take some fifty times as much
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,10 +151,32 @@ def subset_keys(own: np.ndarray, light: int, percent: int = PERCENT) -> tuple[np
     return np.concatenate(keys), np.concatenate(small)
 
 
+def marks(own: np.ndarray) -> bytes:
+    """A bit for each class of shingle hashes: whether the set has an odd number of it.
+
+    There are two to four times as many classes as shingles, 64 at least."""
+    size = 1 << max(6, (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(one: bytes, two: bytes) -> int:
+    """So many shingles at least are in one of two sets alone, by their marks.
+
+    Halves of the longer marks are added until both have the same classes; a class
+    in which the sums differ holds at least one such shingle."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _profile(seed: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
-        for part in slices(batches, 2_000_000):
+        for part in slices(batches, SLICE):
             sets = shingle_sets(part.column(1).to_pylist(), words, seed)
             flat = np.concatenate(sets)
             counters += np.bincount(bucket(flat), minlength=COUNTERS)
@@ -157,14 +184,15 @@ def _profile(seed: int, words: int):
                 part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), len(s)) for s in sets], np.uint64).view(np.int64)),
                 pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) for s in sets], np.uint64).view(np.int64)),
+                pa.array([marks(s) for s in sets], pa.binary()),
                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                ["doc_id", "n", "sig", "sig2", "chunk", "counts"])
+                ["doc_id", "n", "sig", "sig2", "marks", "chunk", "counts"])
         if counters.any():
             chunks = COUNTERS // CHUNK
             yield pa.record_batch([
-                pa.nulls(chunks, pa.int64()), *[pa.nulls(chunks, pa.int64())] * 3, pa.array(range(chunks), pa.int32()),
+                *[pa.nulls(chunks, pa.int64())] * 4, pa.nulls(chunks, pa.binary()), pa.array(range(chunks), pa.int32()),
                 pa.array([counters[i * CHUNK:(i + 1) * CHUNK].astype("<i4").tobytes() for i in range(chunks)], pa.binary())],
-                ["doc_id", "n", "sig", "sig2", "chunk", "counts"])
+                ["doc_id", "n", "sig", "sig2", "marks", "chunk", "counts"])
 
     return run
 
@@ -196,7 +224,7 @@ def _lists(light: int, order: np.ndarray, seed: int, words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in one task are written once
-        for part in slices(batches, 2_000_000):
+        for part in slices(batches, SLICE):
             parts: list[tuple] = []
             for own in shingle_sets(part.column(0).to_pylist(), words, seed):
                 sig = xxhash.xxh64_intdigest(own.tobytes(), len(own))
@@ -316,6 +344,17 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part["a"], part["b"], part["n"], part["m"], pa.array(shared, pa.int32())], ["a", "b", "n", "m", "shared"])
 
 
+def _near(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            n, m = part["n"].to_numpy().astype(np.int64), part["m"].to_numpy().astype(np.int64)
+            alone = np.array([apart(a.as_py(), b.as_py()) for a, b in zip(part["one"], part["two"], strict=True)], np.int64)
+            keep = pa.array((n + m - alone) // 2 >= needed(n, m, percent))
+            yield pa.record_batch([part["a"], part["b"]], ["a", "b"]).filter(keep)
+
+    return run
+
+
 class JaccardJoin:
     """Links between the sets of one table of documents; see ``join``."""
 
@@ -326,12 +365,13 @@ class JaccardJoin:
     def profile(self) -> DataFrame:
         """doc_id, n, sig of every document; equal sets have equal sig."""
         made = stage(self.docs.mapInArrow(_profile(self.seed, self.words),
-                                          "doc_id long, n long, sig long, sig2 long, chunk int, counts binary"), "profile")
+                                          "doc_id long, n long, sig long, sig2 long, marks binary, chunk int, counts binary"), "profile")
         counted = (made.where("chunk IS NOT NULL").select("chunk", "counts").repartition(width(made), "chunk")
                    .mapInArrow(_add_counters, "chunk int, counts binary").collect())  # of fixed size
         self.order = np.zeros(COUNTERS, np.int64)
         for r in counted:
             self.order[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
+        self.marked = made.where("chunk IS NULL").select("doc_id", "sig", "n", "marks")
         return made.where("chunk IS NULL").select("doc_id", "n", "sig", "sig2")
 
     def lists(self, classes: DataFrame) -> DataFrame:
@@ -353,17 +393,32 @@ class JaccardJoin:
                                                F.col("ln").alias("n"), F.col("lpos").alias("pos"))
         return led.drop("salts"), stage(_led(firsts), "hot-leaders").drop("salts")
 
+    @staticmethod
+    def ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """(sig, rep): the classes in the pairs (a, b)."""
+        return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes.select("sig", "rep"), "sig")
+
+    def near(self, pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b) of classes without those that cannot link by their marks."""
+        # one document of a class, so that copies do not meet at their class
+        own = (self.marked.join(self.ends(pairs, classes).withColumnRenamed("rep", "doc_id"), ["doc_id", "sig"])
+               .dropDuplicates(["sig"]))
+        own = stage(own.select("sig", "n", "marks"), f"{label}-marks")
+        both = (pairs.select("a", "b").join(own.select(F.col("sig").alias("a"), "n", F.col("marks").alias("one")), "a")
+                .join(own.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("marks").alias("two")), "b"))
+        return stage(both.select("a", "b", "n", "m", "one", "two").mapInArrow(_near(self.percent), "a long, b long"), label)
+
     def sets_of(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """(sig, n, own): the sets of the classes in the pairs (a, b)."""
         seed, words = self.seed, self.words
-        wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes.select("sig", "rep"), "sig"), "wanted")
+        wanted = stage(self.ends(pairs, classes), "wanted")
         near = self.docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.col("rep").alias("doc_id"))))  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 place = batch["place"].to_numpy()
                 batch = batch.filter(pa.array((near.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
-                for part in slices([batch], 2_000_000):
+                for part in slices([batch], SLICE):
                     sets = shingle_sets(part["text"].to_pylist(), words, seed)
                     sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), len(s)) for s in sets], np.uint64).view(np.int64)
                     yield pa.record_batch([pa.array(sig), pa.array([len(s) for s in sets], pa.int32()),
@@ -387,7 +442,8 @@ class JaccardJoin:
         stars = led.unionByName(hot).where("sig <> lsig").where(_possible("n", "pos", "ln", "lpos", self.percent))
         sure = stars.where("pos < 0 AND lpos = -1").select(F.col("sig").alias("a"), F.col("lsig").alias("b"))  # a common subset is a link
         open_ = stage(stars.where("pos >= 0").groupBy(F.col("sig").alias("a"), F.col("lsig").alias("b")).agg(F.min("lpos").alias("lpos")), "star-pairs")
-        sets = self.sets_of(open_, classes)
+        close = self.near(open_, classes, "near-stars")
+        open_, sets = open_.join(close, ["a", "b"], "left_semi"), self.sets_of(close, classes)
         groups, tried = components(sure), None
         # a member of many lists needs one link, not one for each: every group
         # tries one of its leaders in a round, and pairs within a group are done
@@ -414,6 +470,7 @@ class JaccardJoin:
         left = stage(one.join(two, "key").where("root1 < root2").where(_possible("n1", "pos1", "n2", "pos2", self.percent))
                      .select(F.least("sig1", "sig2").alias("a"), F.greatest("sig1", "sig2").alias("b")).distinct()
                      .join(done, ["a", "b"], "left_anti"), "left-pairs")
+        left = self.near(left, classes, "near-left")
         return components(groups.unionByName(self.verify(left, self.sets_of(left, classes))))
 
     @staticmethod

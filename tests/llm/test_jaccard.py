@@ -131,6 +131,36 @@ def test_lists_across_batches(rows, step):
     assert got == want
 
 
+def test_marks_never_count_more_than_two_sets_differ_by():
+    rng = np.random.default_rng(3)
+    for n, m, i in [(0, 3, 0), (1, 1, 0), (30, 33, 30), (31, 40, 20), (300, 1100, 290), (5000, 5200, 4500), (40_000, 41_000, 0)]:
+        every = jaccard.mix(rng.integers(1, 1 << 62, n + m - i).astype(np.uint64))
+        a, b = np.sort(every[:n]), np.sort(every[n - i:])
+        one, two = jaccard.marks(a), jaccard.marks(b)
+        far = len(np.setxor1d(a, b))
+        assert jaccard.apart(one, two) == jaccard.apart(two, one) <= far
+        assert jaccard.apart(one, one) == 0
+        if n >= 30 and 100 * i < 60 * (n + m - i):  # sets that far apart are told without them
+            assert (n + m - jaccard.apart(one, two)) // 2 < jaccard.needed(n, m)
+
+
+def test_sets_that_share_a_list_and_no_more_are_not_brought_together(spark, monkeypatch):
+    """A line that many texts share puts them into a common list; their marks part them."""
+    shared = [f"s{i}" for i in range(12)]
+    rows = [(i, " ".join([f"z{i}_{k}" for k in range(28)] + shared)) for i in range(30)]
+    rows += [(100 + i, " ".join([f"y{k}" for k in range(60)] + [f"e{i}"])) for i in range(3)]
+    compared, verify = [], jaccard.JaccardJoin.verify
+
+    def counted(self, pairs, sets):
+        compared.append(pairs.count())
+        return verify(self, pairs, sets)
+
+    monkeypatch.setattr(jaccard.JaccardJoin, "verify", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()) == brute(rows)
+    assert sum(compared) <= 3
+
+
 def test_check_sql(spark):
     from cuespan.llm.queries import CHECKS, QUERIES
     name = "op10_heavy_light_jaccard"
