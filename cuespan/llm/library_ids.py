@@ -15,9 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 
-from cuespan.llm.bpe import BYTE_PATTERN, Vocabulary
+from cuespan.llm.bpe import BYTE_PATTERN, Vocabulary, byte_letters
 
 KNOWN_PIECES = 400_000
+FEW = 200  # so many pieces of a call are not worth sorting out the words
+LETTERS = dict(enumerate(byte_letters()))  # of a byte, for str.translate
 
 
 class LibraryIds:
@@ -34,7 +36,7 @@ class LibraryIds:
         """Little-endian unsigned 32-bit ids of each text, and ``end``."""
         cut = [self.vocab.chunks(t) for t in texts]
         known, older = self.known, self.older
-        new = {c for t in cut for c in t}.difference(known)
+        new = set().union(*cut).difference(known)
         for c in [c for c in new if c in older]:
             known[c] = older[c]
         new.difference_update(known)
@@ -47,9 +49,18 @@ class LibraryIds:
         lone.difference_update(known)
         for c in [c for c in lone if c in older]:
             known[c] = older[c]
-        lone = list(lone.difference(known) if older else lone)
+        lone.difference_update(known)
+        if self.splits and len(lone) > FEW:
+            # letters behind a space or none are one word, which the library's model takes without cutting it
+            words = [c for c in lone if c.removeprefix(" ").isalpha()]
+            lone.difference_update(words)
+            tokenize = self.plain.model.tokenize
+            for c in words:
+                letters = c.encode().decode("latin-1").translate(LETTERS)
+                known[c] = array("I", [t.id for t in tokenize(letters)]).tobytes()  # four bytes, as workers are little-endian
+        lone = list(lone)
         for c, e in zip(lone, self.plain.encode_batch_fast(lone, add_special_tokens=False), strict=True):
-            known[c] = array("I", e.ids).tobytes()  # four bytes, as workers are little-endian
+            known[c] = array("I", e.ids).tobytes()
         for c in halves:
             known[c] = known[c[:-1]] + known[c[-1]]
         for c in new.difference(strings):

@@ -112,3 +112,24 @@ def test_the_library_sees_a_word_once_whatever_stands_behind_it():
     want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert [coder.encode([t])[0] for t in texts] == want
     assert sent.count(" word") == 1 and " word," not in sent and " it's" in sent
+
+
+def test_many_words_are_not_cut_by_the_library_again():
+    from cuespan.llm.library_ids import LibraryIds
+
+    coder, plain, sent = LibraryIds(BYTE), Tokenizer.from_file(BYTE), []
+    library = coder.plain
+
+    class Counted:
+        model = library.model
+
+        def encode_batch_fast(self, pieces, **rest):
+            sent.extend(pieces)
+            return library.encode_batch_fast(pieces, **rest)
+
+    coder.plain = Counted()
+    words = [f"{a}{b}{c}" for a in ("na", "Über", "ñ", "ab") for b in ("ïve", "LL", "ªº", "e") for c in "abcdefghijklmnoprstuvwxyz"]
+    text = "x" + " ".join(words) + "\n" + "\n".join(words[:50]) + " it's a2 \u00a0b, <|endoftext|>'s  c!"
+    assert coder.encode([text])[0] == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not any(p.removeprefix(" ").isalpha() for p in sent) and " it's" in sent
+    assert plain.encode(words[0], add_special_tokens=False).ids == np.frombuffer(coder.encode([words[0]])[0], "<u4").tolist()
