@@ -31,6 +31,7 @@ from cuespan.llm.common import shared_path, slices, stage
 
 LEXICON_WORDS = 131_072
 SHORT, NO_PAIR = 24, 1 << 62
+BLOCK = 4_096  # words of one length that are merged side by side
 FORMS = 180_000  # pieces of texts whose forms a worker keeps from slice to slice
 # fixed value: the split pattern of byte-level vocabularies that name none
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,8 +71,12 @@ class Vocabulary:
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
         self.ranked = {pair: rank << 32 | whole for pair, (rank, whole) in self.merges.items()}
+        pairs = sorted((a << 32 | b, value) for (a, b), value in self.ranked.items())
+        self.pair_keys, self.pair_values = (np.array(column, np.int64) for column in zip(*pairs or [(-1, NO_PAIR)], strict=True))
+        self.ends_of = np.array([self.first, self.last], np.int64)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.added.items()}
+        self.numerals = {i: str(i) for i in self.tokens}
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.lowers = spec["normalizer"] is not None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.lowers else BYTE_PATTERN
@@ -128,6 +133,50 @@ class Vocabulary:
                 pairs[at] = get((ids[at], ids[at + 1]), NO_PAIR)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """``merge`` of every word; short ones of equal length are merged side by side."""
+        out: list = [None] * len(words)
+        lengths: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            lengths.setdefault(len(word), []).append(at)
+        for size, places in lengths.items():
+            if 2 <= size <= SHORT:
+                for lo in range(0, len(places), BLOCK):
+                    self._merge_block(words, places[lo:lo + BLOCK], size, out)
+            else:
+                for at in places:
+                    out[at] = self.merge(words[at])
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What ``ranked`` has for pairs of ids, NO_PAIR where it has nothing."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == pair, self.pair_values[at], NO_PAIR)
+
+    def _merge_block(self, words: list[bytes], places: list[int], size: int, out: list) -> None:
+        """A round joins one pair in each word, so all words left are equally long."""
+        raw = np.frombuffer(b"".join([words[at] for at in places]), np.uint8).reshape(-1, size)
+        ids, rows = self.ends_of[0][raw], np.array(places)
+        ids[:, -1] = self.ends_of[1][raw[:, -1]]
+        pairs = self._ranks(ids[:, :-1], ids[:, 1:])
+        while True:
+            wide = ids.shape[1]
+            at = pairs.argmin(1) if wide > 1 else np.zeros(len(rows), np.int64)  # the leftmost of equal ones
+            best = pairs[np.arange(len(rows)), at] if wide > 1 else np.full(len(rows), NO_PAIR)
+            ended = best == NO_PAIR
+            for row, own in zip(rows[ended].tolist(), ids[ended].tolist(), strict=True):
+                out[row] = own
+            rows, ids, pairs, at, best = (x[~ended] for x in (rows, ids, pairs, at, best))
+            if not len(rows):
+                return
+            ids[np.arange(len(rows)), at] = best & 0xFFFFFFFF
+            ids = ids[np.arange(wide) != at[:, None] + 1].reshape(len(rows), wide - 1)
+            pairs = pairs[np.arange(wide - 1) != at[:, None]].reshape(len(rows), wide - 2)
+            for edge, side in ((np.flatnonzero(at > 0), -1), (np.flatnonzero(at < wide - 2), 0)):
+                place = at[edge] + side
+                pairs[edge, place] = self._ranks(ids[edge, place], ids[edge, place + 1])
+
     def _join(self, ids: list[int]) -> list[int]:
         """A heap of pairs over linked places, for words of any length."""
         n, merges = len(ids), self.merges
@@ -244,6 +293,14 @@ class Lexicon:
     def ids_of(self, number: int) -> list[int]:
         return self.ids[self.ends[number]:self.ends[number + 1]].tolist()
 
+    def all_ids(self, numbers: np.ndarray) -> list[list[int]]:
+        """``ids_of`` of every number, read at once."""
+        start, size = self.ends[numbers].astype(np.int64), (self.ends[numbers + 1] - self.ends[numbers]).astype(np.int64)
+        stop = np.cumsum(size)
+        flat = np.asarray(self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - stop + size, size)]).tolist()
+        cuts = [0, *stop.tolist()]
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -266,8 +323,11 @@ def resolve(vocab: Vocabulary, lex: Lexicon | None, chunks: Iterable) -> dict:
     own = {c: vocab.words(c) for c in chunks if not isinstance(c, int)}
     words = list({w for parts in own.values() for w in parts})
     found = lex.numbers(words) if lex else np.full(len(words), -1)
-    ids = {w: lex.ids_of(n) if n >= 0 else vocab.merge(w) for w, n in zip(words, found.tolist(), strict=True)}
-    out = {c: [i for w in parts for i in ids[w]] for c, parts in own.items()}
+    held, rest = np.flatnonzero(found >= 0), [words[at] for at in np.flatnonzero(found < 0).tolist()]
+    ids = dict(zip(rest, vocab.merge_all(rest), strict=True))
+    if len(held):
+        ids.update(zip([words[at] for at in held.tolist()], lex.all_ids(found[held]), strict=True))
+    out = {c: ids[parts[0]] if len(parts) == 1 else [i for w in parts for i in ids[w]] for c, parts in own.items()}
     return out | {c: [c] for c in chunks if isinstance(c, int)}
 
 
@@ -329,7 +389,8 @@ def build_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", words: i
     if least is not None and words > 0:
         edge = counted.where(F.col("n") == least).orderBy(by_hash, "word").limit(room)
         top = counted.where(F.col("n") > least).unionByName(edge).collect()  # at most ``words`` rows
-    data = compile_lexicon({bytes(r.word): vocab.merge(bytes(r.word)) for r in top})
+    held = [bytes(r.word) for r in top]
+    data = compile_lexicon(dict(zip(held, vocab.merge_all(held), strict=True)))
     return put_file(docs.sparkSession, data, "lexicon")
 
 
@@ -386,12 +447,13 @@ def digests(docs: DataFrame, vocab_path: str, id_column: str = "doc_id", text: s
         known, older = forms(name)
         for part in slices(batches):
             texts = [vocab.chunks(t or "") for t in part.column(1).to_pylist()]
-            new = {c for t in texts for c in t}.difference(known)
+            new = set().union(*texts).difference(known)
             for c in [c for c in new if c in older]:
                 known[c] = older[c]
             new.difference_update(known)
+            numeral, token = vocab.numerals.__getitem__, vocab.tokens.__getitem__
             for c, v in resolve(vocab, lex, new).items():
-                known[c] = (len(v), " ".join(map(str, v)), " ".join(map(vocab.tokens.__getitem__, v)))
+                known[c] = (len(v), " ".join(map(numeral, v)), " ".join(map(token, v)))
             rows = [[known[c] for c in t] for t in texts]
 
             def sha(row: list, form: int) -> str:

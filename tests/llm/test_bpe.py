@@ -103,3 +103,25 @@ def test_letters_and_one_other_character_need_no_pattern():
     pattern, vocab.pattern = vocab.pattern, Counted()
     assert [vocab.words(c) for c in chunks] == [[w.encode() for w in pattern.findall(c)] for c in chunks]
     assert "word" not in asked and "word," not in asked and "don't" in asked
+
+
+def test_words_merged_side_by_side_are_those_merged_alone(monkeypatch):
+    import random
+
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    rng = random.Random(4)
+    for path in (WORD, BYTE):
+        vocab = bpe.vocabulary(path)
+        words = [b"", b"a", b"\xc3", *(bytes(rng.choice(b"etaoinshr\xc3\xa9 ,1") for _ in range(rng.randrange(1, 40))) for _ in range(400)),
+                 b"the", b"aaaaaaaaaaaa", b"understanding"]
+        assert vocab.merge_all(words) == [vocab.merge(w) for w in words]
+    assert vocab.merge_all([]) == []
+
+
+def test_ids_of_many_words_are_read_at_once(tmp_path):
+    entries = {b"ab": [3, 4], b"b": [7], b"bcd": [1, 2, 9]}
+    (tmp_path / "lexicon").write_bytes(bpe.compile_lexicon(entries))
+    lex = bpe.Lexicon(str(tmp_path / "lexicon"))
+    words = [b"bcd", b"b", b"ab", b"b"]
+    assert lex.all_ids(lex.numbers(words)) == [entries[w] for w in words]
+    assert lex.all_ids(lex.numbers([])) == []
