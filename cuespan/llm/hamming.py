@@ -6,22 +6,32 @@ by the number of segments. So all segments are probed at radius 0, 1, 2, ... :
 after radius a every code within segments * (a + 1) - 1 bits has been met, and a
 query is done once its k-th verified distance lies within that.
 
-Rows with the same code are one entry that keeps the k + 1 smallest ids, which
-are the only ones that can be among the k nearest of any row.
+Rows are cut into blocks, and queries into groups. Each task builds the indexes of
+one block and answers one group on it; the nearest of all blocks are then ranked.
+What is held at once is a block, its indexes and the probes of a slice of queries.
+
+Of rows with the same code only the k + 1 smallest ids can be among the k nearest
+of any row, so the others go first.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from itertools import combinations
 from math import ceil, comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import stage
+from cuespan.llm.common import stage, width
 
 BITS = 64
+BLOCK_ROWS = 1 << 20
+GROUP_QUERIES = 512
+#: Probes, and met codes, of a slice of queries.
+SLICE = 1 << 20
 
 
 def sign_code(vector: str) -> Column:
@@ -54,64 +64,135 @@ def best_segments(rows: int, k: int) -> int:
     return min(range(3, 17), key=cost)  # at most 22 bits: a query far from all rows has bounded probes
 
 
-def masks(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None) -> DataFrame:
+def masks(width: int, radius: int) -> np.ndarray:
+    return np.fromiter((sum(1 << b for b in bits) for bits in combinations(range(width), radius)), np.uint64, comb(width, radius))
+
+
+class Block:
+    """The rows of a block, by id, and an index of them for each segment."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, segments: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.codes, self.places = ids[order], codes[order], cuts(segments)
+        self.rows, self.values, self.starts = [], [], []
+        for at in range(segments):
+            value = self.segment(at, self.codes)
+            rows = np.argsort(value, kind="stable").astype(np.int32)
+            held, first = np.unique(value[rows], return_index=True)
+            self.rows.append(rows)
+            self.values.append(held)
+            self.starts.append(np.append(first, len(rows)))
+
+    def segment(self, at: int, codes: np.ndarray) -> np.ndarray:
+        shift, bits = self.places[at]
+        return codes >> np.uint64(shift) & np.uint64((1 << bits) - 1)
+
+    def met(self, at: int, radius: int, codes: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, distance) of the rows within ``bound`` whose segment differs in just ``radius`` bits."""
+        flips = masks(self.places[at][1], radius)
+        own = self.segment(at, codes)
+        for first in range(0, len(flips), SLICE):
+            part = flips[first:first + SLICE]
+            step = max(1, SLICE // len(part))
+            for low in range(0, len(codes), step):
+                asked = (own[low:low + step, None] ^ part).ravel()
+                place = np.minimum(np.searchsorted(self.values[at], asked), len(self.values[at]) - 1)
+                hit = np.flatnonzero(self.values[at][place] == asked)
+                place, query = place[hit], low + hit // len(part)
+                begin, size = self.starts[at][place], self.starts[at][place + 1] - self.starts[at][place]
+                ends = np.cumsum(size)
+                done = 0
+                while done < len(size):  # a common value meets many rows
+                    upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SLICE, "right")))
+                    n, at_once = size[done:upto], slice(done, upto)
+                    row = self.rows[at][np.repeat(begin[at_once] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    asker = np.repeat(query[at_once], n)
+                    far = np.bitwise_count(self.codes[row] ^ codes[asker])
+                    near = np.flatnonzero(far <= bound[asker])
+                    yield asker[near], row[near], far[near]
+                    done = upto
+
+    def nearest(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of the ``n`` nearest rows of each code, ties by id."""
+        need = min(n, len(self.ids))
+        best = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint8)]
+        open_, bound = np.arange(len(codes)), np.full(len(codes), BITS, np.uint8)
+        ready: list[list[np.ndarray]] = []
+        for radius in range(max(bits for _, bits in self.places) + 1):
+            for at, (_, bits) in enumerate(self.places):
+                if radius > bits:
+                    continue
+                for query, row, far in self.met(at, radius, codes[open_], bound[open_]):
+                    best = self._first(*[np.concatenate(x) for x in zip(best, (open_[query], row, far), strict=True)], n)
+                    size = np.bincount(best[0], minlength=len(codes))
+                    full = np.flatnonzero(size >= need)
+                    bound[full] = best[2][np.cumsum(size)[full] - 1]
+            done = np.zeros(len(codes), bool)
+            done[open_] = (np.bincount(best[0], minlength=len(codes))[open_] >= need) & (bound[open_] < len(self.places) * (radius + 1))
+            out = done[best[0]]
+            ready.append([x[out] for x in best])
+            best, open_ = [x[~out] for x in best], open_[~done[open_]]
+            if not len(open_):
+                break
+        return tuple(np.concatenate(x) for x in zip(*ready, best, strict=True))
+
+    @staticmethod
+    def _first(query: np.ndarray, row: np.ndarray, far: np.ndarray, n: int) -> list[np.ndarray]:
+        """The ``n`` first rows of each query by distance and id, each once."""
+        order = np.lexsort((row, far, query))
+        query, row, far = query[order], row[order], far[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (row[1:] != row[:-1])
+        query, row, far = query[new], row[new], far[new]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        return [x[place < n] for x in (query, row, far)]
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None,
+           block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id and distance of the k nearest rows of
     every query by id, the query's own id left out; ties go to smaller ids.
 
     ``rows`` and ``queries`` hold ``vec_id`` and ``code``. Rows with a null id
     or code take no part. With fewer than k other rows, all are returned. A
-    repeated id counts once. Empty tables give no rows.
+    repeated id counts once. Empty tables give no rows. The join of both sides
+    has as many rows as blocks times queries and groups times rows; a block of
+    ``block_rows`` and a group of about ``group_queries`` make a task.
     """
     rows, queries = (d.where("vec_id IS NOT NULL AND code IS NOT NULL").select("vec_id", "code").distinct() for d in (rows, queries))
     first = Window.partitionBy("code").orderBy("vec_id")
     # the limit applies in every task before the shuffle, so a hot code is small
-    codes = stage(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-                  .groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "codes")
-    counts = codes.agg(F.count("*").alias("codes"), F.sum(F.size("ids")).alias("ids")).first()
-    need = min(k + 1, counts.ids or 0)
-    segments = segments or best_segments(max(counts.codes, 2), k)
-    places = cuts(segments)
-
-    def segment(at: int) -> Column:
-        shift, width = places[at]
-        return F.shiftrightunsigned("code", shift).bitwiseAND(F.lit((1 << width) - 1))
-
-    def flipped(at: int, width: int, radius: int) -> Column:
-        return F.transform(F.lit(masks(width, radius)).cast("array<bigint>"),
-                           lambda mask: F.struct(F.lit(at).alias("part"), segment(at).bitwiseXOR(mask).alias("value")))
-
-    parts = F.array(*[F.struct(F.lit(i).alias("part"), segment(i).alias("value")) for i in range(segments)])
-    index = codes.select("code", "ids", F.explode(parts).alias("s")).select("s.*", "code", "ids")
-    asked = stage(queries.select(F.col("code").alias("q")).distinct(), "asked")
-    best = stage(asked.selectExpr("q", "cast(null AS bigint) AS code", "cast(null AS int) AS d", "cast(null AS bigint) AS vec_id").limit(0), "best")
+    kept = stage(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("vec_id", "code"), "rows")
+    own = stage(queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")), "queries")
+    asked = own.select("q").distinct()
+    n_rows, n_asked = kept.count(), asked.count()
+    blocks = max(1, ceil(n_rows / block_rows))
+    groups = max(1, min(ceil(n_asked / group_queries), ceil(width(rows) / blocks)))
+    parts = segments or best_segments(max(n_rows // blocks, 2), k)
+
+    def cells(df: DataFrame, place: Column, among: int, others: int, along: Column, asks: bool, *columns: Column) -> DataFrame:
+        mine, every = F.pmod(F.xxhash64(place), F.lit(among)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return df.select(*columns, mine.alias("_mine"), every.alias("_other")).select(
+            along.cast("int").alias("cell"), F.lit(asks).alias("asks"), "id", "code")
+
+    both = cells(kept, F.col("vec_id"), blocks, groups, F.col("_mine") * groups + F.col("_other"), False, F.col("vec_id").alias("id"), F.col("code")).unionByName(
+        cells(asked, F.col("q"), groups, blocks, F.col("_other") * groups + F.col("_mine"), True, F.lit(None).cast("long").alias("id"), F.col("q").alias("code")))
+
+    def answer(cell: pa.Table) -> pa.Table:
+        asks, code = (cell[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("asks", "code"))
+        held = cell.filter(pa.array(~asks))["id"].combine_chunks().to_numpy(zero_copy_only=False)
+        schema = pa.schema([("q", pa.int64()), ("d", pa.int32()), ("vec_id", pa.int64())])
+        if not len(held) or not asks.any():
+            return schema.empty_table()
+        code = code.view(np.uint64)
+        block = Block(held.astype(np.int64), code[~asks], parts)
+        query, row, far = block.nearest(code[asks], k + 1)
+        return pa.table([code[asks][query].view(np.int64), far.astype(np.int32), block.ids[row]], schema=schema)
+
+    # one task for each cell: a few of them are all of the work
+    met = both.repartition(blocks * groups, "cell").groupBy("cell").applyInArrow(answer, "q long, d int, vec_id long")
     nearest = Window.partitionBy("q").orderBy("d", "vec_id")
-    open_, radius, done = asked.withColumn("bound", F.lit(BITS)), 0, []
-    while radius <= max(w for _, w in places) and not open_.isEmpty():
-        flips = [flipped(i, w, radius) for i, (_, w) in enumerate(places) if radius <= w]
-        probes = (open_.withColumn("code", F.col("q")).select("q", "bound", F.explode(F.concat(*flips)).alias("s"))
-                  .select("q", "bound", "s.*"))
-        met = (probes.join(index, ["part", "value"]).withColumn("d", F.bit_count(F.expr("q ^ code")).cast("int"))
-               .where("d <= bound").select("q", "code", "d", "ids").dropDuplicates(["q", "code"]))
-        found = met.select("q", "code", "d", F.explode("ids").alias("vec_id")).unionByName(best).distinct()
-        best = stage(found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n"), "best")
-        covered = segments * (radius + 1) - 1
-        state = best.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("far"))
-        state = open_.select("q").join(state, "q", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        finished = (F.col("n") >= need) & (F.col("far") <= covered)
-        state = stage(state.select("q", F.when(F.col("n") >= need, F.col("far")).otherwise(BITS).alias("bound"),
-                                   F.coalesce(finished, F.lit(False)).alias("finished")), "open")
-        ready = state.where("finished").select("q")
-        done.append(best.join(ready, "q", "left_semi"))
-        open_ = state.where("NOT finished").select("q", "bound")
-        best = best.join(ready, "q", "left_anti")
-        radius += 1
-    done.append(best)
-    answers = reduce(DataFrame.unionByName, done)
-    own = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
+    answers = met.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
     rank = Window.partitionBy("query_id").orderBy("d", "vec_id")
     return (own.join(answers, "q").where("vec_id <> query_id").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.col("d").cast("long").alias("distance")))

@@ -48,6 +48,21 @@ def test_hamming_few_rows(spark):
     assert [r.code for r in vectors.orderBy("vec_id").select(hamming.sign_code("embedding").alias("code")).collect()] == [1, None, None, 0]
 
 
+def test_hamming_in_blocks_without_rounds_of_jobs(spark):
+    """Blocks and groups give what one gives, and a query far from all rows costs no more jobs than a near one."""
+    rng = random.Random(4)
+    rows = [(i, rng.getrandbits(20)) for i in range(90)] + [(90 + i, 3) for i in range(20)] + [(200, -1)]
+    table = spark.createDataFrame(rows, "vec_id long, code long")
+    asked, jobs = [r for r in rows if r[0] % 4 == 0], []
+    for group, among in (("near", "vec_id % 4 = 0 AND vec_id < 200"), ("far", "vec_id % 4 = 0")):
+        spark.sparkContext.setJobGroup(group, group)
+        got = hamming.search(table, table.where(among), 6, 5, block_rows=30, group_queries=7).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == nearest(rows, asked, 6)
+    assert jobs[0] == jobs[1]
+
+
 def test_forest_edges(spark):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]),
             (103, [math.nan, 1.0, 1.0]), (104, [math.inf, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (105, [1.0, 2.0]), (7, [0.0, 1.0, 1.0])]
