@@ -1,9 +1,10 @@
-"""Which words lie near a dictionary word: a filter of fixed size.
+"""Which words lie near a dictionary word: a filter of bounded size.
 
 Keys of words, of words with one letter masked and of words with one letter left
 out are bits of one field. A cut of a token whose parts have no key in it cannot
-be repaired, so most cuts go before anything is shuffled. A bit that is set by
-chance costs a row and never a result; when the field fills up it tells less.
+be repaired, so most cuts go before anything is shuffled, and so do the steps of a
+part that lead nowhere. A bit that is set by chance costs a row and never a result.
+The field has sixteen bits a key, up to 64 MB; beyond that it fills up and tells less.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIELD_BITS = 1 << 26
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+KEY_BITS, HASHES = 16, 4
 BLOCK_ROWS = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
-WHOLE, STRONG, LONGER, MASKED = (np.uint64(0xD6E8FEB86659FD93 * (i + 1) % (1 << 64)) for i in range(4))
+WHOLE, STRONG, LONGER, MASKED, KNOWN = (np.uint64(0xD6E8FEB86659FD93 * (i + 1) % (1 << 64)) for i in range(5))
+#: Steps from a part to a word: a letter replaced, a letter too many, a letter too few.
+REPLACED, SURPLUS, MISSING = 0, 1, 2
 SIZE, PLACE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -68,46 +72,61 @@ def _key(kind: np.uint64, hashed: np.ndarray, size: np.ndarray, at: np.ndarray |
     return _mix(hashed + kind + size.astype(np.uint64) * SIZE + at * PLACE)
 
 
-def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(FIELD_BITS - 1)
-    return (key & low).astype(np.int64), (key >> np.uint64(32) & low).astype(np.int64)
+def _bits(key: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    step = key >> np.uint64(32) | np.uint64(1)
+    for i in range(HASHES):
+        yield (key + np.uint64(i) * step & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _held(field: np.ndarray, key: np.ndarray) -> np.ndarray:
-    one, two = _bits(key)
-    found = (field[one >> 3] >> (one & 7).astype(np.uint8)) & 1 == 1
-    at = np.flatnonzero(found)
-    two = two[at]
-    found[at] = (field[two >> 3] >> (two & 7).astype(np.uint8)) & 1 == 1
+    at = np.arange(len(key))
+    step = key >> np.uint64(32) | np.uint64(1)
+    for i in range(HASHES):
+        bit = (key[at] + np.uint64(i) * step[at] & np.uint64(len(field) * 8 - 1)).astype(np.int64)
+        at = at[(field[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+    found = np.zeros(len(key), bool)
+    found[at] = True
     return found
 
 
-def _dictionary_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of words (word, strong); strong ones can be the repair of a part."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            part = batch.slice(at, 20_000)
-            strong = part["strong"].to_numpy(zero_copy_only=False)
-            words = _Words(part["word"].to_pylist())
-            lo, hi, none = words.first, words.first + words.size, np.zeros(len(words.size), np.int64)
-            whole = words.whole(lo, hi, none)
-            lo, hi, none, size = lo[strong], hi[strong], none[strong], words.size[strong]
-            own, place, masked, closed = words.each(lo, hi, none)
-            keys = np.concatenate([
-                _key(WHOLE, whole, words.size), _key(STRONG, whole[strong], size),
-                _key(MASKED, masked, size[own], place), _key(LONGER, closed, size[own] - 1)])
-            yield pa.record_batch([pa.array(np.unique(np.concatenate(_bits(keys))))], ["bit"])
-
-
-def reach_field(words: DataFrame) -> np.ndarray:
-    """The field of the words (word, strong); ``FIELD_BITS`` bits, however many there are."""
+def field_bits(words: DataFrame, known: int = 0) -> int:
+    """Bits of the field of the words (word, strong) and of ``known`` whole ones."""
+    keys = words.agg(F.sum(1 + F.when(F.col("strong"), 1 + 2 * F.length("word")).otherwise(0))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * (keys + known) - 1).bit_length()))
+
+
+def _dictionary_bits(bits: int):
+    """The bits of words (word, strong); strong ones can be the repair of a part.
+    Where strong is null, the word is one to look up whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                look = part["strong"].is_null().to_numpy(zero_copy_only=False)
+                strong = part["strong"].fill_null(False).to_numpy(zero_copy_only=False)
+                words = _Words(part["word"].to_pylist())
+                lo, hi, none = words.first, words.first + words.size, np.zeros(len(words.size), np.int64)
+                whole = words.whole(lo, hi, none)
+                lo, hi, none, size = lo[strong], hi[strong], none[strong], words.size[strong]
+                own, place, masked, closed = words.each(lo, hi, none)
+                keys = np.concatenate([
+                    _key(KNOWN, whole[look], words.size[look]), _key(WHOLE, whole[~look], words.size[~look]),
+                    _key(STRONG, whole[strong], size), _key(MASKED, masked, size[own], place), _key(LONGER, closed, size[own] - 1)])
+                yield pa.record_batch([pa.array(np.unique(np.concatenate(list(_bits(keys, bits)))))], ["bit"])
+
+    return run
+
+
+def reach_field(words: DataFrame, bits: int) -> np.ndarray:
+    """The field of the words (word, strong), of ``bits`` bits."""
     place = F.col("bit") + 1
-    rows = (words.mapInArrow(_dictionary_bits, "bit long")
+    rows = (words.select("word", "strong").mapInArrow(_dictionary_bits(bits), "bit long")
             .select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at"))
-            .groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect())
-    field = np.zeros(FIELD_BITS // 8, np.uint8)
+            .groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator())
+    field = np.zeros(bits // 8, np.uint8)
     for r in rows:
-        own = np.frombuffer(r.bits, np.uint8)
+        own = np.frombuffer(r.bits, np.uint8)[:len(field)]
         field[(r.bucket - 1) * 4096:(r.bucket - 1) * 4096 + len(own)] = own
     return field
 
@@ -159,3 +178,56 @@ def near_cuts(tokens: DataFrame, field, least: int, longest: int, wide: int) ->
                     yield pa.record_batch([part["token"].take(pa.array(own)), pa.array(cut.astype(np.int32))], ["token", "k"])
 
     return tokens.select("token", "folded").mapInArrow(run, "token string, k int")
+
+
+def maybe_known(tokens: DataFrame, field, cuts: tuple[int, ...], more: int) -> DataFrame:
+    """(token, word) where word is ``token`` without its last letters, one of
+    ``cuts`` many, that leave over ``more``; words the field does not know are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)["token"]
+                text = part.to_pylist()
+                words, out = _Words(text), []
+                for cut in cuts:
+                    own = np.flatnonzero(words.size > cut + more)
+                    lo = words.first[own]
+                    ok = _held(field.value, _key(KNOWN, words.whole(lo, lo + words.size[own] - cut, np.zeros(len(own), np.int64)), words.size[own] - cut))
+                    out += [(text[i], text[i][:len(text[i]) - cut]) for i in own[ok].tolist()]
+                if out:
+                    token, word = zip(*out, strict=True)
+                    yield pa.record_batch([pa.array(token, pa.string()), pa.array(word, pa.string())], ["token", "word"])
+
+    return tokens.select("token").mapInArrow(run, "token string, word string")
+
+
+def near_steps(parts: DataFrame, field, rivals, wide: int) -> DataFrame:
+    """(token, step, at) of the single letter steps that may lead from ``folded`` to
+    a word of the field ``rivals``: letter ``at`` replaced or left out, or a letter
+    more somewhere. Tokens that no step leads to a strong word of ``field`` have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 20_000):
+                part = batch.slice(first, 20_000)
+                words = _Words(part["folded"].to_pylist())
+                size, none = words.size, np.zeros(len(words.size), np.int64)
+                lo, hi = words.first, words.first + size
+                own, at, masked, closed = words.each(lo, hi, none)
+                tried = np.flatnonzero(size <= wide), np.arange(len(own)), np.flatnonzero(size[own] <= wide)
+                keys = (_key(LONGER, words.whole(lo, hi, none), size)[tried[0]], _key(STRONG, closed, size[own] - 1),
+                        _key(MASKED, masked[tried[2]], size[own[tried[2]]], at[tried[2]]))
+                owner = tried[0], own, own[tried[2]]
+                near = np.zeros(len(size), bool)
+                for who, key in zip(owner, keys, strict=True):
+                    near[who[_held(field.value, key)]] = True
+                kept = [np.flatnonzero(near[who]) for who in owner]
+                more, less, other = (t[k[_held(rivals.value, key[k])]] for t, key, k in zip(tried, keys, kept, strict=True))
+                row = np.concatenate([more, own[less], own[other]])
+                step = np.repeat(np.array([MISSING, SURPLUS, REPLACED], np.int32), [len(more), len(less), len(other)])
+                place = np.concatenate([none[more], at[less].astype(np.int64), at[other].astype(np.int64)]).astype(np.int32)
+                if len(row):
+                    yield pa.record_batch([part["token"].take(pa.array(row)), pa.array(step), pa.array(place)], ["token", "step", "at"])
+
+    return parts.select("token", "folded").mapInArrow(run, "token string, step int, at int")

@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from cuespan import constants as K
 from cuespan.functions import text as tx
-from cuespan.functions.reach import near_cuts, reach_field
-from cuespan.session import cut_lineage, spread
+from cuespan.functions.reach import (MISSING, REPLACED, SURPLUS, field_bits, maybe_known, near_cuts, near_steps,
+                                     reach_field)
+from cuespan.session import cut_lineage, spread, stored
 
 
 def _letters(word: Column) -> Column:
@@ -192,73 +193,92 @@ def _piece_ops(token: pd.Series, cand: pd.Series) -> pd.Series:
     return pd.Series([cost(a, b) for a, b in zip(token, cand)], dtype="Int64")
 
 
-def piece_repair(pieces: DataFrame, dictionary: DataFrame) -> DataFrame:
+def _strong() -> Column:
+    """A repaired part costs a step at least, so it only passes with a frequency of SPLIT_SCORE_MIN / SPLIT_PENALTY."""
+    return F.col("freq") * K.SPLIT_PENALTY >= K.SPLIT_SCORE_MIN
+
+
+def piece_repair(pieces: DataFrame, dictionary: DataFrame, field) -> DataFrame:
     """Best form of each part of a fused word: (token, better, freq, ops).
 
-    Repaired parts too rare to pass the split score may be missing.
+    ``field`` is the broadcast field of the words. Parts too rare to pass the split
+    score are missing, repaired ones and known ones.
     """
-    own = _self_entries(pieces, dictionary).select("token", F.col("freq").alias("own"))
-    dots = diacritic_neighbours(own.select("token"), dictionary).join(own, "token").where(
+    words = dictionary.select(F.col("word").alias("token"), F.col("freq").alias("own"))
+    looked = stored(pieces.select("token").join(words, "token", "left"))  # read by both ways below
+    own = looked.where("own IS NOT NULL")
+    dots = diacritic_neighbours(own.select("token"), dictionary.where(_passing())).join(own, "token").where(
         F.col("freq") >= K.DOMINANCE * F.col("own"))
     upgraded = dots.groupBy("token").agg(F.max_by(F.struct("cand", "freq", "flips"), F.struct("freq", "cand")).alias("b"))
     known = own.join(upgraded, "token", "left").select(
         "token", F.coalesce("b.cand", "token").alias("better"), F.coalesce("b.freq", "own").alias("freq"),
-        F.coalesce("b.flips", F.lit(0)).cast("bigint").alias("ops"))
+        F.coalesce("b.flips", F.lit(0)).cast("bigint").alias("ops")).where(_passing())
 
-    unknown = pieces.select("token").join(own, "token", "left_anti")
     fold = tx.dot_norm
-    # A repaired part costs a step at least, so it only passes with a frequency of
-    # SPLIT_SCORE_MIN / SPLIT_PENALTY; a rival below a tenth of that changes nothing.
-    words = dictionary.select(F.col("word").alias("cand"), "freq").where(
+    unknown = looked.where("own IS NULL").select("token", fold(F.col("token")).alias("folded"))
+    # a rival below a tenth of what passes changes nothing
+    rivals = dictionary.select(F.col("word").alias("cand"), "freq").where(
         F.col("freq") * K.DOMINANCE * K.SPLIT_PENALTY >= K.SPLIT_SCORE_MIN)
 
-    def keyed(df: DataFrame, word: str, keys: Column) -> DataFrame:
-        return df.select(*df.columns, F.explode(F.array_distinct(keys)).alias("key"))
+    reach = rivals.select(fold(F.col("cand")).alias("word"), F.lit(True).alias("strong"))
+    reach = pieces.sparkSession.sparkContext.broadcast(reach_field(reach, field_bits(reach)))
+
+    def key(step: int, text: Column) -> Column:
+        return F.concat(F.lit("=-+"[step]), text)
 
     word, cand = fold(F.col("token")), fold(F.col("cand"))
-    short = F.length("token") <= K.WIDE_MAX
-    same = keyed(unknown.where(short), "token", _masked_each(word)).join(keyed(words, "cand", _masked_each(cand)), "key")
-    longer = unknown.where(short).withColumn("key", word).join(keyed(words, "cand", _without_each(cand)), "key")
-    shorter = keyed(unknown, "token", _without_each(word)).join(words.withColumn("key", cand), "key")
-    cols = ["token", "cand", "freq"]
-    pool = same.select(*cols).unionByName(longer.select(*cols)).unionByName(shorter.select(*cols)).distinct()
+    rest = F.concat(F.expr("left(_w, at)"), F.when(F.col("step") == REPLACED, F.lit("_")).otherwise(F.lit("")), F.expr("substr(_w, at + 2)"))
+    mine = near_steps(unknown, field, reach, K.WIDE_MAX).withColumn("_w", word).select("token", F.when(
+        F.col("step") == MISSING, key(MISSING, F.col("_w"))).when(F.col("step") == SURPLUS, key(SURPLUS, rest)).otherwise(key(REPLACED, rest)).alias("key"))
+    theirs = rivals.select("cand", "freq", F.explode(F.array_distinct(F.concat(
+        F.transform(_masked_each(cand), lambda w: key(REPLACED, w)), F.array(key(SURPLUS, cand)),
+        F.transform(_without_each(cand), lambda w: key(MISSING, w))))).alias("key"))
+    pool = mine.join(theirs, "key").select("token", "cand", "freq")
     close = F.levenshtein("token", "cand", K.MAX_FLIPS + 1) >= 0
-    pool = spread(pool.where((F.col("cand") != F.col("token")) & close)).withColumn(
+    pool = spread(pool.where((F.col("cand") != F.col("token")) & close), "token").distinct().withColumn(
         "ops", _piece_ops("token", "cand")).where("ops IS NOT NULL")
-    pool = cut_lineage(pool)
-    repaired = dominant(pool).join(pool.select("token", F.col("cand").alias("better"), "ops"), ["token", "better"])
-    return known.unionByName(repaired.select("token", "better", "freq", "ops"))
+    best, second = (F.col(f"_by_freq.{i}") for i in ("one", "two"))
+    two = F.slice(F.sort_array(F.collect_list(F.struct("freq", "cand", "ops")), asc=False), 1, 2)
+    repaired = pool.groupBy("token").agg(two.alias("_two")).withColumn("_by_freq", F.struct(
+        F.get("_two", F.lit(0)).alias("one"), F.get("_two", F.lit(1)).alias("two"))).where(
+        (best["freq"] >= K.FREQ_MIN) & (second.isNull() | (best["freq"] >= K.DOMINANCE * second["freq"])))
+    repaired = repaired.select("token", best["cand"].alias("better"), best["freq"].alias("freq"), best["ops"].alias("ops")).where(_strong())
+    return known.unionByName(repaired)
+
+
+def _passing() -> Column:
+    return F.col("freq") >= K.SPLIT_SCORE_MIN
 
 
 def split_fused(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Split unknown fused words into two known parts: (token, left, right, score)."""
-    long = tokens.select("token").where(F.length("token") >= K.SPLIT_MIN)
-    # a word that loses an ending and is then known is inflected, not fused
-    stems = long.select("token", F.explode(F.array(*[
-        F.when(F.length("token") > cut + 3, F.expr(f"left(token, length(token) - {cut})")) for cut in (3, 4)])).alias("word"))
-    inflected = stems.join(dictionary.select("word"), "word", "left_semi").select("token")
-    long = long.join(inflected, "token", "left_anti")
+    tokens = tokens.select("token").where(F.length("token") >= max(K.SPLIT_MIN, 2 * K.SPLIT_PART_MIN))
     # A part counts with a frequency of SPLIT_SCORE_MIN as it is, or of SPLIT_SCORE_MIN / SPLIT_PENALTY as the
     # repair of one step; the other cuts, nearly all of them, are never written out.
-    strong = (F.col("freq") * K.SPLIT_PENALTY >= K.SPLIT_SCORE_MIN).alias("strong")
-    words = dictionary.where(F.col("freq") >= K.SPLIT_SCORE_MIN).select(tx.dot_norm(F.col("word")).alias("word"), strong)
+    words = dictionary.where(_passing()).select(tx.dot_norm(F.col("word")).alias("word"), _strong().alias("strong"))
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    field = long.sparkSession.sparkContext.broadcast(reach_field(words))
-    folded = spread(long.where(F.length("token") >= 2 * K.SPLIT_PART_MIN), "token").withColumn("folded", tx.dot_norm(F.col("token")))
-    cuts = cut_lineage(near_cuts(folded, field, K.SPLIT_PART_MIN, longest, K.WIDE_MAX)).select(
-        "token", "k", F.expr("left(token, k)").alias("a"), F.expr("substr(token, k + 1)").alias("b"))
-    pieces = cuts.select(F.explode(F.array("a", "b")).alias("token")).distinct()
-    fixed = piece_repair(pieces, dictionary)
+    bits = field_bits(words, dictionary.count())
+    every = words.unionByName(dictionary.select("word", F.lit(None).cast("boolean").alias("strong")))
+    field = tokens.sparkSession.sparkContext.broadcast(reach_field(every, bits))
+    # a word that loses an ending and is then known is inflected, not fused
+    stems = maybe_known(tokens, field, (3, 4), 3)
+    inflected = stems.join(dictionary.select("word"), "word", "left_semi").select("token")
+    long = tokens.join(inflected, "token", "left_anti")
+    folded = long.withColumn("folded", tx.dot_norm(F.col("token")))
+    cuts = stored(near_cuts(folded, field, K.SPLIT_PART_MIN, longest, K.WIDE_MAX))
+    a, b = F.expr("left(token, k)"), F.expr("substr(token, k + 1)")
+    pieces = cuts.select(F.explode(F.array(a, b)).alias("token")).distinct()
+    fixed = stored(piece_repair(pieces, dictionary, field))
     side = lambda name, p: fixed.select(
         F.col("token").alias(name), F.col("better").alias(f"{p}_to"), F.col("freq").alias(f"{p}_freq"), F.col("ops").alias(f"{p}_ops"))
-    scored = cuts.join(side("a", "l"), "a").join(side("b", "r"), "b").withColumn(
+    scored = cuts.join(side("_a", "l"), a == F.col("_a")).drop("_a").join(side("_b", "r"), b == F.col("_b")).withColumn(
         "score", F.least("l_freq", "r_freq") * F.pow(F.lit(K.SPLIT_PENALTY), F.col("l_ops") + F.col("r_ops"))).where(
         F.col("score") >= K.SPLIT_SCORE_MIN)
-    best = scored.withColumn("top", F.max("score").over(Window.partitionBy("token"))).where("score = top")
-    # at most one row per cut of a word; equal scores must agree on the text
-    return best.groupBy("token").agg(
-        F.min("l_to").alias("left"), F.min("r_to").alias("right"), F.max("score").alias("score"),
-        F.count_distinct("l_to", "r_to").alias("ways")).where("ways = 1").drop("ways")
+    # equal scores must agree on the text: the first and the last of the best are the same
+    ends = scored.groupBy("token").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "l_to", "r_to")).alias("a"), F.max(F.struct(F.col("score").alias("s"), "l_to", "r_to")).alias("b"))
+    return ends.where("a.l_to = b.l_to AND a.r_to = b.r_to").select(
+        "token", F.col("a.l_to").alias("left"), F.col("a.r_to").alias("right"), F.col("b.s").alias("score"))
 
 
 def _recase(core: Column, fixed: Column) -> Column:

@@ -4,6 +4,7 @@ folder that survives executor loss, and a shuffle width that fits the cluster.""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir`` wins; only a local master without one falls back to
     a fresh temporary folder, because that folder is not shared on a cluster.
     """
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -43,7 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table beside the checkpoints and read it back: packed, by
+    columns, where a checkpoint keeps whole rows as they are in memory."""
+    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *columns) -> DataFrame:
