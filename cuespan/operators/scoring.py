@@ -155,24 +155,35 @@ def score_sums(matches: DataFrame, pred: DataFrame, ref: DataFrame, keys: Sequen
     mine = F.filter("_found", lambda x: x["engine_id"] == F.col("engine_id"))
     joined = runs.withColumn("_p", F.get(mine, F.lit(0))).select(
         *keys, *[f"r_{c}" for c in sides], *[F.col(f"_p.p_{c}").alias(f"p_{c}") for c in sides])
+    sums = _cue_sums(joined, keys, tolerance_ms)
+    n_pred = pred.groupBy(*keys).agg(F.count("*").alias("prediction_cues"))
+    return sums.join(n_pred, keys, "left").withColumn("prediction_cues", F.coalesce("prediction_cues", F.lit(0)))
+
+
+def score_sums_gathered(cues: DataFrame, tolerance_ms: int) -> DataFrame:
+    """The same counts of ``gathered.scored_cues`` per engine and episode."""
+    return _cue_sums(cues, ["engine_id", "episode_id"], tolerance_ms, ["prediction_cues"])
+
+
+def _cue_sums(joined: DataFrame, keys: list[str], tolerance_ms: int, same: Sequence[str] = ()) -> DataFrame:
+    """Counts per ``keys`` of reference cues with the prediction each has, if it has one; ``same`` are
+    columns with one value per key."""
     start_error = F.abs(F.col("r_start_ms") - F.col("p_start_ms"))
     end_error = F.abs(F.col("r_end_ms") - F.col("p_end_ms"))
     rows = pair_measures(
-        joined.select(*keys, F.col("r_text").alias("reference"), F.col("p_text").alias("prediction"),
+        joined.select(*keys, *same, F.col("r_text").alias("reference"), F.col("p_text").alias("prediction"),
                       F.col("p_cue_index").isNotNull().alias("matched"),
                       start_error.alias("start_error"), end_error.alias("end_error"),
                       F.coalesce((start_error <= tolerance_ms) & (end_error <= tolerance_ms),
                                  F.lit(False)).alias("in_tolerance")))
-    sums = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("reference_cues"), F.count_if("matched").alias("matched_cues"),
         F.sum("ref_chars").alias("reference_chars"), F.sum("ref_words").alias("reference_words"),
         F.sum("char_edits").alias("character_edits"), F.sum("word_edits").alias("word_edits"),
         F.count_if("exact").alias("exact_cues"),
         F.coalesce(F.sum("start_error"), F.lit(0)).alias("start_error_sum"),
         F.coalesce(F.sum("end_error"), F.lit(0)).alias("end_error_sum"),
-        F.count_if("in_tolerance").alias("in_tolerance_cues"))
-    n_pred = pred.groupBy(*keys).agg(F.count("*").alias("prediction_cues"))
-    return sums.join(n_pred, keys, "left").withColumn("prediction_cues", F.coalesce("prediction_cues", F.lit(0)))
+        F.count_if("in_tolerance").alias("in_tolerance_cues"), *[F.max(c).alias(c) for c in same])
 
 
 SUM_COLUMNS = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuespan.operators import align, intervals, scoring
+from cuespan.operators import align, gathered, intervals, scoring
 from cuespan.plans import views as v
 from cuespan.plans.registry import query, sql_view
 from cuespan.session import cut_lineage
@@ -157,13 +157,11 @@ def a3(spark, sf):
 
 
 def _episode_scores(spark, sf, matches=None):
-    ref = _stored(spark, sf)
-    pred = v.engine_preds(spark, sf, ref)
-    keys = ("engine_id", "episode_id")
-    edges = intervals.overlap_candidates(
-        pred, ref.withColumn("engine_id", F.explode(F.array(*map(F.lit, v.ENGINES)))), keys=keys, share_of="ref")
-    matches = align.largest_align(edges, keys) if matches is None else edges.where("p_cue_index = r_cue_index")
-    return scoring.with_cue_rates(scoring.score_sums(matches, pred, ref, keys, keys, 200, v.ENGINES))
+    ref = v.cues_ref(spark, sf)
+    # an episode is one document, so its cues fit in a row
+    both = gathered.episodes(v.engine_preds(spark, sf, ref), ref, v.ENGINES)
+    cues = gathered.scored_cues(both, v.ENGINES, "largest" if matches is None else matches)
+    return scoring.with_cue_rates(scoring.score_sums_gathered(cues, 200))
 
 
 @query("a4_cue_score")
