@@ -77,10 +77,27 @@ def vtt_report(pairs: DataFrame, pred: DataFrame, ref: DataFrame,
         (F.sum(F.abs("diff")) / F.count("*")).alias("mean_abs_start_diff_ms"))
     n_pred = pred.groupBy(*keys).agg(F.count("*").alias("srt_blocks"))
     n_ref = ref.groupBy(*keys).agg(F.count("*").alias("vtt_cues"))
-    out = n_ref.join(n_pred, keys, "full_outer").join(scored, keys, "left").join(first5, keys, "left")
+    return _report(n_ref.join(n_pred, keys, "full_outer").join(scored, keys, "left").join(first5, keys, "left"))
+
+
+def vtt_report_gathered(pairs: DataFrame) -> DataFrame:
+    """The same report of ``gathered.greedy_pairs``, in one go over the pairs."""
+    diff = F.col("p_start_ms") - F.col("r_start_ms")
+    measured = pairs.select(
+        "episode_id", "n_preds", "n_refs", "p_cue_index", diff.alias("diff"), F.length("r_text").cast("bigint").alias("chars"),
+        F.levenshtein("r_text", "p_text").cast("bigint").alias("edits"), F.when(F.col("p_place") < 5, F.abs(diff)).alias("early"))
+    return _report(measured.groupBy("episode_id").agg(
+        F.max("n_refs").alias("vtt_cues"), F.max("n_preds").alias("srt_blocks"),
+        F.count("p_cue_index").alias("aligned_pairs"), F.sum("edits").alias("total_edit_distance"), F.sum("chars").alias("total_gt_chars"),
+        F.avg(F.col("edits") / F.col("chars")).alias("mean_line_cer"), ratio(F.sum("diff"), F.count("diff")).alias("mean_signed_start_diff_ms"),
+        ratio(F.sum(F.abs("diff")), F.count("diff")).alias("mean_abs_start_diff_ms"),
+        ratio(F.sum("early"), F.count("early")).alias("first5_mean_abs_start_diff_ms")))
+
+
+def _report(sums: DataFrame) -> DataFrame:
     zero = {c: 0 for c in ("srt_blocks", "vtt_cues", "aligned_pairs", "total_edit_distance", "total_gt_chars")}
     c = F.col
-    return (out.fillna(zero)
+    return (sums.fillna(zero)
             .withColumn("corpus_cer", ratio(c("total_edit_distance"), c("total_gt_chars")))
             .withColumn("recall", ratio(c("aligned_pairs"), c("vtt_cues")))
             .withColumn("precision", ratio(c("aligned_pairs"), c("srt_blocks")))

@@ -73,6 +73,11 @@ def _greedy(spark, sf):
     return align.attach_pairs(pairs, pred, ref), pred, ref
 
 
+def _pairs(spark, sf):
+    """The pairs of ``_greedy`` out of whole episodes, each of which is one document."""
+    return gathered.greedy_pairs(gathered.episodes(v.cues_pred(spark, sf), v.cues_ref(spark, sf)))
+
+
 @query("j1_overlap_candidates", "SELECT episode_id, p_cue_index, r_cue_index, overlap_ms FROM edges", ("edges",))
 def j1(spark, sf):
     return _edges(spark, sf).select("episode_id", "p_cue_index", "r_cue_index", "overlap_ms")
@@ -148,7 +153,7 @@ LEFT JOIN (SELECT episode_id, count(*) AS n, CAST(sum({lev('r_text', 'p_text')})
                  FROM greedy_pairs) x GROUP BY 1) m
        ON m.episode_id = r.episode_id""", ("cues_ref", "cues_pred", "greedy_pairs"))
 def a2(spark, sf):
-    return scoring.vtt_report(*_greedy(spark, sf)).withColumn("mean_line_cer", F.round("mean_line_cer", 9))
+    return scoring.vtt_report_gathered(_pairs(spark, sf)).withColumn("mean_line_cer", F.round("mean_line_cer", 9))
 
 
 @query("a3_confusion_matrix")

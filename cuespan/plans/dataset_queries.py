@@ -247,11 +247,10 @@ FROM (SELECT r.episode_id, any_value(r.n) AS vtt, count(i.p_cue_index) AS n, coa
       LEFT JOIN window_pairs i ON i.episode_id = r.episode_id GROUP BY 1) t""".replace(
     "LEV", lev("i.r_text", "i.p_text")), ("cues_ref", "window_pairs"))
 def a17(spark, sf):
-    from cuespan.operators import align, intervals, scoring
+    from cuespan.operators import gathered, scoring
     ref = v.cues_ref(spark, sf).where("start_ms < 240000")  # the case's time window
-    pred = v.cues_pred(spark, sf)
-    pairs = align.attach_pairs(cut_lineage(align.greedy_align(intervals.overlap_candidates(pred, ref))), pred, ref)
-    report = scoring.vtt_report(pairs, pred, ref).where("vtt_cues > 0")
+    pairs = gathered.greedy_pairs(gathered.episodes(v.cues_pred(spark, sf), ref))
+    report = scoring.vtt_report_gathered(pairs).where("vtt_cues > 0")
     return dataset.case_gate(report, 8, 6, 201, 0.035).select("episode_id", "reasons")
 
 
