@@ -148,6 +148,5 @@ _PAIRS = T.ArrayType(T.StructType([T.StructField("gt", T.StringType()), T.Struct
 
 @F.pandas_udf(_PAIRS)
 def edit_substitutions(truth: pd.Series, read: pd.Series) -> pd.Series:
-    return pd.Series([
-        [] if t is None or r is None else [{"gt": g, "ocr": o} for g, o in substitutions(t, r)]
-        for t, r in zip(truth, read)])
+    known = {pair: [] if None in pair else [{"gt": g, "ocr": o} for g, o in substitutions(*pair)] for pair in set(zip(truth, read))}
+    return pd.Series([known[pair] for pair in zip(truth, read)])

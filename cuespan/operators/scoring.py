@@ -11,7 +11,7 @@ from cuespan import constants as K
 from cuespan.functions import text as tx
 from cuespan.functions.similarity import edit_substitutions
 from cuespan.operators.align import first_per_key
-from cuespan.session import cut_lineage, spread
+from cuespan.session import cut_lineage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -130,24 +130,23 @@ def confusions(pairs: DataFrame, keys: Sequence[str] = ("episode_id",), top: int
     """Watched confusions by name, the ``top`` other ones, and lost ellipses."""
     keys = list(keys)
     differing = pairs.where((F.length("r_text") > 0) & (F.col("r_text") != F.col("p_text")))
-    # Python sees each distinct pair of lines once
-    lines = differing.groupBy(*keys, "r_text", "p_text").agg(F.count("*").alias("times"))
-    subs = spread(lines).select(*keys, "times", F.explode_outer(_substitutions("r_text", "p_text")).alias("s")).where("s IS NOT NULL")
-    counted = subs.groupBy(*keys, F.col("s.gt").alias("gt"), F.col("s.ocr").alias("ocr")).agg(
-        F.sum("times").alias("n"))
+    dots = lambda c: F.size(F.split(F.col(c), r"\.\.\.")) - 1
+    # replaced letters and lost ellipses of a pair come from one reading of it
+    gone = F.struct(F.lit(None).cast("string").alias("gt"), F.lit(None).cast("string").alias("ocr"),
+                    F.greatest(dots("r_text") - dots("p_text"), F.lit(0)).cast("bigint").alias("n"))
+    found = differing.select(*keys, F.explode(F.concat(F.array(gone), F.transform(
+        _substitutions("r_text", "p_text"),
+        lambda x: F.struct(x["gt"].alias("gt"), x["ocr"].alias("ocr"), F.lit(1).cast("bigint").alias("n"))))).alias("s"))
+    counted = found.groupBy(*keys, F.col("s.gt").alias("gt"), F.col("s.ocr").alias("ocr")).agg(F.sum("s.n").alias("n"))
     watched = F.create_map(*[x for g, o in K.WATCHED_CONFUSIONS for x in (
         F.lit(g + o), F.lit(K.FOLDED_CONFUSION[1] if g == K.FOLDED_CONFUSION[0] else f"{g}→{o}"))])
-    named = F.try_element_at(watched, F.concat("gt", "ocr"))
-    labelled = (counted.withColumn("watched", named.isNotNull())
+    named = F.when(F.col("gt").isNull(), F.lit(K.ELLIPSIS_LOSS)).otherwise(F.try_element_at(watched, F.concat("gt", "ocr")))
+    labelled = (counted.where("gt IS NOT NULL OR n > 0").withColumn("watched", named.isNotNull())
                 .withColumn("confusion", F.coalesce(named, F.concat_ws("→", "gt", "ocr")))
                 .groupBy(*keys, "watched", "confusion").agg(F.sum("n").alias("n")))
     labelled = cut_lineage(labelled)  # a row per confusion, used twice
     others = first_per_key(labelled.where("not watched"), keys, [F.col("n").desc(), F.col("confusion")], top)
-    dots = lambda c: F.size(F.split(F.col(c), r"\.\.\.")) - 1
-    lost = (differing.select(*keys, F.greatest(dots("r_text") - dots("p_text"), F.lit(0)).cast("bigint").alias("n"))
-            .groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
-            .select(*keys, F.lit(True).alias("watched"), F.lit(K.ELLIPSIS_LOSS).alias("confusion"), "n"))
-    return (labelled.where("watched").unionByName(others.drop("rank")).unionByName(lost))
+    return labelled.where("watched").unionByName(others.drop("rank"))
 
 
 def score_sums(matches: DataFrame, pred: DataFrame, ref: DataFrame, keys: Sequence[str],

@@ -158,7 +158,7 @@ def a2(spark, sf):
 
 @query("a3_confusion_matrix")
 def a3(spark, sf):
-    return scoring.confusions(_greedy(spark, sf)[0], keys=[])
+    return scoring.confusions(_pairs(spark, sf), keys=[])
 
 
 def _episode_scores(spark, sf, matches=None):
