@@ -5,7 +5,8 @@ import random
 import pyarrow as pa
 import pytest
 
-from cuespan.operators import gathered
+from cuespan.operators import gathered, scoring
+from cuespan.plans import align_queries
 from tests.test_matching import one_after_another
 
 
@@ -73,3 +74,19 @@ def test_rows_without_cues():
     some = pa.array([[], [5]], pa.list_(pa.int64()))
     assert gathered.places([none] * 3, [some] * 4, 1, "pred", "greedy").to_pylist() == [[], []]
     assert gathered.places([some] * 3, [none] * 4, 2, "ref", "largest").to_pylist() == [[], [None, None]]
+
+
+def test_reports_out_of_rows_and_out_of_joins_are_equal(spark):
+    sf = "/root/testdata/sf0.001"
+    joined, rows = align_queries._greedy(spark, sf), align_queries._pairs(spark, sf)
+    plain = lambda r: {k: round(x, 9) if isinstance(x, float) else x for k, x in r.asDict().items()}
+    want, got = ({r.episode_id: plain(r) for r in df.collect()} for df in (scoring.vtt_report(*joined), scoring.vtt_report_gathered(rows)))
+    assert got == want and len(want) > 100
+    want, got = (sorted((r.watched, r.confusion, r.n) for r in scoring.confusions(df, keys=[]).collect()) for df in (joined[0], rows))
+    assert got == want and want
+
+
+def test_rows_after_an_explode_carry_no_array(spark):
+    plan = align_queries.a4(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate explode" in line and "cues#" in line]
+    assert made and not any(name in line for line in made for name in ("preds#", "refs#", "places#"))
